@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
-QUERIES = {"op1_exact_dedup": exact_dedup.query}
+QUERIES = {"op1_exact_dedup": exact_dedup.query, "op8_simhash_near_dedup": simhash.query}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
