@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontam, exact_dedup, simhash
 
-QUERIES = {"op1_exact_dedup": exact_dedup.query, "op8_simhash_near_dedup": simhash.query}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {"op6_decontamination": decontam.query, "op1_exact_dedup": exact_dedup.query, "op8_simhash_near_dedup": simhash.query}
+ORACLES = {"op6_decontamination": decontam.ORACLE, "op1_exact_dedup": exact_dedup.ORACLE}
