@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, simhash
+from . import decontam, exact_dedup, langid, quality, simhash
 
-QUERIES = {"op6_decontamination": decontam.query, "op1_exact_dedup": exact_dedup.query, "op8_simhash_near_dedup": simhash.query}
+QUERIES = {"op10_quality": quality.query, "op2_language_id": langid.query, "op6_decontamination": decontam.query, "op1_exact_dedup": exact_dedup.query, "op8_simhash_near_dedup": simhash.query}
 ORACLES = {"op6_decontamination": decontam.ORACLE, "op1_exact_dedup": exact_dedup.ORACLE}
