@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 N = 10
-#: Largest set of windows, in bytes, to broadcast at once; a larger benchmark goes in blocks of that size.
-BROADCAST_BYTES = 64 << 20
+#: Most windows to send to the tasks at once; a larger benchmark goes in several passes.
+BLOCK = 100_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -28,11 +28,6 @@ def words(text: str | Column = "text") -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def n_words(text: str | Column = "text") -> Column:
-    col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def _joined(a: Column, b: Column, shift: int) -> Column:
     """Hash of window i of ``a`` with window i + shift of ``b``, for every i that both have."""
     left = F.greatest(F.size(b) - shift, F.lit(0))
@@ -73,31 +68,44 @@ def _row_key(text: str, doc_id: str) -> list[Column]:
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text")]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, item_id: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """_id, _text, spans (array of start, len; starts from 0), items: one row for each (id, text) with a verified hit."""
-    grams = windows(benchmark, text="text", item_id=item_id, n=n)
+def candidates(docs: DataFrame, grams: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, block: int = BLOCK) -> DataFrame:
+    """One row for each row of ``docs``: _id, _text, n_words and found (start, len, gram), its windows whose hash is in the set;
+    pass numbers the passes, and each of them has all rows.
+
+    The set of window hashes goes to every task as a constant of the plan and is probed inside each row, so that no
+    window becomes a row of its own unless it is found. A benchmark with more than ``block`` windows takes several passes.
+    """
     lengths = [r.len for r in grams.select("len").distinct().collect()]  # n and shorter lengths only
-    if not lengths:
-        lengths = [n]
-    size = grams.agg(F.sum(F.length(F.array_join("gram", " ")) + F.size("gram") * 16 + 64)).first()[0] or 0
-    blocks = max(1, -(-int(size) // broadcast_bytes))
-    hashed = []
+    rows = with_windows(docs.select(*_row_key(text, doc_id), words(text).alias("words")), lengths or [n])
+    kind = "array<struct<start:int,len:int,gram:array<string>>>"
+    hashed = None
     for length in lengths:
         g = with_windows(grams.where(F.col("len") == length).withColumnRenamed("gram", "words"), [length])
-        hashed.append(g.select("len", F.col(f"h{length}")[0].alias("hash"), F.col("words").alias("gram"), "items"))
-    table = hashed[0]
-    for g in hashed[1:]:
-        table = table.unionByName(g)
-    rows = with_windows(docs.select(*_row_key(text, doc_id), words(text).alias("words")), lengths)
+        g = g.select("len", F.col(f"h{length}")[0].alias("hash")).distinct()
+        hashed = g if hashed is None else hashed.unionByName(g)
+    passes = max(1, -(-hashed.count() // block)) if lengths else 1
     out = None
-    for length in lengths:
-        at = rows.select("_id", "_text", "words", F.posexplode(F.col(f"h{length}")).alias("start", "hash"))
-        for b in range(blocks):
-            block = table.where((F.col("len") == length) & (F.pmod("hash", F.lit(blocks)) == b)).select("hash", "gram", "items")
-            found = at.join(F.broadcast(block), "hash").where(F.expr(f"slice(words, start + 1, {length}) = gram"))
-            found = found.select("_id", "_text", F.struct("start", F.lit(length).alias("len")).alias("span"), "items")
-            out = found if out is None else out.unionByName(found)
-    return out.groupBy("_id", "_text").agg(
+    for b in range(passes):
+        found = [F.array().cast(kind)]
+        for length in lengths:
+            few = [r.hash for r in hashed.where((F.col("len") == length) & (F.pmod("hash", F.lit(passes)) == b)).select("hash").collect()]
+            if few:
+                known = ",".join(f"{h}L" if h > -(2**63) else "bigint('-9223372036854775808')" for h in few)
+                at = f"filter(transform(h{length}, (x, i) -> if(x in ({known}), i, null)), i -> i is not null)"
+                found.append(F.expr(f"transform({at}, i -> struct(i as start, {length} as len, slice(words, i + 1, {length}) as gram))"))
+        one = materialise(rows.select("_id", "_text", F.size("words").cast("long").alias("n_words"), F.concat(*found).alias("found"), F.lit(b).alias("pass")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def hits(found: DataFrame, grams: DataFrame) -> DataFrame:
+    """_id, _text, spans (array of start, len; starts from 0), items: one row for each (id, text) with a verified window.
+
+    ``found`` is what candidates() gives; verification joins on the words themselves.
+    """
+    each = found.where(F.size("found") > 0).select("_id", "_text", F.explode("found").alias("f")).select("_id", "_text", "f.start", "f.len", "f.gram")
+    each = each.join(grams, ["len", "gram"]).select("_id", "_text", F.struct("start", "len").alias("span"), "items")
+    return each.groupBy("_id", "_text").agg(
         F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
 
@@ -109,12 +117,13 @@ def _covered(spans: Column) -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N) -> DataFrame:
     """For each row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = hits(docs, benchmark, text, doc_id, n).select(
+    grams = windows(benchmark, n=n)
+    rows = candidates(docs, grams, text, doc_id, n)
+    found = hits(rows, grams).select(
         F.col("_id").alias("_i"), F.col("_text").alias("_t"), F.size(_covered(F.col("spans"))).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"),
     )
-    rows = docs.select(*_row_key(text, doc_id), n_words(text).alias("n_words"))
-    out = rows.join(found, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
+    out = rows.where("pass = 0").join(found, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
     return out.select(
         F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
@@ -123,7 +132,9 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", doc_id: str = "doc_id", n: int = N) -> DataFrame:
     """``docs`` without contaminated rows (``documents``), or with hit words taken out of their texts (``spans``)."""
-    found = hits(docs, benchmark, text, doc_id, n).select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), _covered(F.col("spans")).alias("_hit"))
+    grams = windows(benchmark, n=n)
+    found = hits(candidates(docs, grams, text, doc_id, n), grams)
+    found = materialise(found.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), _covered(F.col("spans")).alias("_hit")))
     on = docs[doc_id].eqNullSafe(F.col("_i")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_t"))
     if remove == "documents":
         return docs.join(found, on, "left_anti")
