@@ -1,5 +1,7 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .plans import raster
+
+QUERIES: dict = {**raster.Q}
+ORACLES: dict = {**raster.SQL}
+FLAGSHIP = "A15_area_summary"
