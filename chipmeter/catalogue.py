@@ -1,7 +1,7 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-from .plans import raster
+from .plans import pairs, raster
 
-QUERIES: dict = {**raster.Q}
-ORACLES: dict = {**raster.SQL}
+QUERIES: dict = {**raster.Q, **pairs.Q}
+ORACLES: dict = {**raster.SQL, **pairs.SQL}
 FLAGSHIP = "A15_area_summary"

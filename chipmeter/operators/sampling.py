@@ -20,3 +20,49 @@ def with_positions(rows: DataFrame, part: str, order: str) -> DataFrame:
     out = rows.join(F.broadcast(start.drop("_n")), part)
     out = out.withColumn("position", (F.row_number().over(W.partitionBy(part).orderBy(order)) - 1).cast("long"))
     return out.withColumn("global_index", F.col("_start") + F.col("position")).drop("_start")
+
+
+def stratified_split(chips: DataFrame, test_quota: int, val_share: float, seed: int = 42, stratum: str = "sza_bin", key: str = "chip") -> DataFrame:
+    """``split`` for every chip: the same test quota in each stratum, a share of the rest for validation, the rest for training.
+
+    Ranks come from windows over each stratum; validation is drawn from each stratum by its share, so no window
+    spans all chips. A stratum's rows are ranked by hash only, and nothing but key and hash is sorted.
+    """
+    test = F.row_number().over(W.partitionBy(stratum).orderBy(seeded(seed, key), key)) <= test_quota
+    left = F.count(F.lit(1)).over(W.partitionBy(stratum)) - test_quota
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy(seeded(seed, key), key)) - test_quota
+    return chips.withColumn("split", F.when(test, "test").when(rank <= F.floor(left * val_share), "val").otherwise("train"))
+
+
+def class_balance(chips: DataFrame, ratio: float, least: int = 5, seed: int = 42, stratum: str = "sza_bin", key: str = "chip") -> DataFrame:
+    """Chips that stay when the larger of positive and null chips is cut to ``ratio`` times the smaller, in each stratum.
+
+    Strata whose smaller class has fewer than ``least`` chips stay as they are. Adds ``action``.
+    """
+    pos = chips.withColumn("positive", F.col("n_objects") > 0)
+    n = pos.groupBy(stratum).agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn"))
+    low = F.least("np", "nn")
+    n = n.select(stratum, F.when(low < least, None).otherwise(F.floor(low * ratio)).cast("long").alias("cap"))
+    rank = F.row_number().over(W.partitionBy(stratum, "positive").orderBy(seeded(seed, key), key))
+    out = pos.join(F.broadcast(n), stratum).withColumn("rn", rank)
+    out = out.where(F.col("cap").isNull() | (F.col("rn") <= F.col("cap")))
+    return out.withColumn("action", F.when(F.col("cap").isNull(), "skipped").otherwise("balanced")).drop("cap", "rn")
+
+
+def to_targets(rows: DataFrame, targets: DataFrame, by: list[str], seed: int = 42, key: str = "chip") -> DataFrame:
+    """Rows of each group copied or drawn until the group has ``target`` rows: whole copies, then the first by seeded rank.
+
+    ``targets`` (by..., target) has a row for each group to change; other groups stay as they are. Adds ``copy`` from 0.
+    """
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(targets, by, "left")
+    n = n.select(*by, F.coalesce("target", "n").alias("target"), "n")
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(seeded(seed, key), key))
+    out = rows.join(F.broadcast(n), by).withColumn("rn", rank)
+    copies = F.floor(F.col("target") / F.col("n")) + F.when(F.col("rn") <= F.col("target") % F.col("n"), 1).otherwise(0)
+    out = out.withColumn("copies", copies.cast("int")).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies", "rn", "n", "target")
+
+
+def first_by(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each group."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
