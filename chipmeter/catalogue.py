@@ -1,7 +1,7 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-from .plans import pairs, raster
+from .plans import pairs, raster, records
 
-QUERIES: dict = {**raster.Q, **pairs.Q}
-ORACLES: dict = {**raster.SQL, **pairs.SQL}
+QUERIES: dict = {**raster.Q, **pairs.Q, **records.Q}
+ORACLES: dict = {**raster.SQL, **pairs.SQL, **records.SQL}
 FLAGSHIP = "A15_area_summary"

@@ -99,6 +99,6 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     verdict = F.create_map(*[F.lit(x) for kv in {"click": "accepted", "error": "rejected", "purchase": "edited", "view": "skipped", "signup": "bogus"}.items() for x in kv])
     return e.select(
-        "event_id", "ts", (F.col("event_id") % 400).alias("assignment"), F.col("user_id").alias("labeler"), F.coalesce(verdict[F.col("event_type")], F.lit("bogus")).alias("verdict"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 400).alias("assignment"), F.col("user_id").alias("labeler"), F.coalesce(verdict[F.col("event_type")], F.lit("bogus")).alias("verdict"),
         F.element_at(F.array(*map(F.lit, ("", "cloud", "ambiguous", "land-edge", "melange", "odd"))), (F.col("event_id") % 6 + 1).cast("int")).alias("tag"),
     )
