@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +58,9 @@ def order_id(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(col.cast("long"), F.lit(LAST_ID))
 
 
-def rename_clashes(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Drop the columns of ``df`` that an operator is about to add."""
-    return df.drop(*[c for c in df.columns if c in set(names)])
+def packed(df: DataFrame, **added: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``df``, beside the added ones, so that no names clash; ``row.*`` unpacks it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in added.items()])
 
 
 def bounded_sample(df: DataFrame, label: str, key: Column, per_class: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed
 
 N = 10
 #: Most windows to send to the tasks at once; a larger benchmark goes in several passes.
@@ -134,17 +134,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """``docs`` without contaminated rows (``documents``), or with hit words taken out of their texts (``spans``)."""
     grams = windows(benchmark, n=n)
     found = hits(candidates(docs, grams, text, doc_id, n), grams)
-    found = materialise(found.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), _covered(F.col("spans")).alias("_hit")))
-    on = docs[doc_id].eqNullSafe(F.col("_i")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_t"))
+    found = materialise(found.select("_id", "_text", _covered(F.col("spans")).alias("hit")))
+    id_key, text_key = _row_key(text, doc_id)
+    rows = packed(docs, i=id_key, t=text_key)
+    on = rows.i.eqNullSafe(found["_id"]) & rows.t.eqNullSafe(found["_text"])
     if remove == "documents":
-        return docs.join(found, on, "left_anti")
+        return rows.join(found, on, "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError(remove)
-    rest = F.zip_with(
-        F.split(F.col(text), WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, word: F.struct(gap.alias("gap"), word.alias("word"))
-    )
-    kept = F.transform(rest, lambda p, i: F.concat(p["gap"], F.when(F.array_contains("_hit", i), "").otherwise(F.coalesce(p["word"], F.lit("")))))
-    return docs.join(found, on, "left").withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).select(*docs.columns)
+    col = F.col(f"row.`{text}`")
+    rest = F.zip_with(F.split(col, WORD, -1), F.regexp_extract_all(col, F.lit(WORD), F.lit(0)), lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+    kept = F.transform(rest, lambda p, i: F.concat(p["gap"], F.when(F.array_contains("hit", i), "").otherwise(F.coalesce(p["word"], F.lit("")))))
+    new = F.when(F.col("hit").isNull(), col).otherwise(F.array_join(kept, ""))
+    return rows.join(found, on, "left").withColumn("row", F.col("row").withField(f"`{text}`", new)).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

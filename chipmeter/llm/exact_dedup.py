@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialise, text_or_empty
+from .common import SPACES, materialise, packed, text_or_empty
 
 #: A digest group is spread over so many salts; each salt's part is combined by itself first.
 SALTS = 32
@@ -84,13 +84,13 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", diges
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged; one row for each class, also of identical rows."""
     best = materialise(decisions(docs, text, doc_id, salts=salts).where("kept").groupBy("text_sha256", "rank").agg(F.count(F.lit(1)).alias("_rows")))
-    best = best.select(F.col("text_sha256").alias("_dig"), F.col("rank").alias("_rank"), "_rows")
-    keyed = docs.withColumns({"_dig": digest(normalised(text)), "_rank": _rank(text, doc_id)})
-    single = keyed.join(best.where("_rows = 1"), ["_dig", "_rank"], "left_semi").drop("_dig", "_rank")
+    best = best.select(F.col("text_sha256").alias("dig"), "rank", "_rows")
+    keyed = packed(docs, dig=digest(normalised(text)), rank=_rank(text, doc_id))
+    single = keyed.join(best.where("_rows = 1"), ["dig", "rank"], "left_semi").select("row.*")
     if best.where("_rows > 1").limit(1).count() == 0:
         return single
-    repeated = keyed.join(best.where("_rows > 1"), ["_dig", "_rank"], "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["_dig", "_rank"]).drop("_dig", "_rank"))
+    repeated = keyed.join(best.where("_rows > 1"), ["dig", "rank"], "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["dig", "rank"]).select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, packed, text_or_empty
 
 LEAF = ("_domain", "_lang", "_source")
 #: Documents of a leaf that are sorted together, about; a leaf has as many sort buckets as it needs.
@@ -103,31 +103,31 @@ def mix(docs: DataFrame, plan: Plan = Plan(), domain: Column | None = None, toke
     Columns of ``docs`` with those names are replaced. Identical rows are different documents here.
     The columns that a caller drops, such as the text, are not moved.
     """
-    base = docs.drop("domain", "tokens", "epoch").withColumns({
-        "domain": domain if domain is not None else source_domain(source), "tokens": tokens if tokens is not None else n_tokens(text),
-    })
-    base = base.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(LEAF, ("domain", lang, source))}).where("tokens > 0")
+    domain = domain if domain is not None else source_domain(source)
+    names = {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in zip(LEAF, (domain, F.col(lang), F.col(source)))}
+    count = tokens if tokens is not None else n_tokens(text)
+    ties = F.xxhash64(F.col(text)) if text in docs.columns else F.lit(0)
+    base = packed(docs, domain=domain, tokens=count.cast("long"), id=F.col(doc_id), tie=ties, **names).where("tokens > 0")
     leaves = materialise(base.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
     quotas = materialise(budgets(leaves, plan).where("quota > 0").select(
         *LEAF, F.expr("quota div tokens").alias("_passes"), F.expr("quota % tokens").alias("_rest"), F.expr(f"docs div {BUCKET_DOCS} + 1").alias("_buckets"),
     ))
     small = quotas.count() <= BROADCAST_LEAVES
     keyed = base.join(F.broadcast(quotas) if small else quotas, list(LEAF))
-    keyed = keyed.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("_passes").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")))
+    keyed = keyed.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("_passes").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
     keyed = keyed.withColumn("_bucket", F.expr("conv(substr(_key, 1, 8), 16, 10) * _buckets div 4294967296"))
     cell = [*LEAF, "_bucket"]
     before = W.partitionBy(*LEAF).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = keyed.groupBy(*cell).agg(F.sum("tokens").alias("_sum"))
     sums = materialise(sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum"))
-    ties = [F.xxhash64(F.col(text))] if text in docs.columns and tokens is None else []
-    within = W.partitionBy(*cell).orderBy("_key", doc_id, *ties).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(*cell).orderBy("_key", "id", "tie").rowsBetween(W.unboundedPreceding, 0)
     rows = keyed.join(sums, cell).withColumn("_end", F.col("_before") + F.sum("tokens").over(within))
     epochs = F.concat(
         F.when(F.col("_passes") > 0, F.sequence(F.lit(0), (F.col("_passes") - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
         F.when(F.col("_end") <= F.col("_rest"), F.array(F.col("_passes").cast("int"))).otherwise(F.array().cast("array<int>")),
     )
     kept = [c for c in docs.columns if c not in ("domain", "tokens", "epoch")]
-    return rows.withColumn("epoch", F.explode(epochs)).select(*kept, "domain", "tokens", "epoch")
+    return rows.withColumn("epoch", F.explode(epochs)).select(*[F.col(f"row.`{c}`") for c in kept], "domain", "tokens", "epoch")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, order_id, text_or_empty
+from .common import materialise, order_id, packed, text_or_empty
 
 SHINGLE, RADIUS, PARTS, BIN_CAP, SEED = 3, 3, 4, 4096, 42
 _BITS = np.arange(64, dtype=np.uint64)
@@ -194,7 +194,7 @@ def _meet(fps: DataFrame, free: list[int], radius: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for fp in np.array_split(b.column(0).to_numpy(zero_copy_only=False), -(-b.num_rows // 256)):
+            for fp in np.array_split(b.column(0).to_numpy(zero_copy_only=False), max(1, -(-b.num_rows // 256))):
                 z = (fp[:, None] ^ mask).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.repeat(fp, len(mask))), pa.array(np.tile(inner, len(fp)))], ["z", "fp", "inner"])
 
@@ -243,8 +243,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component; rows with a null id stay only where no other has an id."""
     found = near_duplicates(docs, text, doc_id, **params)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", order_id(doc_id)).join(gone, "_id", "left_anti").drop("_id")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id("doc_id").alias("id")).distinct()
+    return packed(docs, id=order_id(doc_id)).join(gone, "id", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

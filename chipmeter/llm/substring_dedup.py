@@ -193,19 +193,19 @@ def _stream(shards: DataFrame, length: int) -> DataFrame:
     """Spans (_id, _h, start, size) from shards (anchor) whose rows come in the order of ids."""
 
     def run(batches):
-        anchor, ident, auto, waiting = None, None, None, []
+        anchor, ident, auto, own = None, None, None, {}
         for b in batches:
             out = []
             for i, h, a, s, w in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if a != anchor:
-                    anchor, ident, auto, waiting = a, i, Automaton(), []
+                    anchor, ident, auto, own = a, i, Automaton(), {}
                 elif i != ident:
-                    for x in waiting:
-                        auto.add(x)
-                    ident, waiting = i, []
-                words = w.split(b" ")
-                out += [(i, h, s + x, y - x) for x, y in auto.matches(words, length)]
-                waiting.append(words)
+                    for x in own:
+                        auto.add(x.split(b" "))
+                    ident, own = i, {}
+                if w not in own:  # a document may have a segment several times
+                    own[w] = list(auto.matches(w.split(b" "), length))
+                out += [(i, h, s + x, y - x) for x, y in own[w]]
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "_h", "start", "size"])
 
@@ -227,7 +227,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     out = rows.where("first < _id").select("_id", "_h", "start", "size")
     kinds = rows.where("first = _id").groupBy("anchor").agg(F.countDistinct("seg").alias("kinds")).where("kinds > 1")
     kinds = materialise(kinds)
-    wanted = rows.where("first = _id").join(kinds, "anchor").dropDuplicates(["anchor", "seg", "_id", "_h"])
+    wanted = rows.where("first = _id").join(kinds, "anchor")
     cut = materialise(_cut(docs, wanted.select("_id", "_h", "anchor", "start", "size"), text, doc_id))
     large = kinds.where(F.col("kinds") > shard_cap).select("anchor")
     if large.limit(1).count() == 0:
@@ -272,7 +272,8 @@ def _apply(docs: DataFrame, found: DataFrame, text: str, doc_id: str, make, sche
                 for s, z in zip(st or (), sz or ()):
                     keep[s : s + z] = False
                 out.append(make(words, keep))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*out))] if out else [b.column(0)] + [pa.array([])] * 3, ["doc_id", "n_words", "n_removed", "kept"])
+            cols = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept"])
 
     return rows.select("doc_id", "text", "gone.start", "gone.size").mapInArrow(run, f"doc_id long, {schema}")
 
