@@ -400,7 +400,7 @@ def detection_stats(spark, sf):
     return out.withColumns({"match_rate": F.try_divide("n_matched", "n_ref"), "precision": F.try_divide("n_matched", "n_pred")})
 
 
-@query("A15_area_summary", OTSU.format(src="px", least=1) + COMP.format(cond="b08 >= (SELECT t FROM ot WHERE ot.chip_id = cells.chip_id) AND chip_id IN (SELECT chip_id FROM px GROUP BY chip_id HAVING avg(CAST(b08 >= 0.55 AS INT)) <= 0.4)") + ", s AS (SELECT g, l, count(*) * 100.0 AS a FROM lab GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT sza_bin, region, a FROM s JOIN (SELECT DISTINCT chip_id, sza_bin, region FROM px) ON g = chip_id) SELECT sza_bin, region, count(*) AS n, round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(sum(a), 6) AS total, round(quantile_cont(a, 0.25), 6) AS p25, round(quantile_cont(a, 0.75), 6) AS p75 FROM t GROUP BY ALL")
+@query("A15_area_summary", OTSU.format(src="px", least=1) + COMP.format(cond="b08 >= (SELECT t FROM ot WHERE ot.chip_id = cells.chip_id) AND chip_id IN (SELECT chip_id FROM px GROUP BY chip_id HAVING avg(CAST(b08 >= 0.55 AS INT)) <= 0.4)") + ", s AS (SELECT g, l, count(*) * 100.0::DOUBLE AS a FROM lab GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT sza_bin, region, a FROM s JOIN (SELECT DISTINCT chip_id, sza_bin, region FROM px) ON g = chip_id) SELECT sza_bin, region, count(*) AS n, round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(sum(a), 6) AS total, round(quantile_cont(a, 0.25), 6) AS p25, round(quantile_cont(a, 0.75), 6) AS p75 FROM t GROUP BY ALL")
 def area_summary(spark, sf):
     """Chips to Otsu masks, coverage gate, objects, size cut and areas by bin and region."""
     px = _px(spark, sf)

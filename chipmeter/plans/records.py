@@ -344,7 +344,7 @@ def fan_out(spark, sf):
     return a.join(once, ["region", "at"], "left").select("id", "wind")
 
 
-RING = ", rr AS (SELECT c_custkey AS grid, CAST(c_custkey % 40 AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y, 3.0 + c_custkey % 7 AS k FROM customer WHERE c_custkey % 10 > 0)"
+RING = ", rr AS (SELECT c_custkey AS grid, CAST(c_custkey % 40 AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y, 3.0::DOUBLE + c_custkey % 7 AS k FROM customer WHERE c_custkey % 10 > 0)"
 
 
 def _rings(spark, sf):
