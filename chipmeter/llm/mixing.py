@@ -21,7 +21,7 @@ from .common import materialise, packed, text_or_empty
 
 LEAF = ("_domain", "_lang", "_source")
 #: Documents of a leaf that are sorted together, about; a leaf has as many sort buckets as it needs.
-BUCKET_DOCS = 2000
+BUCKET_DOCS = 500
 #: Most leaves to broadcast; more are joined without it.
 BROADCAST_LEAVES = 100_000
 
