@@ -16,7 +16,7 @@ from ..sources import io as IO
 from ..sources import views as V
 from ..sources.scratch import materialise
 from .common import INVENTORY, PAIRS, PX, rounded
-from .raster import COMP, _labels
+from .raster import COMP, FIRST, _labels
 from .records import NAMES, _scenes
 
 Q, SQL = {}, {}
@@ -284,9 +284,9 @@ def object_ids(spark, sf):
     return S.with_positions(s, "grid", "label").select("grid", "label", (F.col("global_index") + 1).alias("object_id"))
 
 
-@query("U4_stable_prefixes", ", t AS (SELECT satellite, list(left(tile, 2) ORDER BY id) AS ps FROM sc WHERE id < 2000 GROUP BY satellite) SELECT satellite, array_to_string(list_transform(list_filter(list_zip(ps, range(1, len(ps) + 1)), lambda x: list_position(ps, x[1]) = x[2]), lambda x: x[1]), ',') AS prefixes FROM t", NAMES)
+@query("U4_stable_prefixes", ", t AS (SELECT satellite, list(left(tile, 2) ORDER BY id) AS ps FROM sc GROUP BY satellite) SELECT satellite, array_to_string(list_transform(list_filter(list_zip(ps, range(1, len(ps) + 1)), lambda x: list_position(ps, x[1]) = x[2]), lambda x: x[1]), ',') AS prefixes FROM t", NAMES)
 def prefixes(spark, sf):
-    s = _scenes(spark, sf).where("id < 2000").withColumn("pre", F.substring("tile", 1, 2))
+    s = _scenes(spark, sf).withColumn("pre", F.substring("tile", 1, 2))
     first = s.groupBy("satellite", "pre").agg(F.min("id").alias("first"))
     return first.groupBy("satellite").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "pre"))), lambda x: x["pre"]), ",").alias("prefixes"))
 
@@ -299,7 +299,10 @@ def small_missed(spark, sf):
     return O.sizes(left).where("px > 1 and px < 8").select("grid", "label", "px")
 
 
-@query("R7_large_bright_guard")
+GUARD = FIRST.format(cond="b08 >= 0.55") + ', bg AS (SELECT g, l FROM gtl GROUP BY ALL HAVING count(*) >= 10), w1 AS (SELECT DISTINCT gtl.g, gtl."row" + dr AS r, gtl.col + dc AS c FROM gtl JOIN bg USING (g, l), (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(dr, dc) WHERE gtl."row" + dr BETWEEN 0 AND 7 AND gtl.col + dc BETWEEN 0 AND 7), w2 AS (SELECT DISTINCT g, r + dr AS r, c + dc AS c FROM w1, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(dr, dc))'
+
+
+@query("R7_large_bright_guard", GUARD + COMP.format(cond='b08 >= 0.60 AND NOT EXISTS (SELECT 1 FROM w2 WHERE w2.g = cells.chip_id AND w2.r = cells."row" AND w2.c = cells.col)') + " SELECT g AS grid, l AS label, count(*) AS px FROM lab GROUP BY ALL HAVING count(*) BETWEEN 2 AND 32", PX)
 def bright_guard(spark, sf):
     """Candidates of 2 to 32 cells at the higher threshold that no large bright region, widened twice, touches."""
     big = O.sizes(_labels(spark, sf, "b08 >= 0.55")).where("px >= 10").select("grid", "label")
@@ -309,7 +312,7 @@ def bright_guard(spark, sf):
     return O.sizes(O.components(cells, width=8)).where("px between 2 and 32").select("grid", "label", "px")
 
 
-@query("R8_include_and_fill")
+@query("R8_include_and_fill", COMP.format(cond="cls = 0") + ', inn AS (SELECT g, l, count(*) AS c FROM lab GROUP BY ALL HAVING max(CAST("row" IN (0, 7) OR col IN (0, 7) AS INT)) = 0), al AS (SELECT chip_id AS grid, count(*) AS c FROM cells WHERE cls > 0 GROUP BY chip_id UNION ALL SELECT g, c FROM inn) SELECT grid, CAST(sum(c) AS BIGINT) AS px FROM al GROUP BY grid', PX)
 def include_fill(spark, sf):
     """Class 1, class 2 and the background that they enclose: background components that don't reach the border."""
     px = V.cells(spark, sf).withColumnRenamed("chip_id", "grid")

@@ -359,7 +359,11 @@ def missed_summary(spark, sf):
     return s.groupBy("grid").agg(F.count(F.lit(1)).alias("n_missed"), F.array_join(F.transform(F.array_sort(F.collect_list("px")), lambda x: x.cast("string")), ",").alias("areas"))
 
 
-TWO = COMP.format(cond="cls = 1").replace("fg AS", "fg1 AS").replace("FROM fg ", "FROM fg1 ").replace("JOIN fg ", "JOIN fg1 ").replace("fg.", "fg1.").replace("ed AS", "ed1 AS").replace("JOIN ed ", "JOIN ed1 ").replace("ed.", "ed1.").replace("rc(", "rc1(").replace("FROM rc ", "FROM rc1 ").replace("rc.", "rc1.").replace("lab AS", "gtl AS") + COMP.format(cond="p > 0.5")
+#: The components of a second mask under names of their own: gtl.
+FIRST = COMP
+for old, new in (("fg AS", "fg1 AS"), ("FROM fg ", "FROM fg1 "), ("JOIN fg ", "JOIN fg1 "), ("fg.", "fg1."), ("ed AS", "ed1 AS"), ("JOIN ed ", "JOIN ed1 "), ("ed.", "ed1."), ("rc(", "rc1("), ("FROM rc ", "FROM rc1 "), ("rc.", "rc1."), ("lab AS", "gtl AS")):
+    FIRST = FIRST.replace(old, new)
+TWO = FIRST.format(cond="cls = 1") + COMP.format(cond="p > 0.5")
 OVER = TWO + ", ov AS (SELECT a.g, a.l AS gt, b.l AS pred, count(*) AS shared FROM gtl a JOIN lab b ON a.g = b.g AND a.pos = b.pos GROUP BY ALL), ga AS (SELECT g, l AS gt, count(*) AS gt_px FROM gtl GROUP BY ALL), pa AS (SELECT g, l AS pred, count(*) AS pred_px FROM lab GROUP BY ALL), iou AS (SELECT g AS grid, gt, pred, shared, gt_px, pred_px, CAST(shared AS DOUBLE) / (gt_px + pred_px - shared) AS iou FROM ov JOIN ga USING (g, gt) JOIN pa USING (g, pred))"
 
 
