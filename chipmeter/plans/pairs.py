@@ -309,8 +309,8 @@ def append_nulls(spark, sf):
 
 @query("W20_seeded_batches", ", s AS (SELECT chip, row_number() OVER (ORDER BY md5('5|' || chip), chip) AS rn FROM inv WHERE n_objects > 0) SELECT chip, CAST(floor((rn - 1) / 50.0) AS INT) AS batch FROM s WHERE rn <= 1000", INV)
 def batches(spark, sf):
-    top = V.inventory(spark, sf).where("n_objects > 0").withColumn("k", S.seeded(5, "chip")).orderBy("k", "chip").limit(1000)  # the shuffle has 20 batches of 50
-    return S.with_positions(top.withColumn("all", F.lit(0)), "all", "k").select("chip", F.floor(F.col("position") / 50).cast("int").alias("batch"))
+    top = V.inventory(spark, sf).where("n_objects > 0").withColumn("k", S.seeded(5, "chip")).orderBy("k", "chip").limit(20 * 150)  # the shuffle has 20 batches of 150
+    return S.with_positions(top.withColumn("all", F.lit(0)), "all", "k").select("chip", F.floor(F.col("position") / 150).cast("int").alias("batch"))
 
 
 @query("J22_domain_completion", ", d AS (SELECT b, m FROM (SELECT unnest(['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75']) AS b), (SELECT unnest(['crowd', 'expert', 'model']) AS m)) SELECT b AS sza_bin, m AS source, count(chip) AS n, round(avg(max_rl), 6) AS mean FROM d LEFT JOIN inv ON sza_bin = b AND source = m GROUP BY ALL", INV)
