@@ -79,3 +79,25 @@ def bounded_sample(df: DataFrame, label: str, key: Column, per_class: int) -> Da
     for value, n in counts:
         rate = F.when(F.col(label) == F.lit(value), F.lit(min(grain, -(-grain * per_class // n)))).otherwise(rate)
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(grain)) < rate).limit(int(per_class * 1.5) * len(counts) + 100)
+
+
+def one_per_component(docs: DataFrame, named: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with exactly one row of each component: the smallest id, nulls last; ties by the text's hash, then by the row's.
+
+    ``named`` (doc_id, text_hash, root) has a row for each of ``docs``; text_hash is the xxhash64 of the text, null as empty.
+    """
+    keys = materialise(named.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = keys.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    gone = keys.join(best, "root").where(order != F.col("best")).select("doc_id", "text_hash")
+    rows = packed(docs, i=F.col(doc_id).cast("long"), h=F.xxhash64(text_or_empty(text)))
+    on = lambda k: rows.i.eqNullSafe(k.doc_id) & (rows.h == k.text_hash)
+    gone = materialise(gone)
+    out = rows.join(gone, on(gone), "left_anti")
+    again = materialise(keys.where("n > 1").select("doc_id", "text_hash"))
+    if again.limit(1).count():  # rows of the same id and text
+        twice = out.join(again, out.i.eqNullSafe(again.doc_id) & (out.h == again.text_hash), "left_semi")
+        one = twice.groupBy("i", "h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        once = out.join(again, out.i.eqNullSafe(again.doc_id) & (out.h == again.text_hash), "left_anti")
+        return once.select("row.*").unionByName(one.select("row.*"))
+    return out.select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, order_id, packed, text_or_empty
+from .common import materialise, one_per_component, text_or_empty
 
 SHINGLE, RADIUS, PARTS, BIN_CAP, SEED = 3, 3, 4, 4096, 42
 _BITS = np.arange(64, dtype=np.uint64)
@@ -46,15 +46,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) of every row, whole texts; null texts count as empty."""
+    """doc_id, fp (long) and text_hash of every row, whole texts; null texts count as empty."""
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"), F.xxhash64(text_or_empty(text)).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
@@ -228,23 +228,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
-    """doc_id, fp and component_id of every row. Null ids belong to components but never name one with other ids."""
+def _rooted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
+    """doc_id, text_hash, fp, root (smallest fingerprint of the component) and component_id of every row."""
     own = materialise(fingerprints(docs, text, doc_id, shingle))
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes, radius, parts, bin_cap))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialise(named)
     names = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    by_fp = materialise(named.join(names, "root").select("fp", "component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialise(named.join(names, "root").select("fp", "root", "component_id"))
+    return own.join(by_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
+    """doc_id, fp and component_id of every row. Null ids belong to components but never name one with other ids."""
+    return _rooted(docs, text, doc_id, **params).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; rows with a null id stay only where no other has an id."""
-    found = near_duplicates(docs, text, doc_id, **params)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id("doc_id").alias("id")).distinct()
-    return packed(docs, id=order_id(doc_id)).join(gone, "id", "left_anti").select("row.*")
+    """``docs`` with one row of each component: the smallest doc_id, nulls last; ties by the text's hash."""
+    return one_per_component(docs, _rooted(docs, text, doc_id, **params), text, doc_id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
