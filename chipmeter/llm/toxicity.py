@@ -14,18 +14,22 @@ A count n_c(word) is the number of distinct texts of the class that have the wor
 within one count once. Counts come from all labelled rows that may be learned from, but for one in five of them, which (up to a
 bound) set the weights of a logistic regression on the length-normalised difference of the log-likelihoods, and on
 the part of it that comes from words with clear evidence. Texts are scored whole. Null and empty texts have no evidence.
+
+The model is two Spark tables, of every word above the discount and of every stem. The most frequent of both also travel
+with the tasks; words that these can't settle are joined with the tables, so the bounds of what travels change no score.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_sample, id_remainder, materialise
 from .decontam import words
@@ -33,7 +37,7 @@ from .subword import fit_logistic
 
 #: Evidence of one word, in nats, from which it is clear.
 CLEAR = 2.5
-#: Discount, letters in a stem, most words and stems in the model (the most frequent stay), rows of each class to calibrate on.
+#: Discount, letters in a stem, most words and stems that travel with tasks (the rest is joined), rows of each class to calibrate on.
 DISCOUNT, STEM, MOST_WORDS, MOST_STEMS, PER_CLASS = 3.0, 4, 200_000, 100_000, 3000
 #: Most labelled rows to broadcast to the texts; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
@@ -41,44 +45,25 @@ THRESHOLD = 0.3
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
-class Table(dict):
-    """Log-likelihood ratio of a word; words that the model doesn't hold go by their stem."""
-
-    def __init__(self, items, stems: dict, letters: int):
-        super().__init__(items)
-        self.stems, self.letters = stems, letters
-
-    def __missing__(self, word: str) -> float:
-        return self.stems.get(word[: self.letters], 0.0)
+@dataclass
+class Model:
+    """Log-likelihood ratios: tables words (word, ratio) and stems (stem, ratio), and the most frequent of both at hand."""
 
-    def __reduce__(self):
-        return Table, (list(self.items()), self.stems, self.letters)
+    words: DataFrame
+    stems: DataFrame
+    near_words: dict
+    near_stems: dict
+    all_words: bool  # nothing is in the tables that is not at hand
+    all_stems: bool
+    letters: int = STEM
 
 
 @dataclass
 class Scorer:
-    table: Table | None = None
+    model: Model | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     constant: float = 0.0
 
-    def evidence(self, texts: list) -> np.ndarray:
-        """Log-likelihood ratio of the text per word and per root of its number of words, that of clear words, and one."""
-        out = np.zeros((len(texts), 4))
-        out[:, 3] = 1
-        look = self.table.__getitem__
-        for k, t in enumerate(texts):
-            ws = _WORD.findall(t.lower()) if t else []
-            if ws:
-                each = np.fromiter(map(look, ws), float, len(ws))
-                total, clear, root = each.sum(), each[each > CLEAR].sum(), math.sqrt(len(ws))
-                out[k, :3] = total / len(ws), total / root, clear / root
-        return out
-
-    def score(self, texts: list) -> np.ndarray:
-        if self.table is None:
-            return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.evidence(texts) @ self.weights, -30, 30)))
-
 
 def counts(rows: DataFrame, letters: int = STEM) -> DataFrame:
     """word, stem, n1 (toxic) and n0 (ordinary): how many of the whole texts of rows (text, y) have the word."""
@@ -102,7 +87,7 @@ def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(bucket >= least)
 
 
-def tables(word_counts: DataFrame, discount: float = DISCOUNT, letters: int = STEM, most_words: int = MOST_WORDS, most_stems: int = MOST_STEMS) -> Table:
+def model(word_counts: DataFrame, discount: float = DISCOUNT, letters: int = STEM, most_words: int = MOST_WORDS, most_stems: int = MOST_STEMS) -> Model | None:
     """The model from the word counts; what comes to the driver is bounded by most_words and most_stems."""
     held = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"h{c}") for c in ("n1", "n0")}
     stems = word_counts.groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), *held.values(), F.count(F.lit(1)).alias("types"))
@@ -111,25 +96,76 @@ def tables(word_counts: DataFrame, discount: float = DISCOUNT, letters: int = ST
         *[F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"h{c}") for c in ("n1", "n0")],
     ).first()
     if not total["types"]:
-        return Table([], {}, letters)
-    top_stems = _most_frequent(stems, most_stems).toPandas()
-    often = word_counts.where((F.col("n1") > discount) | (F.col("n0") > discount))
-    top_words = _most_frequent(often, most_words).toPandas()
+        return None
+
+    def ratio(p: dict[str, Column]) -> Column:
+        return F.log(p["n1"]) - F.log(p["n0"])
 
-    share = top_stems.types / total.types
-    p_stem = {c: (np.maximum(top_stems[c] - discount, 0) + total[f"h{c}"] * share) / max(1, total[c]) for c in ("n1", "n0")}
-    of_stem = np.log(p_stem["n1"]) - np.log(p_stem["n0"])
+    share = F.col("types") / total.types
+    of_stem = ratio({c: (F.greatest(F.col(c) - discount, F.lit(0)) + total[f"h{c}"] * share) / max(1, total[c]) for c in ("n1", "n0")})
     # a word without counts of its own: what is held back for its stem, in either class
-    rest = {c: np.where(top_stems[c] > 0, top_stems[f"h{c}"] / np.maximum(top_stems[c], 1), 1.0) for c in ("n1", "n0")}
-    stem_ratio = dict(zip(top_stems.stem, of_stem + np.log(rest["n1"]) - np.log(rest["n0"])))
+    rest = {c: F.when(F.col(c) > 0, F.col(f"h{c}") / F.col(c)).otherwise(1.0) for c in ("n1", "n0")}
+    stems = materialise(stems.withColumn("of_stem", of_stem).withColumn("ratio", F.col("of_stem") + ratio(rest)))
+
+    often = word_counts.where((F.col("n1") > discount) | (F.col("n0") > discount))
+    w = often.join(stems.select("stem", "of_stem", *[F.col(c).alias(f"{c}_s") for c in ("n1", "n0", "hn1", "hn0")]), "stem")
+    back = (F.col("n1") + F.col("n0")) / (F.col("n1_s") + F.col("n0_s"))
+    p = {c: F.when(F.col(f"{c}_s") > 0, (F.greatest(F.col(c) - discount, F.lit(0)) + F.col(f"h{c}_s") * back) / F.col(f"{c}_s")).otherwise(back) for c in ("n1", "n0")}
+    ws = materialise(w.select("word", "n1", "n0", (F.col("of_stem") + ratio(p)).alias("ratio")))
 
-    w = top_words.merge(top_stems.assign(of_stem=of_stem), on="stem", suffixes=("", "_s"))
-    back = (w.n1 + w.n0) / (w.n1_s + w.n0_s)
-    p = {c: np.where(w[f"{c}_s"] > 0, (np.maximum(w[c] - discount, 0) + w[f"h{c}"] * back) / np.maximum(w[f"{c}_s"], 1), back) for c in ("n1", "n0")}
-    return Table(zip(w.word, w.of_stem + np.log(p["n1"]) - np.log(p["n0"])), stem_ratio, letters)
+    near_words = dict(_most_frequent(ws, most_words).select("word", "ratio").toPandas().itertuples(index=False))
+    near_stems = dict(_most_frequent(stems, most_stems).select("stem", "ratio").toPandas().itertuples(index=False))
+    return Model(ws, stems, near_words, near_stems, len(near_words) == ws.count(), len(near_stems) == stems.count(), letters)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", discount: float = DISCOUNT, per_class: int = PER_CLASS) -> Scorer:
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """The columns of rows (text, others) but for text, and words, total, clear: number of words, their log-likelihood ratio, that of clear ones."""
+    near, stems, letters, all_words, settled = model.near_words, model.near_stems, model.letters, model.all_words, model.all_words and model.all_stems
+
+    def settle(word: str) -> float | None:
+        """The ratio of a word, if what is at hand tells it."""
+        r = near.get(word)
+        if r is None and all_words:
+            r = stems.get(word[:letters], 0.0 if settled else None)
+        return r
+
+    others = [c for c in rows.columns if c != "text"]
+    fields = [*[rows.schema[c] for c in others], *StructType.fromDDL("words long, total double, clear double, open array<struct<word: string, times: long>>").fields]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                ws = _WORD.findall(t.lower()) if t else []
+                each = [(w, settle(w)) for w in ws]
+                known = np.array([r for _, r in each if r is not None], float)
+                left = [{"word": w, "times": k} for w, k in Counter(w for w, r in each if r is None).items()]
+                out.append((len(ws), known.sum(), known[known > CLEAR].sum(), left))
+            n, total, clear, left = zip(*out) if out else ((), (), (), ())
+            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+            made = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(clear, pa.float64()), pa.array(left, kind)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made], [f.name for f in fields])
+
+    found = rows.mapInArrow(run, StructType(fields))
+    if settled:
+        return found.drop("open")
+    found = materialise(found.withColumn("_row", F.monotonically_increasing_id()))
+    each = found.select("_row", F.explode("open").alias("o")).select("_row", "o.word", "o.times", F.substring("o.word", 1, letters).alias("stem"))
+    each = each.join(model.words.select("word", F.col("ratio").alias("own")), "word", "left").join(model.stems.select("stem", F.col("ratio").alias("of_stem")), "stem", "left")
+    r = F.coalesce("own", "of_stem", F.lit(0.0))
+    more = each.groupBy("_row").agg(F.sum(r * F.col("times")).alias("more"), F.sum(F.when(r > CLEAR, r * F.col("times"))).alias("more_clear"))
+    out = found.join(more, "_row", "left")
+    sums = {c: F.col(c) + F.coalesce(m, F.lit(0.0)) for c, m in (("total", "more"), ("clear", "more_clear"))}
+    return out.withColumns(sums).drop("_row", "open", "more", "more_clear")
+
+
+def _features() -> list[Column]:
+    """Log-likelihood ratio of the text per word and per root of its number of words, that of clear words, and one."""
+    n = F.greatest(F.col("words"), F.lit(1))
+    return [F.col("total") / n, F.col("total") / F.sqrt(n), F.col("clear") / F.sqrt(n), F.lit(1.0)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", discount: float = DISCOUNT, per_class: int = PER_CLASS, most_words: int = MOST_WORDS, most_stems: int = MOST_STEMS) -> Scorer:
     """Learn from the ``labels`` rows where ``learn`` holds (all, if None)."""
     known = labels if learn is None else labels.where(learn)
     known = known.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).dropDuplicates(["_id"])
@@ -145,26 +181,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
     first = materialise(first.select("_id").distinct())
     if sum(n.values()) <= BROADCAST_LABELS:
         first = F.broadcast(first)
-    table = tables(materialise(counts(rows.where(~aside).join(first, "_id", "left_semi"))), discount)
-    check = bounded_sample(rows.where(aside), "y", F.col("_id"), per_class).toPandas().sort_values(["_id", "text"])
-    out = Scorer(table, constant=n[1] / (n[0] + n[1]))
+    out = Scorer(constant=n[1] / (n[0] + n[1]))
+    learned = model(materialise(counts(rows.where(~aside).join(first, "_id", "left_semi"))), discount, most_words=most_words, most_stems=most_stems)
+    if learned is None:
+        return out
+    check = evidence(bounded_sample(rows.where(aside), "y", F.col("_id"), per_class).select("_id", "y", "text"), learned)
+    check = check.select("_id", "y", *[f.alias(f"f{k}") for k, f in enumerate(_features())]).toPandas().sort_values(["_id", "f0", "f1", "f2"])
     y = check.y.to_numpy()
     if len(set(y)) < 2:
-        return Scorer(constant=out.constant)
+        return out
+    out.model = learned
     share = np.array([n[k] / (y == k).sum() for k in (0, 1)])
-    out.weights = fit_logistic(out.evidence(list(check.text)), y.astype(float), share[y] / share[y].sum() * len(y))
+    out.weights = fit_logistic(check[["f0", "f1", "f2", "f3"]].to_numpy(), y.astype(float), share[y] / share[y].sum() * len(y))
     return out
 
 
 def scores(docs: DataFrame, scorer: Scorer, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and score of every row."""
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.score(b.column(1).to_pylist()))], ["doc_id", "score"])
-
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    if scorer.model is None:
+        return rows.select("doc_id", F.lit(float(scorer.constant)).alias("score"))
+    z = sum((f * float(w) for f, w in zip(_features(), scorer.weights)), F.lit(0.0))
+    return evidence(rows, scorer.model).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
