@@ -1,209 +1,413 @@
 """Operator 7, toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
 
-Each class, toxic and ordinary, has a model that writes a text word by word, and each word in two steps: its first
-letters (the stem), then the word given its stem. Both steps are interpolated Kneser-Ney estimates:
-
-    P_c(word | stem) = (max(n_c(word) - D, 0) + held_c(stem) * P(word | stem)) / n_c(stem)
-    P_c(stem)        = (max(n_c(stem) - D, 0) + held_c * P(stem)) / n_c
-
-where held is what the discount D takes away. The backoff counts are shared by both classes: P(word | stem) is the
-word's share of its stem, and P(stem) the stem's share of all distinct words (its continuation count). So a word that
-is rare in both classes says what its stem says, and a rare stem says nothing.
-
-A count n_c(word) is the number of distinct texts of the class that have the word, so copies of a text and words repeated
-within one count once. Counts come from all labelled rows that may be learned from, but for one in five of them, which (up to a
-bound) set the weights of a logistic regression on the length-normalised difference of the log-likelihoods, and on
-the part of it that comes from words with clear evidence. Texts are scored whole. Null and empty texts have no evidence.
-
-The model is two Spark tables, of every word above the discount and of every stem. The most frequent of both also travel
-with the tasks; words that these can't settle are joined with the tables, so the bounds of what travels change no score.
+Each class c, toxic and ordinary, has a model that writes a text word by word, with the word before as context:
+
+    P_c(w | v)    = max(n_c(v w) - D, 0) / n_c(v) + held_c(v) * P_c(w)
+    P_c(w)        = P_c(stem) * P_c(w | stem)
+    P_c(w | stem) = (max(n_c(w) - D, 0) + held_c(stem) * P(w | stem)) / n_c(stem)
+    P_c(stem)     = (max(n_c(stem) - D, 0) + (held_c + 1) * P(stem)) / (n_c + 1)
+
+D is the discount, held what it takes away, and a stem the first letters of a word. The last backoff counts are shared by both
+classes: P(w | stem) is the word's share of its stem over both, and P(stem) the stem's share of all distinct words, its
+continuation count. So an expression that is rare in both classes says what its words say, a rare word what its stem says, and
+a rare stem the same as any other. n_c(w) and n_c(v w) are the numbers of distinct texts of the class that have the word or
+pair, so copies of a text and repeats within one count once.
+
+A number of n or fewer texts leaves nothing after a discount of n, so the model is exactly a table of the words, stems, contexts
+and pairs with more texts than D in a class; everything else is the backoff. Nothing else is cut. Each row of the table
+has a key and what it adds to the log-likelihood ratio of a word over what its backoff says, so a text's ratio at a
+word is a constant and the sum of the rows it finds. A table of at most ``most_rows`` travels with the tasks; a larger one is
+joined by key with the texts' words, which gives the same sums.
+
+The score is a logistic function of the ratio per word and of the words' excess over a mark, summed and divided by the root of
+their number, as a few toxic words in a long text leave its mean alone. Mark and weights come from a bounded sample of one in
+five labelled texts, which are scored by counts without them; the counts that score afterwards are of all.
+Texts are scored whole. Null and empty texts have no evidence. Rows that share an id or a text get the same score each;
+a label counts once for each distinct text. Without labels of both classes the score is the share of label 1, and 0 if there are none.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bounded_sample, id_remainder, materialise
-from .decontam import words
 from .subword import fit_logistic
 
-#: Evidence of one word, in nats, from which it is clear.
-CLEAR = 2.5
-#: Discount, letters in a stem, most words and stems that travel with tasks (the rest is joined), rows of each class to calibrate on.
-DISCOUNT, STEM, MOST_WORDS, MOST_STEMS, PER_CLASS = 3.0, 4, 200_000, 100_000, 3000
+#: Discount, letters in a stem, rows of each class to calibrate on.
+DISCOUNT, STEM, PER_CLASS = 3, 4, 3000
+#: Marks to choose from, in nats.
+MARKS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
+#: Most rows of the table that travel with tasks (12 bytes each); a larger table is joined.
+MOST_ROWS = 8_000_000
 #: Most labelled rows to broadcast to the texts; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
+#: Words whose numbers a task remembers before it starts afresh; bounds memory, not results.
+CACHE = 400_000
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of keys; the start of a text is the context 0.
+WORD, STEMS, CONTEXT, PAIR = (np.uint64(k) for k in range(4))
+
+
+def key(kind: np.uint64, h: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+    """Key (64 bits) of a word, stem, context or pair from the hashes of its words."""
+    with np.errstate(over="ignore"):
+        z = (h.view(np.uint64) + kind + np.uint64(1)) * _MIX
+        z ^= z >> np.uint64(31)
+        if then is not None:
+            z = (z + then.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            z ^= z >> np.uint64(29)
+    return z.view(np.int64)
+
+
+class Words:
+    """Hashes of words and of their stems, remembered for the words met."""
+
+    def __init__(self, letters: int = STEM):
+        self.letters, self.known, self.rows = letters, {}, np.zeros((0, 2), np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Row numbers of the words; a call may forget the numbers of earlier ones."""
+        known = self.known
+        new = list(set(words).difference(known))
+        if new:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(set(words))
+            have, size = len(known), len(known) + len(new)
+            if size > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((size, 2), np.int64)])
+            h = (xxhash.xxh64_intdigest(w) for w in chain.from_iterable((w, w[: self.letters]) for w in new))
+            self.rows[have:size] = np.fromiter(h, np.uint64, 2 * len(new)).view(np.int64).reshape(-1, 2)
+            known.update(zip(new, range(have, size)))
+            self.added(have, size)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def added(self, have: int, size: int) -> None:
+        pass
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def _before(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, h.dtype), h[:-1]])
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
+class Ratios(Words):
+    """Log-likelihood ratios of the words of texts, from the sorted table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, constant: float, letters: int = STEM):
+        super().__init__(letters)
+        self.keys, self.table, self.constant, self.own = keys, values, constant, np.zeros((0, 2))
+
+    def added(self, have: int, size: int) -> None:
+        if size > len(self.own):
+            self.own = np.concatenate([self.own, np.zeros((len(self.rows) - len(self.own), 2))])
+        h, s = self.rows[have:size].T.copy()
+        self.own[have:size, 0] = _found(self.keys, self.table, key(WORD, h)) + _found(self.keys, self.table, key(STEMS, s))
+        self.own[have:size, 1] = _found(self.keys, self.table, key(CONTEXT, h))
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        at = self.numbers(words)
+        out = self.own[at, 0] + self.constant
+        if len(at):
+            h, context = self.rows[at, 0], self.own[at, 1]
+            start = _found(self.keys, self.table, key(CONTEXT, np.zeros(1, np.int64)))
+            before = np.concatenate([start, context[:-1]])
+            out += before
+            some = np.flatnonzero(before)  # a pair of the table has a context of the table
+            out[some] += _found(self.keys, self.table, key(PAIR, _before(h)[some], h[some]))
+        return out
+
+
+def features(ratios: np.ndarray, marks: tuple[float, ...]) -> tuple[float, list[float]]:
+    """Ratio per word, and the words' excess over each mark by the root of their number (0 without words)."""
+    n = max(1, len(ratios))
+    high = ratios[ratios > min(marks)]
+    return float(ratios.sum() / n), [float(np.maximum(high - m, 0).sum() / n**0.5) for m in marks]
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios: tables words (word, ratio) and stems (stem, ratio), and the most frequent of both at hand."""
-
-    words: DataFrame
-    stems: DataFrame
-    near_words: dict
-    near_stems: dict
-    all_words: bool  # nothing is in the tables that is not at hand
-    all_stems: bool
+    """The table (key, value), the ratio where nothing is found, and the table's sorted arrays if they travel with tasks."""
+
+    table: DataFrame
+    constant: float
+    near: Broadcast | None
     letters: int = STEM
 
 
 @dataclass
 class Scorer:
     model: Model | None = None
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    mark: float = MARKS[0]
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
     constant: float = 0.0
 
 
-def counts(rows: DataFrame, letters: int = STEM) -> DataFrame:
-    """word, stem, n1 (toxic) and n0 (ordinary): how many of the whole texts of rows (text, y) have the word."""
-    each = rows.select("y", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
-    out = each.groupBy("word").agg(F.sum(F.col("y").cast("long")).alias("n1"), F.sum(1 - F.col("y").cast("long")).alias("n0"))
-    return out.withColumn("stem", F.substring("word", 1, letters))
+def _sums(names: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names.split()]
 
 
-def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest n1 + n0, at most ``most``: a threshold from a histogram of their logarithms, not a sort.
+def word_counts(rows: DataFrame, letters: int = STEM) -> DataFrame:
+    """word, stem (hashes); n1, n0: how many texts of rows (y, aside, text) have the word, f1, f0: pairs of a text and a word behind it;
+    the same without the texts set aside: kn1, kn0, kf1, kf0. The start of a text counts as context 0 without n."""
 
-    Rows of one bucket (about 1 % wide) stay or go together.
+    def run(batches):
+        known = Words(letters)
+        for b in batches:
+            out = []
+            for y, aside, t in zip(*(b.column(c).to_pylist() for c in ("y", "aside", "text"))):
+                at = known.numbers(words_of(t))
+                if len(at):
+                    own, at = np.unique(at, return_inverse=True)
+                    follow = np.bincount(np.unique(at[:-1] * len(own) + at[1:]) // len(own), minlength=len(own))
+                    h = np.concatenate([known.rows[own], np.zeros((1, 2), np.int64)])
+                    n, f = np.append(np.ones(len(own), np.int64), 0), np.append(follow, 1)
+                    zero = np.zeros(len(n), np.int64)
+                    both = [n, zero, f, zero] if y else [zero, n, zero, f]
+                    out.append([h[:, 0], h[:, 1], *both, *([zero] * 4 if aside else both)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names.split())
+
+    names = "word stem n1 n0 f1 f0 kn1 kn0 kf1 kf0"
+    each = rows.select("y", "aside", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names.split()))
+    return each.groupBy("word", "stem").agg(*_sums("n1 n0 f1 f0 kn1 kn0 kf1 kf0"))
+
+
+def pair_counts(rows: DataFrame, often: np.ndarray | None, discount: int = DISCOUNT, letters: int = STEM) -> DataFrame:
+    """v, w (hashes) and n1, n0, kn1, kn0 of the pairs with more texts than ``discount`` in a class.
+
+    ``often``, the sorted hashes of all words with more texts than that, saves counting other pairs, which cannot have
+    more, and makes rows short (places instead of hashes). None: there are too many to send.
     """
-    bucket = F.floor(F.log(F.col("n1") + F.col("n0")) * 100).cast("int")
-    left, least = most, 0
-    for r in sorted(rows.groupBy(bucket.alias("b")).count().collect(), key=lambda r: -r.b):  # at most a few thousand buckets
-        left -= r["count"]
-        if left < 0:
-            least = r.b + 1
-            break
-    return rows.where(bucket >= least)
-
-
-def model(word_counts: DataFrame, discount: float = DISCOUNT, letters: int = STEM, most_words: int = MOST_WORDS, most_stems: int = MOST_STEMS) -> Model | None:
-    """The model from the word counts; what comes to the driver is bounded by most_words and most_stems."""
-    held = {c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"h{c}") for c in ("n1", "n0")}
-    stems = word_counts.groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), *held.values(), F.count(F.lit(1)).alias("types"))
-    total = stems.agg(
-        F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("types").alias("types"),
-        *[F.sum(F.least(F.col(c).cast("double"), F.lit(discount))).alias(f"h{c}") for c in ("n1", "n0")],
-    ).first()
-    if not total["types"]:
-        return None
 
-    def ratio(p: dict[str, Column]) -> Column:
-        return F.log(p["n1"]) - F.log(p["n0"])
+    def run(batches):
+        known = Words(letters)
+        hashes = None if often is None else often.value
+        for b in batches:
+            out = []
+            for y, aside, t in zip(*(b.column(c).to_pylist() for c in ("y", "aside", "text"))):
+                at = known.numbers(words_of(t))
+                h = known.rows[at, 0]
+                w, v = h, _before(h)
+                if hashes is not None and len(h):
+                    at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+                    at = np.where(hashes[at] == h, at, -2) if len(hashes) else np.full(len(h), -2)
+                    w, v = at, np.concatenate([[-1], at[:-1]])  # -1: the start, -2: no such word
+                    some = (w >= 0) & (v >= -1)
+                    w, v = w[some], v[some]
+                if len(w):
+                    _, at = np.unique(key(PAIR, v, w), return_index=True)
+                    v, w = v[at], w[at]
+                    one, zero = np.ones(len(w), np.int64), np.zeros(len(w), np.int64)
+                    both = [one, zero] if y else [zero, one]
+                    out.append([v, w, *both, *([zero] * 2 if aside else both)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names.split())
+
+    def back(batches):
+        hashes = often.value
+        for b in batches:
+            v, w = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(v < 0, 0, hashes[v])), pa.array(hashes[w]), *b.columns[2:]], names.split())
 
-    share = F.col("types") / total.types
-    of_stem = ratio({c: (F.greatest(F.col(c) - discount, F.lit(0)) + total[f"h{c}"] * share) / max(1, total[c]) for c in ("n1", "n0")})
-    # a word without counts of its own: what is held back for its stem, in either class
-    rest = {c: F.when(F.col(c) > 0, F.col(f"h{c}") / F.col(c)).otherwise(1.0) for c in ("n1", "n0")}
-    stems = materialise(stems.withColumn("of_stem", of_stem).withColumn("ratio", F.col("of_stem") + ratio(rest)))
+    names = "v w n1 n0 kn1 kn0"
+    schema = ", ".join(f"{c} long" for c in names.split())
+    out = rows.select("y", "aside", "text").mapInArrow(run, schema).groupBy("v", "w").agg(*_sums("n1 n0 kn1 kn0"))
+    out = out.where((F.col("n1") > discount) | (F.col("n0") > discount))
+    return materialise(out if often is None else out.mapInArrow(back, schema))
 
-    often = word_counts.where((F.col("n1") > discount) | (F.col("n0") > discount))
-    w = often.join(stems.select("stem", "of_stem", *[F.col(c).alias(f"{c}_s") for c in ("n1", "n0", "hn1", "hn0")]), "stem")
-    back = (F.col("n1") + F.col("n0")) / (F.col("n1_s") + F.col("n0_s"))
-    p = {c: F.when(F.col(f"{c}_s") > 0, (F.greatest(F.col(c) - discount, F.lit(0)) + F.col(f"h{c}_s") * back) / F.col(f"{c}_s")).otherwise(back) for c in ("n1", "n0")}
-    ws = materialise(w.select("word", "n1", "n0", (F.col("of_stem") + ratio(p)).alias("ratio")))
 
-    near_words = dict(_most_frequent(ws, most_words).select("word", "ratio").toPandas().itertuples(index=False))
-    near_stems = dict(_most_frequent(stems, most_stems).select("stem", "ratio").toPandas().itertuples(index=False))
-    return Model(ws, stems, near_words, near_stems, len(near_words) == ws.count(), len(near_stems) == stems.count(), letters)
+def _keyed(df: DataFrame, kind: np.uint64) -> DataFrame:
+    """key and value from (h, value) or (h, then, value)."""
+    some = len(df.columns) == 3
+
+    def run(batches):
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(key(kind, cols[0], cols[1] if some else None)), b.columns[-1]], ["key", "value"])
+
+    return df.toDF(*(["h", "then", "value"] if some else ["h", "value"])).mapInArrow(run, "key long, value double")
 
 
-def evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """The columns of rows (text, others) but for text, and words, total, clear: number of words, their log-likelihood ratio, that of clear ones."""
-    near, stems, letters, all_words, settled = model.near_words, model.near_stems, model.letters, model.all_words, model.all_words and model.all_stems
+def _ratio(p: dict[str, Column]) -> Column:
+    return F.log(p["1"]) - F.log(p["0"])
 
-    def settle(word: str) -> float | None:
-        """The ratio of a word, if what is at hand tells it."""
-        r = near.get(word)
-        if r is None and all_words:
-            r = stems.get(word[:letters], 0.0 if settled else None)
-        return r
 
+def model(words: DataFrame, pairs: DataFrame, discount: int = DISCOUNT, letters: int = STEM, most_rows: int = MOST_ROWS) -> Model | None:
+    """The model from words (word, stem, n1, n0, f1, f0) and pairs (v, w, n1, n0)."""
+    d = float(discount)
+    more = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
+    held = lambda c: F.least(F.col(c).cast("double"), F.lit(d))
+    cs = ("1", "0")
+    real = words.where("n1 + n0 > 0")
+    stems = real.groupBy("stem").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in cs], *[F.sum(held(f"n{c}")).alias(f"h{c}") for c in cs], F.count(F.lit(1)).alias("types"))
+    total = stems.agg(*[F.sum(f"s{c}").alias(f"s{c}") for c in cs], *[F.sum(held(f"s{c}")).alias(f"h{c}") for c in cs], F.sum("types").alias("types")).first()
+    if not total.types:
+        return None
+    constant = float(np.log((total.h1 + 1) / (total.s1 + 1)) - np.log((total.h0 + 1) / (total.s0 + 1)))
+    of_stem = {c: (more(f"s{c}") + (total[f"h{c}"] + 1) * F.col("types") / total.types) / (total[f"s{c}"] + 1) for c in cs}
+    rest = {c: F.when(F.col(f"s{c}") > 0, F.col(f"h{c}") / F.col(f"s{c}")).otherwise(1.0) for c in cs}
+    stems = stems.where(F.greatest("s1", "s0") > d)
+    stems = materialise(stems.select("*", *[of_stem[c].alias(f"p{c}") for c in cs], (_ratio(of_stem) + _ratio(rest)).alias("says")))
+
+    share = (F.col("n1") + F.col("n0")) / (F.col("s1") + F.col("s0"))
+    of_word = {c: F.col(f"p{c}") * F.when(F.col(f"s{c}") > 0, (more(f"n{c}") + F.col(f"h{c}") * share) / F.col(f"s{c}")).otherwise(share) for c in cs}
+    often = real.where(F.greatest("n1", "n0") > d).join(stems, "stem")
+    often = often.select("word", "says", *[of_word[c].alias(f"p{c}") for c in cs])
+    often = materialise(often.select("word", "p1", "p0", _ratio({c: F.col(f"p{c}") for c in cs}).alias("ratio"), "says"))
+
+    pairs = pairs.where(F.greatest("n1", "n0") > d)
+    taken = pairs.groupBy("v").agg(*[F.sum(more(f"n{c}")).alias(f"t{c}") for c in cs])
+    left = {c: F.when(F.col(f"f{c}") > 0, 1 - F.col(f"t{c}") / F.col(f"f{c}")).otherwise(1.0) for c in cs}
+    contexts = taken.join(words.select(F.col("word").alias("v"), "f1", "f0"), "v").select("v", "f1", "f0", *[left[c].alias(f"l{c}") for c in cs])
+    contexts = materialise(contexts)
+    both = pairs.join(contexts, "v").join(often.select(F.col("word").alias("w"), "p1", "p0", "ratio"), "w")
+    of_pair = {c: F.when(F.col(f"f{c}") > 0, more(f"n{c}") / F.col(f"f{c}")).otherwise(0.0) + F.col(f"l{c}") * F.col(f"p{c}") for c in cs}
+    rests = _ratio({c: F.col(f"l{c}") for c in cs})
+    parts = [
+        _keyed(stems.select("stem", F.col("says") - constant), STEMS), _keyed(often.select("word", F.col("ratio") - F.col("says")), WORD),
+        _keyed(contexts.select("v", rests), CONTEXT), _keyed(both.select("v", "w", _ratio(of_pair) - rests - F.col("ratio")), PAIR),
+    ]
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    table = materialise(table.where("value <> 0"))
+    near = None
+    if table.count() <= most_rows:
+        rows = table.toArrow()
+        keys, values = rows["key"].to_numpy(), rows["value"].to_numpy().astype(np.float32)
+        order = np.argsort(keys, kind="stable")
+        near = table.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    return Model(table, constant, near, letters)
+
+
+def evidence(rows: DataFrame, model: Model, marks: tuple[float, ...] = MARKS) -> DataFrame:
+    """The columns of rows (text, others) but for text, and the features ``whole`` and ``excess`` (one for each mark)."""
     others = [c for c in rows.columns if c != "text"]
-    fields = [*[rows.schema[c] for c in others], *StructType.fromDDL("words long, total double, clear double, open array<struct<word: string, times: long>>").fields]
+    kept = [rows.schema[c] for c in others]
+    near, constant, letters = model.near, model.constant, model.letters
+    names, kinds = ["whole", "excess"], (pa.float64(), pa.list_(pa.float64()))
 
     def run(batches):
+        ratios = Ratios(*near.value, constant, letters)
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                ws = _WORD.findall(t.lower()) if t else []
-                each = [(w, settle(w)) for w in ws]
-                known = np.array([r for _, r in each if r is not None], float)
-                left = [{"word": w, "times": k} for w, k in Counter(w for w, r in each if r is None).items()]
-                out.append((len(ws), known.sum(), known[known > CLEAR].sum(), left))
-            n, total, clear, left = zip(*out) if out else ((), (), (), ())
-            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-            made = [pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(clear, pa.float64()), pa.array(left, kind)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *made], [f.name for f in fields])
-
-    found = rows.mapInArrow(run, StructType(fields))
-    if settled:
-        return found.drop("open")
-    found = materialise(found.withColumn("_row", F.monotonically_increasing_id()))
-    each = found.select("_row", F.explode("open").alias("o")).select("_row", "o.word", "o.times", F.substring("o.word", 1, letters).alias("stem"))
-    each = each.join(model.words.select("word", F.col("ratio").alias("own")), "word", "left").join(model.stems.select("stem", F.col("ratio").alias("of_stem")), "stem", "left")
-    r = F.coalesce("own", "of_stem", F.lit(0.0))
-    more = each.groupBy("_row").agg(F.sum(r * F.col("times")).alias("more"), F.sum(F.when(r > CLEAR, r * F.col("times"))).alias("more_clear"))
-    out = found.join(more, "_row", "left")
-    sums = {c: F.col(c) + F.coalesce(m, F.lit(0.0)) for c, m in (("total", "more"), ("clear", "more_clear"))}
-    return out.withColumns(sums).drop("_row", "open", "more", "more_clear")
-
-
-def _features() -> list[Column]:
-    """Log-likelihood ratio of the text per word and per root of its number of words, that of clear words, and one."""
-    n = F.greatest(F.col("words"), F.lit(1))
-    return [F.col("total") / n, F.col("total") / F.sqrt(n), F.col("clear") / F.sqrt(n), F.lit(1.0)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", discount: float = DISCOUNT, per_class: int = PER_CLASS, most_words: int = MOST_WORDS, most_stems: int = MOST_STEMS) -> Scorer:
+            made = [features(ratios.of(t), marks) for t in b.column("text").to_pylist()]
+            cols = zip(*made) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *[pa.array(c, k) for c, k in zip(cols, kinds)]], [*others, *names])
+
+    schema = StructType([*kept, *StructType.fromDDL("whole double, excess array<double>").fields])
+    if near:
+        return rows.mapInArrow(run, schema)
+
+    # the table doesn't travel: each distinct text's keys meet it in a join
+    def keys(batches):
+        known = Words(letters)
+        for b in batches:
+            out = [np.zeros((0, 3), np.int64)]
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = known.numbers(words_of(t))
+                own, stem = known.rows[at].T
+                v = _before(own)
+                made = np.concatenate([key(WORD, own.copy()), key(STEMS, stem.copy()), key(CONTEXT, v), key(PAIR, v, own.copy())]) if len(own) else own
+                out.append(np.stack([np.full(len(made), h), np.tile(np.arange(len(own)), 4), made], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], ["_h", "at", "key"])
+
+    def sums(batches):
+        for b in batches:
+            made = []
+            for n, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ratios = np.full(n, constant)
+                for f in found or ():
+                    ratios[f["at"]] += f["value"]
+                made.append(features(ratios, marks))
+            cols = zip(*made) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["_h", *names])
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t)) for t in b.column(1).to_pylist()], pa.int32())], ["_h", "n"])
+
+    texts = rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.min("text").alias("text"))
+    texts = materialise(texts)
+    found = texts.mapInArrow(keys, "_h long, at long, key long").join(model.table, "key").groupBy("_h").agg(F.collect_list(F.struct("at", "value")).alias("found"))
+    each = texts.mapInArrow(sizes, "_h long, n int").join(found, "_h", "left").select("_h", "n", "found").mapInArrow(sums, "_h long, whole double, excess array<double>")
+    each = materialise(each)
+    return rows.withColumn("_h", F.xxhash64("text")).join(each, "_h").select(*others, *names)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", discount: int = DISCOUNT, per_class: int = PER_CLASS, most_rows: int = MOST_ROWS) -> Scorer:
     """Learn from the ``labels`` rows where ``learn`` holds (all, if None)."""
     known = labels if learn is None else labels.where(learn)
     known = known.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).dropDuplicates(["_id"])
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if len(n) < 2:
         return Scorer(constant=n.get(1, 0) / max(1, sum(n.values())))
-    if sum(n.values()) <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(known, "_id")
-    aside = F.pmod(F.xxhash64(F.lit("aside"), F.col("_id")), F.lit(5)) == 0
+    few = sum(n.values()) <= BROADCAST_LABELS
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(known) if few else known, "_id")
     # one row for each distinct text and label: its smallest id
-    first = rows.where(~aside).groupBy(F.xxhash64("text").alias("_h"), "y").agg(F.min("_id").alias("_id"))
-    first = materialise(first.select("_id").distinct())
-    if sum(n.values()) <= BROADCAST_LABELS:
-        first = F.broadcast(first)
+    first = rows.groupBy(F.xxhash64("text").alias("_h"), "y").agg(F.min("_id").alias("_id"))
+    first = materialise(first.select("_id", "_h", F.pmod(F.xxhash64(F.lit("aside"), "_h"), F.lit(5)) == 0).toDF("_id", "_h", "aside").dropDuplicates(["_id", "_h"]))
+    rows = rows.withColumn("_h", F.xxhash64("text")).join(F.broadcast(first) if few else first, ["_id", "_h"])
+    words = materialise(word_counts(rows))
     out = Scorer(constant=n[1] / (n[0] + n[1]))
-    learned = model(materialise(counts(rows.where(~aside).join(first, "_id", "left_semi"))), discount, most_words=most_words, most_stems=most_stems)
-    if learned is None:
+    hashes = words.where((F.col("n1") > discount) | (F.col("n0") > discount)).select("word")
+    often = None
+    if hashes.count() <= most_rows:
+        often = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow()["word"].to_numpy()))
+    pairs = pair_counts(rows, often, discount)
+    kept = lambda df, keys, cols: df.select(*keys, *[F.col(f"k{c}").alias(c) for c in cols])
+    trial = model(kept(words, ["word", "stem"], ["n1", "n0", "f1", "f0"]), kept(pairs, ["v", "w"], ["n1", "n0"]), discount, most_rows=most_rows)
+    if trial is None:
         return out
-    check = evidence(bounded_sample(rows.where(aside), "y", F.col("_id"), per_class).select("_id", "y", "text"), learned)
-    check = check.select("_id", "y", *[f.alias(f"f{k}") for k, f in enumerate(_features())]).toPandas().sort_values(["_id", "f0", "f1", "f2"])
+    check = evidence(bounded_sample(rows.where("aside"), "y", F.col("_id"), per_class).select("_id", "y", "text"), trial).toPandas().sort_values(["_id", "whole"])
     y = check.y.to_numpy()
     if len(set(y)) < 2:
         return out
-    out.model = learned
+    out.model = model(words, pairs, discount, most_rows=most_rows)
     share = np.array([n[k] / (y == k).sum() for k in (0, 1)])
-    out.weights = fit_logistic(check[["f0", "f1", "f2", "f3"]].to_numpy(), y.astype(float), share[y] / share[y].sum() * len(y))
+    share = share[y] / share[y].sum() * len(y)
+    least = np.inf
+    for mark, excess in zip(MARKS, np.stack(check.excess).T):
+        x = np.column_stack([check.whole, excess, np.ones(len(y))])
+        w = fit_logistic(x, y.astype(float), share)
+        loss = (share * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum()
+        if loss < least:
+            least, out.mark, out.weights = loss, mark, w
     return out
 
 
 def scores(docs: DataFrame, scorer: Scorer, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and score of every row."""
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if scorer.model is None:
         return rows.select("doc_id", F.lit(float(scorer.constant)).alias("score"))
-    z = sum((f * float(w) for f, w in zip(_features(), scorer.weights)), F.lit(0.0))
-    return evidence(rows, scorer.model).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+    a, b, c = map(float, scorer.weights)
+    z = F.col("whole") * a + F.col("excess")[0] * b + c
+    return evidence(rows, scorer.model, (scorer.mark,)).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
