@@ -1,9 +1,10 @@
-"""Operator 10, quality classifier: supervised subword embeddings, averaged per document, softmax output.
+"""Operator 10, quality classifier: supervised word, word pair and character n-gram embeddings, averaged per document, softmax output.
 
 Fitted in numpy on a bounded sample of labelled rows (about ``per_class`` rows a label, whole texts); a fifth of the
 sample is set aside to turn logits into probabilities at the labels' true shares. Every text is scored whole.
 Null and empty texts get the score of a text without features. Without rows of both labels the score is the
-share of label 1, or 0.5 if there are no labels.
+share of label 1, or 0.5 if there are no labels. Rows with equal texts get equal scores, whatever their ids, and a row
+whose id has several labels keeps one of them. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .subword import Model, Shape, fit_logistic, train
 
 #: Labelled rows of each class to fit on, about.
 PER_CLASS = 2500
-SHAPE = Shape(buckets=1 << 18, dim=16, grams=(1, 2, 3), lower=False, repeats=8)
+SHAPE = Shape(buckets=1 << 18, dim=16, grams=(1, 2, 3), lower=False, pairs=True)
 
 
 @dataclass

@@ -1,16 +1,16 @@
 """Averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy.
 
 A word (run of characters that are not ASCII white space) has one feature for itself and one for each of its character
-n-grams, word borders included; features are hashed to rows of one embedding table. A document's vector is the mean
-over all features of all its words. The model is linear after that, so a trained model gives each word one number per
-class, and a text is scored by adding the numbers of its words.
+n-grams, word borders included. If the shape says so, each pair of neighbouring words has a feature too, and all pairs of equal words share one, as a word
+that is repeated is seldom one of those learned from. Features are hashed to
+rows of one embedding table. A document's vector is the mean over all features of all its words and pairs. The model is
+linear after that, so a trained model gives each word and pair one number per class, and a text is scored by adding them.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 
@@ -26,8 +26,8 @@ class Shape:
     dim: int = 16
     grams: tuple[int, ...] = (1, 2, 3, 4)
     lower: bool = True
-    #: A word pair of two equal words counts as so many features, all of them the table's last row; 0: pairs don't count.
-    repeats: int = 0
+    #: Pairs of neighbouring words have features.
+    pairs: bool = False
 
 
 def words_of(text: str | None, lower: bool) -> list[str]:
@@ -35,10 +35,10 @@ def words_of(text: str | None, lower: bool) -> list[str]:
     return _WORD.findall(text.lower() if lower else text)
 
 
-def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all features of all words, one word after the other, and how many each word has."""
+def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of all features of all words, one word after the other, how many each word has, and the words' hashes."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     flat = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     end = np.cumsum(size)
@@ -52,16 +52,25 @@ def features(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
             if n in shape.grams:
                 at = np.flatnonzero(left >= n)
                 g = h[at] ^ (h[at] >> np.uint64(29))
-                ids.append((g * _MIX >> np.uint64(33)) % np.uint64(shape.buckets - 1))
+                ids.append((g * _MIX >> np.uint64(33)) % np.uint64(shape.buckets))
                 owner.append(word_no[at])
         power = np.cumprod(np.full(int(size.max()), _MIX | np.uint64(1), np.uint64))
         whole = np.add.reduceat(flat * power[np.arange(len(flat)) - (end - size)[word_no]], end - size)
-        ids.append((whole ^ (whole >> np.uint64(31))) * _MIX >> np.uint64(33))
-        ids[-1] %= np.uint64(shape.buckets - 1)
+        whole = (whole ^ (whole >> np.uint64(31))) * _MIX
+        ids.append((whole >> np.uint64(33)) % np.uint64(shape.buckets))
         owner.append(np.arange(len(words)))
     own = np.concatenate(owner)
     order = np.argsort(own, kind="stable")
-    return np.concatenate(ids)[order].astype(np.int64), np.bincount(own, minlength=len(words))
+    return np.concatenate(ids)[order].astype(np.int64), np.bincount(own, minlength=len(words)), whole
+
+
+def pair_features(hashes: np.ndarray, shape: Shape) -> np.ndarray:
+    """Row numbers of the pairs of neighbouring words; a word that repeats the one before it is one pair, whatever the word."""
+    with np.errstate(over="ignore"):
+        z = (hashes[:-1] * np.uint64(3) ^ (hashes[1:] >> np.uint64(7))) * _MIX
+        out = ((z ^ (z >> np.uint64(32))) % np.uint64(shape.buckets)).astype(np.int64)
+    out[hashes[:-1] == hashes[1:]] = 0
+    return out
 
 
 @dataclass
@@ -75,7 +84,7 @@ class Model:
         """One row of logits for each text; texts without words get the bias alone."""
         out = np.zeros((len(texts), len(self.classes)))
         known: dict[str, int] = self.__dict__.setdefault("_known", {})
-        sums = self.__dict__.setdefault("_sums", [np.zeros((0, len(self.classes) + 1), np.float32)])
+        sums = self.__dict__.setdefault("_sums", [np.zeros((0, len(self.classes) + 1), np.float32), np.zeros(0, np.uint64)])
         for start in range(0, len(texts), chunk):
             split = [words_of(t, self.shape.lower) for t in texts[start : start + chunk]]
             distinct = set().union(*split)
@@ -83,27 +92,28 @@ class Model:
             if new:
                 if len(known) + len(new) > CACHE:
                     known.clear()
-                    sums[0] = sums[0][:0]
+                    sums[:] = sums[0][:0], sums[1][:0]
                     new = sorted(distinct)
                 self._learn(new, known, sums)
             for k, ws in enumerate(split, start):
                 if ws:
-                    total = sums[0][np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
-                    if self.shape.repeats:
-                        n = self.shape.repeats * sum(map(eq, ws, ws[1:]))
-                        total[:-1] += n * self.table[self.shape.buckets - 1]
-                        total[-1] += n
+                    at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+                    total = sums[0][at].sum(axis=0, dtype=np.float64)
+                    if self.shape.pairs:
+                        total[:-1] += self.table[pair_features(sums[1][at], self.shape)].sum(axis=0, dtype=np.float64)
+                        total[-1] += len(ws) - 1
                     out[k] = total[:-1] / total[-1]
         return out + self.bias
 
     def _learn(self, new: list[str], known: dict, sums: list) -> None:
-        ids, count = features(new, self.shape)
+        ids, count, hashes = features(new, self.shape)
         part = np.add.reduceat(self.table[ids], np.cumsum(count) - count, axis=0)
         have = len(known)
         if have + len(new) > len(sums[0]):
             more = np.zeros((max(2 * len(sums[0]), have + len(new), 4096), len(self.classes) + 1), np.float32)
             more[:have] = sums[0][:have]
-            sums[0] = more
+            sums[:] = more, np.concatenate([sums[1][:have], np.zeros(len(more) - have, np.uint64)])
+        sums[1][have : have + len(new)] = hashes
         sums[0][have : have + len(new)] = np.column_stack([part, count])
         known.update(zip(new, range(have, have + len(new))))
 
@@ -122,9 +132,9 @@ def train(texts: list[str], labels: list, shape: Shape, epochs: int = 5, rate: f
     docs = []
     for t, y in zip(texts, labels):
         ws = words_of(t, shape.lower)
-        ids, _ = features(ws, shape)
-        if shape.repeats:
-            ids = np.concatenate([ids, np.full(shape.repeats * sum(map(eq, ws, ws[1:])), shape.buckets - 1)])
+        ids, _, hashes = features(ws, shape)
+        if shape.pairs:
+            ids = np.concatenate([ids, pair_features(hashes, shape)])
         ids, n = np.unique(ids, return_counts=True)
         docs.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32), classes.index(y)))
     steps, done = epochs * len(docs), 0

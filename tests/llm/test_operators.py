@@ -304,7 +304,7 @@ def classifier_rows(spark, n=240):
 
 def test_classifiers(spark, odd, none):
     d, labels = classifier_rows(spark)
-    small = quality.Shape(buckets=1 << 12, dim=8, grams=(2, 3), lower=False, repeats=4)
+    small = quality.Shape(buckets=1 << 12, dim=8, grams=(2, 3), lower=False, pairs=True)
     q = quality.fit(d, labels, F.col("doc_id") % 3 > 0, shape=small)
     out = {r.doc_id: r.score for r in quality.scores(d, q).collect()}
     assert all((out[k] >= 0.5) == (k % 2 == 1) for k in range(0, 240, 3))
@@ -330,11 +330,3 @@ def test_classifiers_without_labels(spark, odd):
     assert {r.score for r in toxicity.scores(odd, toxicity.fit(odd, labels)).collect()} == {0.0}
     lang = langid.fit(odd.limit(0))
     assert {r.lang_pred for r in langid.identify(odd, lang).collect()} == {"und"}
-
-
-def test_most_frequent_words_stay(spark):
-    rows = spark.createDataFrame([(f"w{k}", k * 10, 0) for k in range(1, 11)], "word string, n1 long, n0 long")
-    for most in (1, 3, 10, 99):
-        got = sorted(r.n1 for r in toxicity._most_frequent(rows, most).collect())
-        assert got == [k * 10 for k in range(1, 11)][-most:]
-    assert toxicity._most_frequent(rows, 0).count() == 0
