@@ -6,16 +6,20 @@ rows that share an id are not compared with each other. Null texts have no words
 
 Streaming all documents past an automaton of all text is quadratic, so the reference is dealt into shards first, by
 content: a window belongs to the shard named by its anchor, the smallest hash among its ``gram``-word runs. Windows of
-the same words have the same anchor, wherever they stand. A run of windows with one anchor is a segment. Then
+the same words have the same anchor, wherever they stand. A run of windows with one anchor is a segment; hashes only decide
+which segments meet, and every word that goes has been matched by an automaton of words. Then
 
 1. segments whose anchor no other document has are unique and go no further;
-2. of equal segments (anchor and hash of all words) the one with the smallest id is the reference, and all others are
-   removed whole;
-3. what is left are different segments that share an anchor. Each such shard streams its segments by id: a document's
-   segments first run through the automaton of all smaller ids, which gives the longest match that ends at each word,
-   and then extend it. Matches of ``length`` words or more are removed.
-4. A shard with more than ``shard_cap`` different segments is cut into its windows instead, and these are compared as in 2,
-   so no shard grows with the corpus and nothing is left out.
+2. each other shard streams its segments in the order of ids past its suffix automaton, which gives the longest match that
+   ends at each word, and adds them to it afterwards. Matches of ``length`` words or more are removed;
+3. a shard of more than ``shard`` segments is salted: its different segments, each with the smallest id that has it, go to every
+   salt as the reference, and the others stream past them by salt, in the same order;
+4. if such a shard has more than ``shard`` different segments, these are dealt anew by anchors of longer runs of words, at last by
+   whole windows, which are all equal within a shard. So no shard grows with the corpus and nothing is left out.
+
+Shards are replicated to the salts that need them instead of broadcast to all tasks, as together they grow with the corpus.
+Repeated rows (same id and text) get the same result each. Documents of fewer words than ``length`` lose none, nor do
+those of an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, order_id, text_or_empty
 
-LENGTH, GRAM, SHARD_CAP = 50, 8, 2000
+LENGTH, GRAM, SHARD = 50, 8, 1000
 #: Words whose hashes a task remembers before it starts afresh.
 CACHE = 400_000
 
@@ -169,93 +173,129 @@ def segments(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length
     return _rows(docs, text, doc_id).mapInArrow(run, "_id long, _h long, start long, size long, anchor long, seg long")
 
 
+SEGMENT = "_id long, _h long, anchor long, seg long, start long, words binary"
+_NAMES = ["_id", "_h", "anchor", "seg", "start", "words"]
+
+
 def _cut(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """_id, _h, anchor, start and the words of the wanted segments (_id, _h, anchor, start, size)."""
-    lists = wanted.groupBy("_id", "_h").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("want"))
-    rows = _rows(docs, text, doc_id).join(lists, ["_id", "_h"]).select("_id", "_h", "text", "want.anchor", "want.start", "want.size")
+    """_id, _h, anchor, seg, start and the words of the wanted segments (_id, _h, anchor, seg, start, size)."""
+    lists = wanted.groupBy("_id", "_h").agg(F.collect_set(F.struct("anchor", "seg", "start", "size")).alias("want"))
+    rows = _rows(docs, text, doc_id)
+    if wanted.groupBy("_id", "_h", "start").count().where("count > 1").limit(1).count():  # rows of the same id and text
+        rows = rows.dropDuplicates(["_id", "_h"])
+    rows = rows.join(lists, ["_id", "_h"]).select("_id", "_h", "text", "want.anchor", "want.seg", "want.start", "want.size")
 
     def run(batches):
         for b in batches:
-            at, anchors, starts, cut = [], [], [], []
-            for k, (t, an, st, sz) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)))):
+            at, cut = [], []
+            for k, (t, st, sz) in enumerate(zip(*(b.column(i).to_pylist() for i in (2, 5, 6)))):
                 words = t.split()
-                at += [k] * len(an)
-                anchors += an
-                starts += st
+                at += [k] * len(st)
                 cut += [b" ".join(words[s : s + z]) for s, z in zip(st, sz)]
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(anchors, pa.int64()), pa.array(starts, pa.int64()), pa.array(cut, pa.binary())], ["_id", "_h", "anchor", "start", "words"])
+            flat = [b.column(i).flatten() for i in (3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *flat, pa.array(cut, pa.binary())], _NAMES)
+
+    return rows.mapInArrow(run, SEGMENT)
+
+
+def _dealt_anew(segs: DataFrame, length: int, gram: int) -> DataFrame:
+    """The segments' windows in segments by anchors of ``gram``-word runs."""
+
+    def run(batches):
+        hasher = Hasher()
+        for b in batches:
+            at, out, cut = [], [(np.zeros(0, np.int64),) * 3], []
+            for k, (s, w) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                words = w.split(b" ")
+                first, size, anchor, seg = segments_of(words, hasher, length, gram)
+                at += [k] * len(first)
+                out.append((anchor, seg, s + first))
+                cut += [b" ".join(words[f : f + z]) for f, z in zip(first, size)]
+            take = pa.array(at, pa.int64())
+            cols = [pa.array(np.concatenate(c)) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *cols, pa.array(cut, pa.binary())], _NAMES)
 
-    return rows.mapInArrow(run, "_id long, _h long, anchor long, start long, words binary")
+    return _shared(materialise(segs.mapInArrow(run, SEGMENT)))
+
+
+def _shared(segs: DataFrame) -> DataFrame:
+    """Segments whose anchor is in two documents at least."""
+    shared = segs.groupBy("anchor").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("anchor")
+    return segs.join(materialise(shared), "anchor").select(*segs.columns)
 
 
 def _stream(shards: DataFrame, length: int) -> DataFrame:
-    """Spans (_id, _h, start, size) from shards (anchor) whose rows come in the order of ids."""
+    """Spans (_id, _h, start, size) of rows (anchor, salt, _id, ref, _h, start, words).
+
+    Where a shard has rows with ``ref``, these alone are its reference; else all of its segments are.
+    """
 
     def run(batches):
-        anchor, ident, auto, own = None, None, None, {}
+        shard, ident = None, None
         for b in batches:
             out = []
-            for i, h, a, s, w in zip(*(b.column(k).to_pylist() for k in range(5))):
-                if a != anchor:
-                    anchor, ident, auto, own = a, i, Automaton(), {}
+            for a, salt, i, ref, h, s, w in zip(*(b.column(k).to_pylist() for k in range(7))):
+                if (a, salt) != shard:
+                    shard, ident, auto, own, later = (a, salt), i, Automaton(), {}, {}
                 elif i != ident:
-                    for x in own:
-                        auto.add(x.split(b" "))
-                    ident, own = i, {}
+                    for x in later:
+                        auto.add(x)
+                    ident, own, later = i, {}, {}
+                if ref:
+                    later[tuple(w.split(b" "))] = None
+                    continue
                 if w not in own:  # a document may have a segment several times
-                    own[w] = list(auto.matches(w.split(b" "), length))
+                    words = w.split(b" ")
+                    own[w] = list(auto.matches(words, length))
+                    if not salt and own[w] != [(0, len(words))]:
+                        later[tuple(words)] = None
                 out += [(i, h, s + x, y - x) for x, y in own[w]]
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_id", "_h", "start", "size"])
 
-    ordered = shards.repartition("anchor").sortWithinPartitions("anchor", "_id")
+    ordered = shards.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "_id", "ref")
     return ordered.mapInArrow(run, "_id long, _h long, start long, size long")
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    """rows (anchor, seg, _id, ...) with ``first``, the smallest id that has the same words."""
-    least = materialise(rows.groupBy("anchor", "seg").agg(F.min("_id").alias("first")))
-    return rows.join(least, ["anchor", "seg"])
-
-
-def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_cap: int = SHARD_CAP) -> DataFrame:
+def _match(segs: DataFrame, length: int, grams: list[int], shard: int) -> DataFrame:
+    """Spans of segments; shards with too many different ones are dealt anew by the ``grams`` that are left."""
+    hot = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
+    hot = materialise(hot.select("anchor", F.ceil(F.col("n") / shard).cast("int").alias("salts")))
+    cols = ["anchor", "salt", "_id", "ref", "_h", "start", "words"]
+    row = lambda df, salt, ref: df.withColumns({"salt": salt, "ref": F.lit(ref)}).select(cols)
+    many = hot.count()
+    if not many:
+        return _stream(row(segs, F.lit(0), False), length)
+    small = F.broadcast if many <= 100_000 else lambda df: df
+    out = row(segs.join(small(hot), "anchor", "left_anti"), F.lit(0), False)
+    large = segs.join(small(hot), "anchor")
+    rest = None
+    by = ["anchor", "salts"]  # at last all windows of a shard are equal, and one reference is enough
+    if grams:
+        by.append("seg")
+        wide = large.groupBy("anchor").agg(F.countDistinct("seg").alias("kinds")).where(F.col("kinds") > shard)
+        wide = materialise(wide.select("anchor"))
+        if wide.limit(1).count():
+            anew = _dealt_anew(large.join(small(wide), "anchor", "left_semi").select(_NAMES), length, grams[0])
+            rest = _match(materialise(anew), length, grams[1:], shard)
+            large = large.join(small(wide), "anchor", "left_anti")
+    refs = large.groupBy(*by).agg(F.min(F.struct("_id", "words")).alias("f")).select("anchor", F.explode(F.sequence(F.lit(1), "salts")).alias("salt"), "f._id", "f.words")
+    refs = refs.withColumns({"ref": F.lit(True), "_h": F.lit(0).cast("long"), "start": F.lit(0).cast("long")}).select(cols)
+    spread = row(large, (F.pmod(F.xxhash64("_id", "_h"), F.col("salts")) + 1).cast("int"), False)
+    out = _stream(out.unionByName(refs).unionByName(spread), length)
+    return out.unionByName(rest) if rest is not None else out
+
+
+def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """_id, _h, start, size of word spans to remove; they may overlap."""
-    seg = materialise(segments(docs, text, doc_id, length, gram))
-    shared = seg.groupBy("anchor").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low < high").select("anchor")
-    rows = materialise(_first(materialise(seg.join(materialise(shared), "anchor"))))
-    out = rows.where("first < _id").select("_id", "_h", "start", "size")
-    kinds = rows.where("first = _id").groupBy("anchor").agg(F.countDistinct("seg").alias("kinds")).where("kinds > 1")
-    kinds = materialise(kinds)
-    wanted = rows.where("first = _id").join(kinds, "anchor")
-    cut = materialise(_cut(docs, wanted.select("_id", "_h", "anchor", "start", "size"), text, doc_id))
-    large = kinds.where(F.col("kinds") > shard_cap).select("anchor")
-    if large.limit(1).count() == 0:
-        return out.unionByName(_stream(cut, length))
-    out = out.unionByName(_stream(cut.join(large, "anchor", "left_anti").select(cut.columns), length))
-    return out.unionByName(_windows(cut.join(large, "anchor", "left_semi").select(cut.columns), length))
-
-
-def _windows(cut: DataFrame, length: int) -> DataFrame:
-    """The windows of large shards, each a segment of its own, compared by all their words' hash."""
-
-    def run(batches):
-        hasher = Hasher()
-        for b in batches:
-            at, start, seg = [], [], []
-            for k, (s, w) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
-                words = w.split(b" ")
-                hasher.load(words)
-                n = len(words) - length + 1
-                at.append(np.full(n, k))
-                start.append(s + np.arange(n))
-                seg.append(hasher.runs(np.arange(n), length).view(np.int64))
-            if at:
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(np.concatenate(start)), pa.array(np.concatenate(seg))], ["_id", "_h", "anchor", "start", "seg"])
-
-    rows = materialise(cut.mapInArrow(run, "_id long, _h long, anchor long, start long, seg long"))
-    return _first(rows).where("first < _id").select("_id", "_h", "start", F.lit(length).cast("long").alias("size"))
+    gram = min(gram, length)
+    wanted = materialise(_shared(materialise(segments(docs, text, doc_id, length, gram))))
+    grams = []
+    while gram < length:
+        gram = min(2 * gram, length)
+        grams.append(gram)
+    return _match(materialise(_cut(docs, wanted, text, doc_id)), length, grams, shard)
 
 
 def _apply(docs: DataFrame, found: DataFrame, text: str, doc_id: str, make, schema: str) -> DataFrame:
