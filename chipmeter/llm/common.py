@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +19,39 @@ LAST_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; set here only if the session has none."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; set here only if the session has none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-")  # one machine only, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(path: str) -> None:
+    """Remove a folder of tables; called at the driver's end."""
+    try:
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        fs.delete_dir(at)
+    except (OSError, pyarrow.ArrowException) as e:
+        print(f"intermediate tables are left in {path}: {e}", file=sys.stderr)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The folder belongs to the application and goes with it, as the files of checkpoint() do.
+    Tables lie in a folder named by the application, which is removed when the driver's Python ends (not if it is killed).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,6 +103,30 @@ def bounded_sample(df: DataFrame, label: str, key: Column, per_class: int) -> Da
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(grain)) < rate).limit(int(per_class * 1.5) * len(counts) + 100)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components: (node, root), root the smallest node; nodes are those of the edges (a, b).
+
+    Large-star and small-star rounds on an edge table, each a minimum per node and a join; the table is written after
+    each round. Nothing is gathered: a hub's edges stay spread out, and only its minimum is combined.
+    """
+    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    sign = None
+    while True:  # labels only fall, so rounds end
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        # large star: larger neighbours of u go to the smallest node near u
+        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.unionByName(low.where("m <> u").select("u", F.col("m").alias("v"))).distinct())
+        # small star: u and its smaller neighbours go to the smallest of them
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == sign:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        sign = now
+
+
 def one_per_component(docs: DataFrame, named: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with exactly one row of each component: the smallest id, nulls last; ties by the text's hash, then by the row's.
 

@@ -4,9 +4,11 @@ A fingerprint has 64 bits: a bit is 1 if more than half of the XXH64 hashes (see
 have it set; repeats count. A text without words has fingerprint zero. Fingerprints link at ``radius`` or fewer
 differing bits, and documents of linked fingerprints form one component, named by its smallest doc_id.
 
-Search works on distinct fingerprints. Bits are dealt into ``parts`` groups so that correlated bits share a group. If
-the groups' thresholds sum to ``radius - parts + 1``, two fingerprints within ``radius`` are within the threshold of
-one group at least (-1: group not used). A dynamic programme picks the thresholds with the fewest estimated candidates.
+Search works on distinct fingerprints. Bits are dealt into a number of groups so that correlated bits share a group. If
+the groups' thresholds sum to ``radius - groups + 1``, two fingerprints within ``radius`` are within the threshold of
+one group at least (-1: group not used). A dynamic programme picks the thresholds with the least estimated cost, of keys and
+candidates, for each number of groups in ``parts``, and the cheapest number is used: 4 groups of 16 bits at thresholds of 0
+while fingerprints are few, up to 2 groups of 32 bits at thresholds of 1 when they are many.
 Each fingerprint is filed under every value of a group that its threshold allows; members of a bin are verified.
 Bins above ``bin_cap`` members take another exact way whose work is linear in the members: see :func:`_meet`.
 """
@@ -22,9 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, one_per_component, text_or_empty
+from . import near_copies
+from .common import components, materialise, one_per_component, text_or_empty
 
-SHINGLE, RADIUS, PARTS, BIN_CAP, SEED = 3, 3, 4, 4096, 42
+SHINGLE, RADIUS, PARTS, BIN_CAP, SEED = 3, 3, (4, 3, 2), 4096, 42
+#: A key of a fingerprint costs as much as so many candidates.
+PROBE = 8.0
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -57,8 +62,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
-def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
-    """Deal the 64 bits into groups of correlated bits; the counts of equal bits come from all fingerprints."""
+def correlations(fps: DataFrame) -> np.ndarray:
+    """How far each two of the 64 bits agree or disagree, over all fingerprints."""
 
     def run(batches):
         total = np.zeros((64, 64))
@@ -72,6 +77,11 @@ def bit_groups(fps: DataFrame, parts: int = PARTS) -> list[list[int]]:
     corr = np.zeros((64, 64))
     for i, j, s in fps.select("fp").mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
         corr[i, j] = corr[j, i] = abs(s)
+    return corr
+
+
+def bit_groups(corr: np.ndarray, parts: int) -> list[list[int]]:
+    """Deal the 64 bits into groups of correlated bits."""
     left, out = list(range(64)), []
     for k in range(parts, 0, -1):
         take = [max(left, key=lambda b: corr[b, left].sum())]
@@ -111,14 +121,16 @@ def signatures(fps: DataFrame, groups: list[list[int]], taus: list[int]) -> Data
     return fps.select("fp").mapInArrow(run, "part int, key long, fp long")
 
 
-def thresholds(fps: DataFrame, groups: list[list[int]], radius: int = RADIUS) -> list[int]:
-    """Thresholds of -1 or more that sum to radius - parts + 1 and give the fewest candidates.
+def thresholds(fps: DataFrame, groups: list[list[int]], radius: int = RADIUS) -> tuple[float, list[int]]:
+    """Thresholds of -1 or more that sum to radius - parts + 1 and cost least, and their cost.
 
     A group's candidates at threshold t are estimated from the counts of its values, over all fingerprints: pairs with
-    equal values at 0, and at each step more as many times as there are masks. The programme goes over groups and sums.
+    equal values at 0, and at each step more as many times as there are masks. Each mask also costs a key for
+    every fingerprint. The programme goes over groups and sums.
     """
     counts = signatures(fps, groups, [0] * len(groups)).groupBy("part", "key").count()
-    pairs = dict(counts.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.col("count"))).collect())
+    sums = counts.groupBy("part").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()
+    pairs = {r.part: PROBE * r.n + r.pairs - r.n for r in sums}
     want = radius - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i, g in enumerate(groups):
@@ -129,7 +141,15 @@ def thresholds(fps: DataFrame, groups: list[list[int]], radius: int = RADIUS) ->
                 if have + t not in step or c < step[have + t][0]:
                     step[have + t] = (c, [*taus, t])
         best = step
-    return best[want][1]
+    return best[want]
+
+
+def plan(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS) -> tuple[list[list[int]], list[int]]:
+    """Groups and thresholds of the cheapest number of parts: few narrow ones for few fingerprints, wider ones for more."""
+    corr = correlations(fps)
+    plans = [(thresholds(fps, groups, radius), groups) for groups in (bit_groups(corr, p) for p in parts if p <= radius + 1)]
+    (_, taus), groups = min(plans, key=lambda p: p[0][0])
+    return groups, taus
 
 
 def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +170,9 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.uint64).view(np.int64), np.array(root, np.uint64).view(np.int64)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect the same components as all links do."""
-    groups = bit_groups(fps, parts)
-    taus = thresholds(fps, groups, radius)
+    groups, taus = plan(fps, radius, parts)
     sig = signatures(fps, groups, taus)
     large = materialise(sig.groupBy("part", "key").count().where(F.col("count") > bin_cap))
 
@@ -203,32 +222,7 @@ def _meet(fps: DataFrame, free: list[int], radius: int) -> DataFrame:
     return met.join(hubs, "z").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components: (node, root), root the smallest node; nodes are those of the edges (a, b).
-
-    Large-star and small-star rounds on an edge table, each a minimum per node and a join; the table is written after
-    each round. Nothing is gathered: a hub's edges stay spread out, and only its minimum is combined.
-    """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    sign = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        # large star: larger neighbours of u go to the smallest node near u
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.unionByName(low.where("m <> u").select("u", F.col("m").alias("v"))).distinct())
-        # small star: u and its smaller neighbours go to the smallest of them
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == sign:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        sign = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
-def _rooted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
+def _rooted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, parts: tuple[int, ...] = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
     """doc_id, text_hash, fp, root (smallest fingerprint of the component) and component_id of every row."""
     own = materialise(fingerprints(docs, text, doc_id, shingle))
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -245,9 +239,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return _rooted(docs, text, doc_id, **params).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, nulls last; ties by the text's hash."""
-    return one_per_component(docs, _rooted(docs, text, doc_id, **params), text, doc_id)
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None, **params) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last; ties by the text's hash.
+
+    With ``similarity``, texts link not by fingerprints but by a Jaccard similarity of their shingle sets of at least
+    so much: see :mod:`.near_copies`.
+    """
+    named = near_copies.named(docs, text, doc_id, similarity, **params) if similarity else _rooted(docs, text, doc_id, **params)
+    return one_per_component(docs, named, text, doc_id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

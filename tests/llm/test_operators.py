@@ -80,7 +80,7 @@ def test_simhash_links_match_brute_force(spark, cap, parts):
             fps.append(x)
     df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
     df = materialise(df)
-    edges = simhash.links(df, parts=parts, bin_cap=cap)
+    edges = simhash.links(df, parts=(parts,), bin_cap=cap)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     want = brute_components(fps)
     got = {}
