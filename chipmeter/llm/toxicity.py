@@ -53,7 +53,9 @@ MOST_ROWS = 8_000_000
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
 #: Words whose numbers a task remembers before it starts afresh; bounds memory, not results.
-CACHE = 400_000
+CACHE = 150_000
+#: Texts whose rows a task makes at once.
+AT_ONCE = 128
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of keys; the start of a text is the context 0.
@@ -98,6 +100,12 @@ class Words:
         pass
 
 
+def _pieces(batches):
+    for b in batches:
+        for k in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(k, AT_ONCE)
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
@@ -177,7 +185,7 @@ def word_counts(rows: DataFrame, letters: int = STEM) -> DataFrame:
 
     def run(batches):
         known = Words(letters)
-        for b in batches:
+        for b in _pieces(batches):
             out = []
             for y, aside, t in zip(*(b.column(c).to_pylist() for c in ("y", "aside", "text"))):
                 at = known.numbers(words_of(t))
@@ -207,7 +215,7 @@ def pair_counts(rows: DataFrame, often: np.ndarray | None, discount: int = DISCO
     def run(batches):
         known = Words(letters)
         hashes = None if often is None else often.value
-        for b in batches:
+        for b in _pieces(batches):
             out = []
             for y, aside, t in zip(*(b.column(c).to_pylist() for c in ("y", "aside", "text"))):
                 at = known.numbers(words_of(t))
@@ -314,7 +322,7 @@ def evidence(rows: DataFrame, model: Model, marks: tuple[float, ...] = MARKS) ->
 
     def run(batches):
         ratios = Ratios(*near.value, constant, letters)
-        for b in batches:
+        for b in _pieces(batches):
             made = [features(ratios.of(t), marks) for t in b.column("text").to_pylist()]
             cols = zip(*made) if made else ((), ())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *[pa.array(c, k) for c, k in zip(cols, kinds)]], [*others, *names])
@@ -326,7 +334,7 @@ def evidence(rows: DataFrame, model: Model, marks: tuple[float, ...] = MARKS) ->
     # the table doesn't travel: each distinct text's keys meet it in a join
     def keys(batches):
         known = Words(letters)
-        for b in batches:
+        for b in _pieces(batches):
             out = [np.zeros((0, 3), np.int64)]
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = known.numbers(words_of(t))
