@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import materialise, packed
 
 N = 10
-#: Most windows to send to the tasks at once; a larger benchmark goes in several passes.
-BLOCK = 100_000
+#: Most windows that travel as a constant of the plan; the windows of a larger benchmark are joined, by broadcast up to the second number.
+BLOCK, BROADCAST = 100_000, 4_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -68,12 +68,12 @@ def _row_key(text: str, doc_id: str) -> list[Column]:
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text")]
 
 
-def candidates(docs: DataFrame, grams: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: _id, _text, n_words and found (start, len, gram), its windows whose hash is in the set;
-    pass numbers the passes, and each of them has all rows.
+def candidates(docs: DataFrame, grams: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
+    """One row for each row of ``docs``: _id, _text, n_words and found (start, len, gram), its windows whose hash is in the set.
 
     The set of window hashes goes to every task as a constant of the plan and is probed inside each row, so that no
-    window becomes a row of its own unless it is found. A benchmark with more than ``block`` windows takes several passes.
+    window becomes a row of its own unless it is found. Beyond ``block`` windows the documents' windows become rows
+    of (key, start, len, hash), still in one pass, and meet the set in a join; only those found move with their document.
     """
     lengths = [r.len for r in grams.select("len").distinct().collect()]  # n and shorter lengths only
     rows = with_windows(docs.select(*_row_key(text, doc_id), words(text).alias("words")), lengths or [n])
@@ -83,19 +83,25 @@ def candidates(docs: DataFrame, grams: DataFrame, text: str = "text", doc_id: st
         g = with_windows(grams.where(F.col("len") == length).withColumnRenamed("gram", "words"), [length])
         g = g.select("len", F.col(f"h{length}")[0].alias("hash")).distinct()
         hashed = g if hashed is None else hashed.unionByName(g)
-    passes = max(1, -(-hashed.count() // block)) if lengths else 1
-    out = None
-    for b in range(passes):
+    total = hashed.count() if lengths else 0
+    n_words = F.size("words").cast("long").alias("n_words")
+    if total <= block:
         found = [F.array().cast(kind)]
         for length in lengths:
-            few = [r.hash for r in hashed.where((F.col("len") == length) & (F.pmod("hash", F.lit(passes)) == b)).select("hash").collect()]
-            if few:
-                known = ",".join(f"{h}L" if h > -(2**63) else "bigint('-9223372036854775808')" for h in few)
-                at = f"filter(transform(h{length}, (x, i) -> if(x in ({known}), i, null)), i -> i is not null)"
-                found.append(F.expr(f"transform({at}, i -> struct(i as start, {length} as len, slice(words, i + 1, {length}) as gram))"))
-        one = materialise(rows.select("_id", "_text", F.size("words").cast("long").alias("n_words"), F.concat(*found).alias("found"), F.lit(b).alias("pass")))
-        out = one if out is None else out.unionByName(one)
-    return out
+            few = [r.hash for r in hashed.where(F.col("len") == length).select("hash").collect()]
+            known = ",".join(f"{h}L" if h > -(2**63) else "bigint('-9223372036854775808')" for h in few)
+            at = f"filter(transform(h{length}, (x, i) -> if(x in ({known}), i, null)), i -> i is not null)"
+            found.append(F.expr(f"transform({at}, i -> struct(i as start, {length} as len, slice(words, i + 1, {length}) as gram))"))
+        return materialise(rows.select("_id", "_text", n_words, F.concat(*found).alias("found")))
+    each = F.concat(*[F.expr(f"transform(h{x}, (h, i) -> struct(i as start, {x} as len, h as hash))") for x in lengths])
+    each = rows.select("_id", "_text", F.explode(each).alias("w")).select("_id", "_text", "w.start", "w.len", "w.hash")
+    hashed = materialise(hashed)
+    each = each.join(F.broadcast(hashed) if total <= broadcast else hashed, ["len", "hash"])
+    at = materialise(each.groupBy(F.col("_id").alias("i"), F.col("_text").alias("t")).agg(F.collect_set(F.struct("start", "len")).alias("at")))
+    rows = docs.select(*_row_key(text, doc_id), words(text).alias("words"))
+    rows = rows.join(at, rows["_id"].eqNullSafe(at.i) & rows["_text"].eqNullSafe(at.t), "left")
+    found = F.coalesce(F.expr("transform(at, x -> struct(x.start as start, x.len as len, slice(words, x.start + 1, x.len) as gram))"), F.array().cast(kind))
+    return materialise(rows.select("_id", "_text", n_words, found.alias("found")))
 
 
 def hits(found: DataFrame, grams: DataFrame) -> DataFrame:
@@ -123,7 +129,7 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
         F.col("_id").alias("_i"), F.col("_text").alias("_t"), F.size(_covered(F.col("spans"))).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"),
     )
-    out = rows.where("pass = 0").join(found, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
+    out = rows.join(found, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_text").eqNullSafe(F.col("_t")), "left")
     return out.select(
         F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),

@@ -121,8 +121,11 @@ def test_decontamination(spark, odd, none):
     assert decontam.report(d, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.report(none, bench).count() == 0
     grams = decontam.windows(bench)
-    small = decontam.candidates(d, grams, block=2)  # several passes find the same windows
-    assert decontam.hits(small, grams).count() == 2
+    plain = lambda df: sorted((str(r["_id"]), r["_text"] or 0, r.n_words, sorted((f.start, f.len, f.gram) for f in r.found)) for r in df.collect())
+    whole = plain(decontam.candidates(d, grams))
+    assert decontam.hits(decontam.candidates(d, grams), grams).count() == 2
+    for broadcast in (99, 0):  # a set too large for the plan is joined
+        assert plain(decontam.candidates(d, grams, block=2, broadcast=broadcast)) == whole
 
 
 def brute_mix(rows, plan):
