@@ -15,6 +15,8 @@ from .common import SPACES, materialise, packed, text_or_empty
 
 #: A digest group is spread over so many salts; each salt's part is combined by itself first.
 SALTS = 32
+#: Rows of a class from which the join back is salted too, and most such classes to broadcast.
+HOT, BROADCAST_HOT = 1000, 200_000
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -40,7 +42,7 @@ def _id_of(rank: Column) -> Column:
 
 
 def groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """rows (dig, content, content_key, rank) to one row for each class of equal contents: best rank, group_size.
+    """rows (dig, content, rank) to one row for each class of equal contents: best rank, group_size.
 
     Level 1 is the map-side part of the first aggregation: each task keeps one row for each distinct
     (digest, content) it has read. Level 2 merges those of one salt, level 3 the salts' winners. All three group by the
@@ -54,12 +56,12 @@ def groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     return salted.groupBy("dig", "content").agg(F.min("rank").alias("best"), F.sum("n").alias("group_size"))
 
 
-def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest_of=digest, salts: int = SALTS) -> DataFrame:
+def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest_of=digest, salts: int = SALTS, hot: int = HOT) -> DataFrame:
     """For each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (the digest) and rank.
 
     Rows go back to their class by digest. Where a digest has several contents (never seen with sha256, tested with
-    a weak digest), the content is part of the join key too. The join has one class on the right for each key; its left side
-    may be hot, and adaptive execution splits it. Several identical rows (same id, same length) are all marked
+    a weak digest), the content is part of the join key too. Rows of a large class are salted for that, and their class is
+    repeated for each salt. Several identical rows (same id, same length) are all marked
     as kept here; :func:`deduplicate` keeps one of them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("content"), _rank(text, doc_id).alias("rank"))
@@ -73,8 +75,19 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", diges
     else:
         key = F.lit(None).cast("string").alias("content_key")
         classes = classes.select("dig", "best", "group_size", F.lit(None).cast("string").alias("content_key"))
-    left = rows.select("doc_id", "rank", "dig", key)
-    on = [left.dig == classes.dig] + ([left.content_key.eqNullSafe(classes.content_key)] if clash else [])
+    salt = F.lit(0)
+    large = materialise(classes.where(F.col("group_size") > hot).select("dig").distinct())
+    many = large.count()
+    if many:
+        large = large.withColumn("large", F.lit(True))
+        large = F.broadcast(large) if many <= BROADCAST_HOT else large
+        classes = classes.join(large, "dig", "left").withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        rows = rows.join(large, "dig", "left")
+        salt = F.when(F.col("large"), (F.spark_partition_id() % salts).cast("int")).otherwise(0)
+    else:
+        classes = classes.withColumn("salt", F.lit(0))
+    left = rows.select("doc_id", "rank", "dig", key, salt.alias("salt"))
+    on = [left.dig == classes.dig, left.salt == classes.salt] + ([left.content_key.eqNullSafe(classes.content_key)] if clash else [])
     return left.join(classes, on).select(
         "doc_id", _id_of(F.col("best")).alias("keep_id"), "group_size", (F.col("rank") == F.col("best")).alias("kept"),
         left.dig.alias("text_sha256"), "rank",
