@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialise
 
 
-def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (grid, node) and edges (grid, a, b) to (grid, node, root), root the smallest node reachable.
 
-    Every round takes the smallest label among a node's neighbours and then the label of that label (pointer jumping), so the number of
-    rounds grows like the logarithm of the longest path. Rounds are written out, and nothing is gathered.
+    Large-star and small-star rounds on the edges alone: larger neighbours of a node go to the smallest node near it, then a node and
+    its smaller neighbours go to the smallest of them. Labels only fall, so rounds end, after about the logarithm of the
+    longest path. Edges inside what has been joined vanish from round to round, and nothing is gathered.
     """
-    both = materialise(edges.select("grid", "a", "b").unionByName(edges.select("grid", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = materialise(nodes.select("grid", "node", F.col("node").alias("root")))
-    for _ in range(most_rounds):
-        seen = both.join(label.select("grid", F.col("node").alias("b"), "root"), ["grid", "b"]).groupBy("grid", "a").agg(F.min("root").alias("near"))
-        low = label.join(seen.withColumnRenamed("a", "node"), ["grid", "node"], "left").select("grid", "node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
-        # the old root hears of the smaller label too
-        told = low.groupBy("grid", "root").agg(F.min("new").alias("told")).withColumnRenamed("root", "node")
-        low = low.join(told, ["grid", "node"], "left").select("grid", "node", "root", F.least("new", F.coalesce("told", "new")).alias("new"))
-        jump = low.select("grid", F.col("node").alias("new"), F.col("new").alias("far"))
-        low = low.join(jump, ["grid", "new"], "left").select("grid", "node", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root"))
-        low = materialise(low)
-        if low.where("root <> old").limit(1).count() == 0:
-            return low.select("grid", "node", "root")
-        label = low.select("grid", "node", "root")
-    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+    e = edges.where("a <> b").select("grid", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e, sign = materialise(e), None
+    while True:
+        both = e.unionByName(e.select("grid", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("grid", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, ["grid", "u"]).select("grid", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large)
+        low = large.groupBy("grid", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["grid", "u"])
+        e = small.where("v <> m").select("grid", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("grid", "u", F.col("m").alias("v")))
+        e = materialise(e.distinct())
+        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("grid", "u", "v"))).first()
+        if now == sign:
+            break
+        sign = now
+    roots = e.select("grid", F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.select("grid", "node").join(roots, ["grid", "node"], "left").select("grid", "node", F.coalesce("root", "node").alias("root"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,18 +12,24 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialise
 from .graph import connected
 
+#: Columns of a block in which runs of neighbouring rows meet.
+BLOCK = 64
+
 
 def components(cells: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Foreground cells (grid, row, col) with ``label``, the 4-neighbour component: row * width + col of its first cell.
 
-    Cells are folded into row runs first, and runs that touch are joined; labels spread over runs, not cells.
+    Cells are folded into row runs first, and runs that touch are joined; labels spread over runs, not cells. Runs of
+    neighbouring rows meet by blocks of ``BLOCK`` columns, so a run is tried with those near it only.
     """
     w = W.partitionBy("grid", "row").orderBy("col")
     isle = cells.select("grid", "row", "col").distinct().withColumn("isle", F.col("col") - F.row_number().over(w))
     runs = isle.groupBy("grid", "row", "isle").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
     runs = materialise(runs.withColumn("node", F.col("row").cast("long") * width + F.col("c0")))
     below = runs.select("grid", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"))
-    edges = runs.join(below, ["grid", "row"]).where("c0 <= d1 and d0 <= c1").select("grid", F.col("node").alias("a"), "b")
+    blocks = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BLOCK), F.floor(F.col(hi) / BLOCK)))
+    near = runs.withColumn("block", blocks("c0", "c1")).join(below.withColumn("block", blocks("d0", "d1")), ["grid", "row", "block"])
+    edges = near.where("c0 <= d1 and d0 <= c1").select("grid", F.col("node").alias("a"), "b")
     roots = connected(runs.select("grid", "node"), edges)
     out = runs.join(roots, ["grid", "node"])
     return out.select("grid", "row", F.explode(F.sequence("c0", "c1")).alias("col"), F.col("root").alias("label"))
@@ -64,75 +72,70 @@ def _groups(pairs: DataFrame) -> DataFrame:
     return pairs.join(roots.where("kind = 0").drop("kind"), ["grid", "gt"])
 
 
-def _best(weights: list[list[float]]) -> list[int]:
-    """Column for each row (-1: none) with the largest total weight; shortest augmenting paths with potentials."""
-    n, m = len(weights), len(weights[0])
-    size = max(n, m)
-    cost = [[-(weights[i][j] if i < n and j < m else 0.0) for j in range(size)] for i in range(size)]
-    inf = float("inf")
-    u, v, owner, way = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-    for i in range(1, size + 1):
-        owner[0], j0 = i, 0
-        low, used = [inf] * (size + 1), [False] * (size + 1)
+def best_pairs(edges: list[tuple[int, int, float]], n: int, m: int) -> list[tuple[int, int, float]]:
+    """The one-to-one edges (row, column, weight above 0) of the largest total weight.
+
+    Shortest augmenting paths with potentials on the edges that there are, so work grows with edges, not with n times m. Each row
+    has a column of its own besides, at weight 0, for staying alone.
+    """
+    top = max(w for _, _, w in edges)
+    near: list[list[tuple[int, float]]] = [[(m + i, top)] for i in range(n)]
+    weight = {}
+    for i, j, w in edges:
+        near[i].append((j, top - w))
+        weight[i, j] = w
+    u, v, owner, mate = [0.0] * n, [0.0] * (m + n), [-1] * (m + n), [-1] * n
+    for start in range(n):
+        dist, prev, done, heap = {}, {}, set(), []
+        i, base = start, 0.0
         while True:
-            used[j0] = True
-            i0, delta, j1 = owner[j0], inf, 0
-            for j in range(1, size + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if cur < low[j]:
-                        low[j], way[j] = cur, j0
-                    if low[j] < delta:
-                        delta, j1 = low[j], j
-            for j in range(size + 1):
-                if used[j]:
-                    u[owner[j]] += delta
-                    v[j] -= delta
-                else:
-                    low[j] -= delta
-            j0 = j1
-            if owner[j0] == 0:
+            for j, c in near[i]:
+                d = base + c - u[i] - v[j]
+                if j not in done and d < dist.get(j, float("inf")):
+                    dist[j], prev[j] = d, i
+                    heapq.heappush(heap, (d, j))
+            base, j = heapq.heappop(heap)
+            while j in done:
+                base, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                break
+            done.add(j)
+            i = owner[j]
+        u[start] += base
+        for k in done:
+            v[k] -= base - dist[k]
+            u[owner[k]] += base - dist[k]
+        while True:  # turn the path around
+            i = prev[j]
+            owner[j], j, mate[i] = i, mate[i], j
+            if i == start:
                 break
-        while j0:
-            owner[j0], j0 = owner[way[j0]], way[j0]
-    out = [-1] * n
-    for j in range(1, m + 1):
-        if 0 < owner[j] <= n and weights[owner[j] - 1][j - 1] > 0:
-            out[owner[j] - 1] = j - 1
-    return out
+    return [(i, j, weight[i, j]) for i, j in enumerate(mate) if j < m]
 
 
-def match_optimal(pairs: DataFrame, least_iou: float = 0.3, most_cells: int = 1_000_000) -> DataFrame:
-    """One-to-one pairs (grid, gt, pred, iou, assignment) with the largest total IoU, then those of ``least_iou`` or more.
+def match_optimal(pairs: DataFrame, least_iou: float = 0.3) -> DataFrame:
+    """One-to-one pairs (grid, gt, pred, iou) with the largest total IoU, then those of ``least_iou`` or more.
 
     Pairs fall into connected groups. A group with one object on a side takes its best pair with a window; the others are solved
-    exactly in tasks. A group with more than ``most_cells`` combinations is solved by the greedy rule and says so.
+    exactly in tasks, one group after the other, on the pairs that touch. A group is what overlaps in one grid.
     """
     pairs = materialise(_groups(pairs))
     shape = pairs.groupBy("grid", "group").agg(F.countDistinct("gt").alias("n"), F.countDistinct("pred").alias("m"))
     pairs = materialise(pairs.join(shape, ["grid", "group"]))
     w = W.partitionBy("grid", "group").orderBy(F.desc("iou"), "gt", "pred")
     single = pairs.where("n = 1 or m = 1").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("grid", "gt", "pred", "iou")
-    cols = ["grid", "gt", "pred", "iou"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        gts, preds = sorted(set(pdf["gt"])), sorted(set(pdf["pred"]))
-        row, col = {g: i for i, g in enumerate(gts)}, {p: j for j, p in enumerate(preds)}
-        weights = [[0.0] * len(preds) for _ in gts]
-        for g, p, iou in zip(pdf["gt"], pdf["pred"], pdf["iou"]):
-            weights[row[g]][col[p]] = iou
-        picked = [(pdf["grid"].iloc[0], gts[i], preds[j], weights[i][j]) for i, j in enumerate(_best(weights)) if j >= 0]
-        return pd.DataFrame(picked, columns=cols)
-
-    some = pairs.where(f"n > 1 and m > 1 and n * m <= {most_cells}").groupBy("grid", "group").applyInPandas(solve, "grid long, gt long, pred long, iou double")
-    out = single.unionByName(some).withColumn("assignment", F.lit("optimal"))
-    rest = pairs.where(f"n > 1 and m > 1 and n * m > {most_cells}")
-    if rest.limit(1).count():
-        out = out.unionByName(match_greedy(rest, 0.0).withColumn("assignment", F.lit("greedy")))
-    return out.where(F.col("iou") >= least_iou)
-
-
-def match_greedy(pairs: DataFrame, above_iou: float = 0.3, most_rounds: int = 1000) -> DataFrame:
+        rows, gts = pd.factorize(pdf["gt"], sort=True)
+        cols, preds = pd.factorize(pdf["pred"], sort=True)
+        found = best_pairs(list(zip(rows.tolist(), cols.tolist(), pdf["iou"].tolist())), len(gts), len(preds))
+        return pd.DataFrame([(pdf["grid"].iloc[0], gts[i], preds[j], w) for i, j, w in found], columns=["grid", "gt", "pred", "iou"])
+
+    some = pairs.where("n > 1 and m > 1").groupBy("grid", "group").applyInPandas(solve, "grid long, gt long, pred long, iou double")
+    return single.unionByName(some).where(F.col("iou") >= least_iou)
+
+
+def match_greedy(pairs: DataFrame, above_iou: float = 0.3) -> DataFrame:
     """References in the order of their best IoU each take their best prediction that is free, strictly above ``above_iou``.
 
     In each round every group settles its first remaining reference; groups are independent, so all advance at once.
@@ -140,7 +143,7 @@ def match_greedy(pairs: DataFrame, above_iou: float = 0.3, most_rounds: int = 10
     left = materialise(pairs.where(F.col("iou") > above_iou).select("grid", "gt", "pred", "iou"))
     top = materialise(left.groupBy("grid", "gt").agg(F.max("iou").alias("top")))
     out = None
-    for _ in range(most_rounds):
+    while True:  # each round settles the first reference that is left, at least
         # a reference may choose when no earlier reference still wants the same prediction
         rank = left.join(top, ["grid", "gt"])
         first = rank.withColumn("rn", F.row_number().over(W.partitionBy("grid", "gt").orderBy(F.desc("iou"), "pred")))
@@ -151,7 +154,6 @@ def match_greedy(pairs: DataFrame, above_iou: float = 0.3, most_rounds: int = 10
         left = materialise(left.join(got.select("grid", "gt"), ["grid", "gt"], "left_anti").join(got.select("grid", "pred"), ["grid", "pred"], "left_anti"))
         if left.limit(1).count() == 0:
             return out.select("grid", "gt", "pred", "iou")
-    raise RuntimeError(f"matching did not settle in {most_rounds} rounds")
 
 
 def ambiguous(pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:
@@ -160,6 +162,11 @@ def ambiguous(pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:
     return out.where("n >= 2")
 
 
+def without_ambiguous(matched: DataFrame, pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:
+    """Matched pairs without those of ambiguous references; these still count as references."""
+    return matched.join(ambiguous(pairs, least_iou).select("grid", "gt"), ["grid", "gt"], "left_anti")
+
+
 def detection(gt: DataFrame, pred: DataFrame, matched: DataFrame, grids: DataFrame) -> DataFrame:
     """Per grid: objects, matches, misses, false finds, and a note where a side is empty."""
     n = lambda df, name: df.groupBy("grid").agg(F.count(F.lit(1)).alias(name))
@@ -168,5 +175,3 @@ def detection(gt: DataFrame, pred: DataFrame, matched: DataFrame, grids: DataFra
         out = out.join(n(df, name), "grid", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     note = F.when((F.col("n_gt") == 0) & (F.col("n_pred") == 0), "both_null").when(F.col("n_gt") == 0, "gt_null").when(F.col("n_pred") == 0, "pred_null")
     return out.withColumns({"n_fn": F.greatest(F.lit(0), F.col("n_gt") - F.col("n_matched")), "n_fp": F.greatest(F.lit(0), F.col("n_pred") - F.col("n_matched")), "note": note})
-
-

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 
 def seeded(seed: int, key: str | Column) -> Column:
     """Sort key of a seeded shuffle."""
@@ -13,25 +15,50 @@ def seeded(seed: int, key: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), k.cast("string")).cast("binary"))
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rn``, the rank from 1 within each group ``by`` (all rows, if empty) by the columns ``order``, and ``global_index`` from 0
+    in the order of ``by`` and ``order``.
+
+    Rows are dealt by ranges and numbered in their partition; the counts of the partitions before, one number for each
+    partition, do the rest. So a few large groups are spread over all tasks, and a group costs one row of its own.
+    """
+    at = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    part = F.spark_partition_id()
+    at = materialise(at.withColumns({"_part": part, "_in": F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)}))
+    starts, have = [], 0
+    for part, n in sorted(at.groupBy("_part").count().collect()):  # one number a partition
+        starts.append((part, have))
+        have += n
+    before = rows.sparkSession.createDataFrame(starts, "_part int, _before long")
+    out = at.join(F.broadcast(before), "_part").withColumn("global_index", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    if not by:
+        return out.withColumn("rn", F.col("global_index") + 1)
+    first = out.groupBy(*by).agg(F.min("global_index").alias("_first"))
+    names = {c: f"_g_{c}" for c in by}
+    first = first.withColumnsRenamed(names)
+    on = [out[c].eqNullSafe(first[n]) for c, n in names.items()]
+    return out.join(first, on).withColumn("rn", F.col("global_index") - F.col("_first") + 1).drop("_first", *names.values())
+
+
 def with_positions(rows: DataFrame, part: str, order: str) -> DataFrame:
-    """``position`` within each part and ``global_index`` over all parts; offsets come from the parts' counts."""
-    n = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    start = n.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = rows.join(F.broadcast(start.drop("_n")), part)
-    out = out.withColumn("position", (F.row_number().over(W.partitionBy(part).orderBy(order)) - 1).cast("long"))
-    return out.withColumn("global_index", F.col("_start") + F.col("position")).drop("_start")
+    """``position`` within each part and ``global_index`` over all parts, both from 0."""
+    return ranked(rows, [part], [order]).withColumn("position", F.col("rn") - 1).drop("rn")
 
 
-def stratified_split(chips: DataFrame, test_quota: int, val_share: float, seed: int = 42, stratum: str = "sza_bin", key: str = "chip") -> DataFrame:
-    """``split`` for every chip: the same test quota in each stratum, a share of the rest for validation, the rest for training.
+def stratified_split(chips: DataFrame, test_share: float, val_share: float, seed: int = 42, stratum: str = "sza_bin", key: str = "chip") -> DataFrame:
+    """``split`` for every chip: the same number for test from each stratum, ``test_share`` of all chips together, then
+    ``val_share`` of all chips for validation from the whole remainder, the rest for training.
 
-    Ranks come from windows over each stratum; validation is drawn from each stratum by its share, so no window
-    spans all chips. A stratum's rows are ranked by hash only, and nothing but key and hash is sorted.
+    Both draws are ranks by seeded hash. A stratum with fewer chips gives all of them.
     """
-    test = F.row_number().over(W.partitionBy(stratum).orderBy(seeded(seed, key), key)) <= test_quota
-    left = F.count(F.lit(1)).over(W.partitionBy(stratum)) - test_quota
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(seeded(seed, key), key)) - test_quota
-    return chips.withColumn("split", F.when(test, "test").when(rank <= F.floor(left * val_share), "val").otherwise("train"))
+    total, strata = chips.agg(F.count(F.lit(1)), F.countDistinct(stratum)).first()
+    each = max(1, max(1, round(total * test_share)) // max(1, strata))
+    rows = ranked(chips.withColumn("_key", seeded(seed, key)), [stratum], ["_key", key]).drop("_key", "global_index")
+    rows = materialise(rows.withColumn("split", F.when(F.col("rn") <= each, "test")).drop("rn"))
+    rest = ranked(rows.where("split is null").withColumn("_key", seeded(seed + 1, key)), [], ["_key", key])
+    val = F.when(F.col("rn") <= max(1, round(total * val_share)), "val").otherwise("train")
+    rest = rest.withColumn("split", val)
+    return rows.where("split is not null").unionByName(rest.select(rows.columns))
 
 
 def class_balance(chips: DataFrame, ratio: float, least: int = 5, seed: int = 42, stratum: str = "sza_bin", key: str = "chip") -> DataFrame:
@@ -43,8 +70,7 @@ def class_balance(chips: DataFrame, ratio: float, least: int = 5, seed: int = 42
     n = pos.groupBy(stratum).agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn"))
     low = F.least("np", "nn")
     n = n.select(stratum, F.when(low < least, None).otherwise(F.floor(low * ratio)).cast("long").alias("cap"))
-    rank = F.row_number().over(W.partitionBy(stratum, "positive").orderBy(seeded(seed, key), key))
-    out = pos.join(F.broadcast(n), stratum).withColumn("rn", rank)
+    out = ranked(pos.withColumn("_key", seeded(seed, key)), [stratum, "positive"], ["_key", key]).drop("_key", "global_index").join(F.broadcast(n), stratum)
     out = out.where(F.col("cap").isNull() | (F.col("rn") <= F.col("cap")))
     return out.withColumn("action", F.when(F.col("cap").isNull(), "skipped").otherwise("balanced")).drop("cap", "rn")
 
@@ -56,8 +82,7 @@ def to_targets(rows: DataFrame, targets: DataFrame, by: list[str], seed: int = 4
     """
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(targets, by, "left")
     n = n.select(*by, F.coalesce("target", "n").alias("target"), "n")
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(seeded(seed, key), key))
-    out = rows.join(F.broadcast(n), by).withColumn("rn", rank)
+    out = ranked(rows.withColumn("_key", seeded(seed, key)), by, ["_key", key]).drop("_key", "global_index").join(F.broadcast(n), by)
     copies = F.floor(F.col("target") / F.col("n")) + F.when(F.col("rn") <= F.col("target") % F.col("n"), 1).otherwise(0)
     out = out.withColumn("copies", copies.cast("int")).where("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies", "rn", "n", "target")
@@ -66,3 +91,31 @@ def to_targets(rows: DataFrame, targets: DataFrame, by: list[str], seed: int = 4
 def first_by(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
+
+
+def size_skip_rules(counts: DataFrame, nulls: DataFrame, ratio: float, least: int, stratum: str = "sza_bin") -> DataFrame:
+    """Why a stratum's sizes are not balanced, '' if they are: one size bin only (one_bin), a bin with fewer than ``least`` chips (few),
+    or balancing would leave more null chips than ``ratio`` times the positive ones where there were not (ratio).
+
+    counts (stratum, size_bin, c, target), nulls (stratum, nulls)."""
+    b = counts.groupBy(stratum).agg(F.count(F.lit(1)).alias("bins"), F.min("c").alias("low"), F.sum("c").alias("pos"), F.sum("target").alias("cand")).join(nulls, stratum)
+    broken = (F.col("nulls") <= F.lit(ratio) * F.col("pos")) & (F.col("nulls") > F.lit(ratio) * F.col("cand"))
+    return b.withColumn("skipped_reason", F.when(F.col("bins") < 2, "one_bin").when(F.col("low") < least, "few").when(broken, "ratio").otherwise(""))
+
+
+def identity_hash(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
+    """``hash`` of each group's lines, whatever their order: lines are sorted in 4,096 buckets by the start of their md5, each
+    bucket has a sha256 of its lines, and the group that of its buckets' in order. So no task holds a group's lines."""
+    b = rows.select(*by, line.alias("line")).withColumn("bucket", F.substring(F.md5(F.col("line").cast("binary")), 1, 3))
+    sha = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
+    parts = b.groupBy(*by, "bucket").agg(sha("line").alias("part")).withColumn("part", F.concat("bucket", "part"))
+    return parts.groupBy(*by).agg(sha("part").alias("hash"))
+
+
+def positional_join(left: DataFrame, right: DataFrame, part: str) -> DataFrame:
+    """Rows of the same place (``part``, ``pos``); an error if a part's rows differ in number."""
+    n = lambda df, name: df.groupBy(part).agg(F.count(F.lit(1)).alias(name))
+    odd = n(left, "l").join(n(right, "r"), part, "full_outer").where("l is distinct from r").first()
+    if odd:
+        raise ValueError(f"{odd[part]}: {odd.l} rows on the left, {odd.r} on the right")
+    return left.join(right, [part, "pos"])

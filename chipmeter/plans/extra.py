@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import geometry as G
+from ..operators import labelling as L
 from ..operators import objects as O
 from ..operators import raster as R
 from ..operators import sampling as S
 from ..sources import io as IO
 from ..sources import views as V
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, scratch_folder
 from .common import INVENTORY, PAIRS, PX, rounded
+from .pairs import SPLIT, TEST, VAL
 from .raster import COMP, FIRST, _labels
-from .records import NAMES, _scenes
+from .records import EXP, NAMES, SUBS, _scenes
 
 Q, SQL = {}, {}
 
@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
 
 def _folder(spark):
-    return materialise(spark.range(1)).inputFiles()[0].rpartition("/tables/")[0] + f"/files/{uuid.uuid4().hex}"
+    return scratch_folder(spark, "files")
 
 
 @query("S3_partitioned_objects", " SELECT sza_bin, method, count(*) AS n, round(sum(a_pred), 3) AS area FROM pr WHERE sza_bin <> 'sza_gt75' GROUP BY ALL", PAIRS)
@@ -113,10 +113,23 @@ def skip_log(spark, sf):
     return IO.read_csv(spark, path, schema)
 
 
-@query("S13_labelling_scan", " SELECT n_name AS region, count(c_custkey) AS chips, count(DISTINCT c_mktsegment) AS groups FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("S13_labelling_scan", EXP + ", t AS (SELECT 'labelers' AS name, count(DISTINCT labeler) AS n, 0 AS n_loose FROM sb UNION ALL SELECT 'chips', count(*), 0 FROM customer UNION ALL SELECT 'predictions', count(*), count(*) FILTER (assignment NOT IN (SELECT c_custkey FROM customer)) FROM pd UNION ALL SELECT 'assignments', count(*), count(*) FILTER (assignment NOT IN (SELECT c_custkey FROM customer)) FROM (SELECT DISTINCT labeler, assignment FROM sb) UNION ALL SELECT 'results', count(*), count(*) FILTER (assignment NOT IN (SELECT c_custkey FROM customer)) FROM rs UNION ALL SELECT 'decisions', count(*), count(*) FILTER (prediction IS NULL) FROM de) SELECT name, n, CAST(n_loose AS BIGINT) AS n_loose FROM t", SUBS)
 def labelling_scan(spark, sf):
-    c, n = V.table(spark, sf, "customer"), V.table(spark, sf, "nation")
-    return n.join(c, n.n_nationkey == c.c_nationkey, "left").groupBy(F.col("n_name").alias("region")).agg(F.count("c_custkey").alias("chips"), F.countDistinct("c_mktsegment").alias("groups"))
+    """The six tables of a campaign: rows, and those whose parent (chip; prediction for decisions) is missing."""
+    s, p = V.submissions(spark, sf), V.predictions(spark, sf)
+    results = L.checked(s, p).where("status = 'accepted'").select(F.col("assignment").alias("chip"), "event_id", "verdict", "edits")
+    chips = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("chip"))
+    has = chips.withColumn("has", F.lit(1))
+    named = lambda df, name: df.join(has, "chip", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has").isNull()).alias("n_loose")).select(F.lit(name).alias("name"), "n", "n_loose")
+    parts = [
+        s.agg(F.countDistinct("labeler").alias("n")).select(F.lit("labelers").alias("name"), "n", F.lit(0).cast("long").alias("n_loose")),
+        named(chips, "chips"), named(p.select("chip"), "predictions"), named(s.select("labeler", F.col("assignment").alias("chip")).distinct(), "assignments"), named(results.select("chip"), "results"),
+        L.decisions(results, p).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction").isNull()).alias("n_loose")).select(F.lit("decisions").alias("name"), "n", "n_loose"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("S14_idempotent_import", ", old AS (SELECT chip FROM inv WHERE chip % 3 = 0), new AS (SELECT chip FROM inv WHERE chip % 2 = 0) SELECT CASE WHEN old.chip IS NULL THEN 'added' ELSE 'skipped' END AS outcome, count(*) AS n FROM new LEFT JOIN old USING (chip) GROUP BY ALL", INVENTORY)
@@ -235,10 +248,11 @@ def cloud_fraction(spark, sf):
 SQL["J15_cloud_fraction"] = "WITH" + SQL["J15_cloud_fraction"]
 
 
-@query("J17_pass_set", " SELECT chip, sza_bin FROM inv WHERE n_objects > 2", INVENTORY)
+@query("J17_pass_set", ", ps AS (SELECT DISTINCT l_partkey AS chip FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40) SELECT chip, sza_bin FROM inv WHERE chip IN (SELECT chip FROM ps)", INVENTORY)
 def pass_set(spark, sf):
-    inv = V.inventory(spark, sf)
-    return inv.join(inv.where("n_objects > 2").select("chip"), "chip", "left_semi").select("chip", "sza_bin")
+    """Chips in the quality list, which is another table."""
+    listed = V.table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40").select(F.col("l_partkey").cast("long").alias("chip"))
+    return V.inventory(spark, sf).join(listed, "chip", "left_semi").select("chip", "sza_bin")
 
 
 @query("J23_key_union", " SELECT chip_id FROM cells WHERE cls = 1 UNION SELECT chip_id FROM cells WHERE p > 0.6", PX)
@@ -269,11 +283,13 @@ def decisions(spark, sf):
     return g.groupBy("region", d.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A62_dataset_audit", ", a AS (SELECT sza_bin, count(*) AS n_chips, sum(n_objects)::BIGINT AS n_objects FROM inv GROUP BY sza_bin), l AS (SELECT sza_bin, 'n_chips' AS field, n_chips AS actual FROM a UNION ALL SELECT sza_bin, 'n_objects', n_objects FROM a) SELECT sza_bin, field, actual, CASE field WHEN 'n_chips' THEN 500 ELSE 1000 END AS expected, actual = CASE field WHEN 'n_chips' THEN 500 ELSE 1000 END AS ok FROM l", INVENTORY)
+@query("A62_dataset_audit", SPLIT + ", a AS (SELECT sza_bin, count(*) AS n_chips, sum(n_objects)::BIGINT AS n_objects, count(*) FILTER (n_objects = 0 AND max_rl > 900 AND split <> 'train') AS masked_outside_train FROM sp GROUP BY sza_bin), l AS (SELECT sza_bin, 'n_chips' AS field, n_chips AS actual FROM a UNION ALL SELECT sza_bin, 'n_objects', n_objects FROM a UNION ALL SELECT sza_bin, 'masked_outside_train', masked_outside_train FROM a), e(field, expected) AS (VALUES ('n_chips', 500), ('n_objects', 1000), ('masked_outside_train', 0)) SELECT sza_bin, field, actual, expected, actual = expected AS ok FROM l JOIN e USING (field)", INVENTORY)
 def audit(spark, sf):
-    a = V.inventory(spark, sf).groupBy("sza_bin").agg(F.count(F.lit(1)).alias("n_chips"), F.sum("n_objects").alias("n_objects"))
-    long = a.select("sza_bin", F.expr("stack(2, 'n_chips', n_chips, 'n_objects', n_objects) as (field, actual)"))
-    want = spark.createDataFrame([("n_chips", 500), ("n_objects", 1000)], "field string, expected int")
+    """Expected against actual values; masked chips (null chips of large scenes here) may be in training only."""
+    masked = F.count_if((F.col("n_objects") == 0) & (F.col("max_rl") > 900) & (F.col("split") != "train"))
+    a = S.stratified_split(V.inventory(spark, sf), TEST, VAL).groupBy("sza_bin").agg(F.count(F.lit(1)).alias("n_chips"), F.sum("n_objects").alias("n_objects"), masked.alias("masked_outside_train"))
+    long = a.select("sza_bin", F.expr("stack(3, 'n_chips', n_chips, 'n_objects', n_objects, 'masked_outside_train', masked_outside_train) as (field, actual)"))
+    want = spark.createDataFrame([("n_chips", 500), ("n_objects", 1000), ("masked_outside_train", 0)], "field string, expected int")
     return long.join(F.broadcast(want), "field").select("sza_bin", "field", "actual", "expected", (F.col("actual") == F.col("expected")).alias("ok"))
 
 

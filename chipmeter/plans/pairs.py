@@ -8,6 +8,7 @@ from ..operators import metrics as M
 from ..operators import objects as O
 from ..operators import sampling as S
 from ..sources import views as V
+from ..sources.scratch import materialise
 from .common import INVENTORY, PAIRS, rounded
 
 Q, SQL = {}, {}
@@ -189,11 +190,13 @@ def size_filter(spark, sf):
     return f.withColumns({"removed": gone, "removed_pct": gone / F.col("before") * 100})
 
 
-SPLIT = ", rk AS (SELECT *, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('42|' || chip), chip) AS rn, count(*) OVER (PARTITION BY sza_bin) AS n FROM inv), sp AS (SELECT *, CASE WHEN rn <= 50 THEN 'test' WHEN rn - 50 <= floor((n - 50) * CAST(0.2 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM rk)"
+#: Shares of all chips for test and validation.
+TEST, VAL = 0.1, 0.15
+SPLIT = ", rk AS (SELECT *, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('42|' || chip), chip) AS rn FROM inv), tt AS (SELECT greatest(1, CAST(round_even(count(*) * CAST(0.1 AS DOUBLE), 0) AS BIGINT)) // count(DISTINCT sza_bin) AS per, greatest(1, CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS nv FROM inv), te AS (SELECT rk.*, rn <= greatest(1, per) AS test, nv FROM rk, tt), sp AS (SELECT *, CASE WHEN test THEN 'test' WHEN row_number() OVER (PARTITION BY test ORDER BY md5('43|' || chip), chip) <= nv THEN 'val' ELSE 'train' END AS split FROM te)"
 
 
 def _split(spark, sf):
-    return S.stratified_split(V.inventory(spark, sf), 50, 0.2)
+    return S.stratified_split(V.inventory(spark, sf), TEST, VAL)
 
 
 @query("W1_stratified_split", SPLIT + " SELECT chip, sza_bin, split FROM sp", INV)
@@ -218,10 +221,13 @@ def manifest_counts(spark, sf):
     return _split(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_objects") > 0).alias("n_pos"), F.count_if(F.col("source") == "expert").alias("n_expert"))
 
 
-@query("A39_dataset_identity_hash", SPLIT + " SELECT split, sha256(string_agg(chip || '|' || sza_bin || '|' || split, chr(10) ORDER BY chip || '|' || sza_bin || '|' || split)) AS hash FROM sp GROUP BY split", INV)
+#: Identity of lines ``ln`` by group ``g`` in SQL: 4,096 sorted buckets, each hashed, then the hashes.
+IDENTITY = "{name} AS (SELECT g, sha256(string_agg(b || h, chr(10) ORDER BY b || h)) AS hash FROM (SELECT g, left(md5(ln), 3) AS b, sha256(string_agg(ln, chr(10) ORDER BY ln)) AS h FROM {source} GROUP BY ALL) GROUP BY g)"
+
+
+@query("A39_dataset_identity_hash", SPLIT + ", li AS (SELECT split AS g, chip || '|' || sza_bin || '|' || split AS ln FROM sp), " + IDENTITY.format(name="ih", source="li") + " SELECT g AS split, hash FROM ih", INV)
 def identity(spark, sf):
-    line = F.concat_ws("|", F.col("chip").cast("string"), "sza_bin", "split")
-    return _split(spark, sf).groupBy("split").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("hash"))
+    return S.identity_hash(_split(spark, sf), ["split"], F.concat_ws("|", F.col("chip").cast("string"), "sza_bin", "split"))
 
 
 BAL = SPLIT + ", tr AS (SELECT * FROM sp WHERE split = 'train'), nb AS (SELECT sza_bin, least(count(*) FILTER (n_objects > 0), count(*) FILTER (n_objects = 0)) AS low FROM tr GROUP BY sza_bin), bl AS (SELECT tr.chip, tr.sza_bin, tr.n_objects, tr.max_rl, low, row_number() OVER (PARTITION BY tr.sza_bin, tr.n_objects > 0 ORDER BY md5('42|' || chip), chip) AS r FROM tr JOIN nb USING (sza_bin)), kept AS (SELECT * FROM bl WHERE low < 5 OR r <= floor(low * 1.5))"
@@ -236,14 +242,6 @@ def balance(spark, sf):
     return _balanced(spark, sf).select("chip", "sza_bin", "positive", "action")
 
 
-@query("W6_balance_report", BAL + " SELECT t.sza_bin, CASE WHEN t.n_objects > 0 THEN 'positive' ELSE 'null' END AS group_name, count(*) AS original_count, count(k.chip) AS balanced_count FROM tr t LEFT JOIN kept k USING (chip) GROUP BY ALL", INV)
-def balance_report(spark, sf):
-    t = _split(spark, sf).where("split = 'train'")
-    b = _balanced(spark, sf).select("chip", F.lit(1).alias("in"))
-    name = F.when(F.col("n_objects") > 0, "positive").otherwise("null")
-    return t.join(b, "chip", "left").groupBy("sza_bin", name.alias("group_name")).agg(F.count(F.lit(1)).alias("original_count"), F.count("in").alias("balanced_count"))
-
-
 SZ = BAL + ", z AS (SELECT *, CASE WHEN max_rl < 100 THEN 'rl_40_100' WHEN max_rl < 300 THEN 'rl_100_300' ELSE 'rl_300_plus' END AS size_bin FROM kept WHERE n_objects > 0), zn AS (SELECT *, count(*) OVER (PARTITION BY sza_bin, size_bin) AS cn, row_number() OVER (PARTITION BY sza_bin, size_bin ORDER BY md5('42|' || chip), chip) AS q FROM z)"
 
 
@@ -273,11 +271,42 @@ def oversample(spark, sf):
     return S.to_targets(z, t, by).groupBy(*by, "copy").agg(F.count(F.lit(1)).alias("n"), F.sum("chip").alias("chips"))
 
 
-@query("W5_size_skip_rules", SZ + ", b AS (SELECT sza_bin, count(DISTINCT size_bin) AS bins, min(cn) AS low FROM zn GROUP BY sza_bin) SELECT sza_bin, bins, low, CASE WHEN bins < 2 THEN 'one_bin' WHEN low < 3 THEN 'few' ELSE 'ok' END AS skipped_reason FROM b", INV)
+#: Stage 2 by counts: targets of the size band, and the first rule that leaves a bin alone.
+STAGE2 = SZ + ", c2 AS (SELECT sza_bin, size_bin, count(*) AS c, CASE WHEN count(*) < 30 THEN 30 WHEN count(*) > 60 THEN 60 ELSE count(*) END AS target FROM z GROUP BY ALL), b2 AS (SELECT sza_bin, count(*) AS bins, min(c) AS low, sum(c)::BIGINT AS pos, sum(target)::BIGINT AS cand FROM c2 GROUP BY sza_bin), n2 AS (SELECT sza_bin, count(*) FILTER (n_objects = 0) AS nulls FROM kept GROUP BY sza_bin), r2 AS (SELECT b2.*, nulls, CASE WHEN bins < 2 THEN 'one_bin' WHEN low < 3 THEN 'few' WHEN nulls <= CAST(1.5 AS DOUBLE) * pos AND nulls > CAST(1.5 AS DOUBLE) * cand THEN 'ratio' ELSE '' END AS skipped_reason FROM b2 JOIN n2 USING (sza_bin))"
+
+
+def _stage2(spark, sf):
+    """Counts of size bins with their targets, and each bin's reason to be left alone ('' if none)."""
+    b = materialise(_balanced(spark, sf).select("sza_bin", "positive", "max_rl"))
+    c = b.where("positive").groupBy("sza_bin", O.size_bin(F.col("max_rl")).alias("size_bin")).agg(F.count(F.lit(1)).alias("c"))
+    c = materialise(c.withColumn("target", F.greatest(F.lit(30), F.least(F.lit(60), "c")).cast("long")))
+    nulls = b.groupBy("sza_bin").agg(F.count_if(~F.col("positive")).alias("nulls"))
+    return c, S.size_skip_rules(c, nulls, 1.5, 3)
+
+
+@query("W5_size_skip_rules", STAGE2 + " SELECT sza_bin, bins, low, pos, cand, nulls, skipped_reason FROM r2", INV)
 def size_skip(spark, sf):
-    n = _sized(spark, sf).groupBy("sza_bin", "size_bin").agg(F.count(F.lit(1)).alias("c"))
-    b = n.groupBy("sza_bin").agg(F.count(F.lit(1)).alias("bins"), F.min("c").alias("low"))
-    return b.withColumn("skipped_reason", F.when(F.col("bins") < 2, "one_bin").when(F.col("low") < 3, "few").otherwise("ok"))
+    return _stage2(spark, sf)[1]
+
+
+@query("W6_balance_report", STAGE2 + ", g1 AS (SELECT unnest(['GT0', 'GT+']) AS group_name), s1 AS (SELECT t.sza_bin, CASE WHEN t.n_objects > 0 THEN 'GT+' ELSE 'GT0' END AS group_name, count(*) AS o, count(k.chip) AS b FROM tr t LEFT JOIN kept k USING (chip) GROUP BY ALL), h1 AS (SELECT sza_bin, group_name, coalesce(o, 0) AS o, coalesce(b, 0) AS b FROM (SELECT DISTINCT sza_bin FROM tr) CROSS JOIN g1 LEFT JOIN s1 USING (sza_bin, group_name)), l1 AS (SELECT sza_bin, min(o) AS low FROM h1 GROUP BY sza_bin) SELECT 'stage1_gt_balance' AS stage, sza_bin, group_name, o AS original_count, b AS balanced_count, CASE WHEN low < 5 THEN 'skipped' WHEN b < o THEN 'undersampled' ELSE 'unchanged' END AS action, CASE WHEN low < 5 THEN 'few' ELSE '' END AS skipped_reason FROM h1 JOIN l1 USING (sza_bin) UNION ALL SELECT 'stage2_positive_area_balance', r2.sza_bin, s.x, coalesce(c, 0), CASE WHEN skipped_reason <> '' THEN coalesce(c, 0) ELSE coalesce(target, 0) END, CASE WHEN skipped_reason <> '' THEN 'skipped' WHEN c IS NULL THEN 'absent' WHEN target > c THEN 'oversampled' WHEN target < c THEN 'undersampled' ELSE 'unchanged' END, skipped_reason FROM r2 CROSS JOIN (SELECT unnest(['rl_40_100', 'rl_100_300', 'rl_300_plus']) AS x) s LEFT JOIN c2 ON c2.sza_bin = r2.sza_bin AND c2.size_bin = s.x", INV)
+def balance_report(spark, sf):
+    """Both stages: counts before and after, what was done, and why a bin was left alone."""
+    t = _split(spark, sf).where("split = 'train'").select("sza_bin", F.when(F.col("n_objects") > 0, "GT+").otherwise("GT0").alias("group_name"), F.lit("o").alias("side"))
+    b = _balanced(spark, sf).select("sza_bin", F.when(F.col("positive"), "GT+").otherwise("GT0").alias("group_name"), F.lit("b").alias("side"))
+    one = t.unionByName(b).groupBy("sza_bin", "group_name").agg(F.count_if(F.col("side") == "o").alias("o"), F.count_if(F.col("side") == "b").alias("b"))
+    one = M.completed(one, one.select("sza_bin").distinct().select("sza_bin", F.explode(F.array(F.lit("GT0"), F.lit("GT+"))).alias("group_name")), ["o", "b"])
+    low = one.groupBy("sza_bin").agg((F.min("o") < 5).alias("few"))
+    act = F.when(F.col("few"), "skipped").when(F.col("b") < F.col("o"), "undersampled").otherwise("unchanged")
+    names = ["stage", "sza_bin", "group_name", "original_count", "balanced_count", "action", "skipped_reason"]
+    first = one.join(low, "sza_bin").select(F.lit("stage1_gt_balance"), "sza_bin", "group_name", "o", "b", act, F.when(F.col("few"), "few").otherwise("")).toDF(*names)
+    c, r = _stage2(spark, sf)
+    two = r.select("sza_bin", "skipped_reason", F.explode(F.array(*map(F.lit, ("rl_40_100", "rl_100_300", "rl_300_plus")))).alias("size_bin")).join(c, ["sza_bin", "size_bin"], "left")
+    left = F.col("skipped_reason") != ""
+    act = F.when(left, "skipped").when(F.col("c").isNull(), "absent").when(F.col("target") > F.col("c"), "oversampled").when(F.col("target") < F.col("c"), "undersampled").otherwise("unchanged")
+    n = lambda col: F.coalesce(col, F.lit(0))
+    second = two.select(F.lit("stage2_positive_area_balance"), "sza_bin", "size_bin", n("c"), F.when(left, n("c")).otherwise(n("target")), act, "skipped_reason").toDF(*names)
+    return first.unionByName(second)
 
 
 @query("W7_custom_ratio", SPLIT + ", rt(sza_bin, k) AS (VALUES ('sza_lt65', 40), ('sza_65_70', 30), ('sza_70_75', 20)), p AS (SELECT chip, sza_bin, k, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('7|' || chip), chip) AS r FROM sp JOIN rt USING (sza_bin) WHERE split = 'train' AND n_objects > 0) SELECT chip, sza_bin FROM p WHERE r <= k", INV)
@@ -300,17 +329,19 @@ def quota(spark, sf):
     return out.where(F.col("rank") <= F.when(F.col("source") == "crowd", F.col("crowd")).otherwise(100 - F.col("crowd"))).select("chip", "source")
 
 
-@query("W12_append_nulls", SPLIT + ", a AS (SELECT chip, split FROM sp WHERE n_objects > 0 UNION ALL SELECT chip, 'train' FROM sp WHERE n_objects = 0) SELECT chip, split, row_number() OVER (PARTITION BY split ORDER BY chip) - 1 AS position FROM a", INV)
+@query("W12_append_nulls", SPLIT + ", a AS (SELECT chip, split FROM sp WHERE n_objects > 0 UNION ALL SELECT chip, 'train' FROM sp WHERE n_objects = 0), li AS (SELECT 0 AS g, chip || '|' || split AS ln FROM a), " + IDENTITY.format(name="ih", source="li") + " SELECT chip, split, row_number() OVER (PARTITION BY split ORDER BY chip) - 1 AS position, (SELECT hash FROM ih) AS dataset_hash FROM a", INV)
 def append_nulls(spark, sf):
-    s = _split(spark, sf)
+    """Positions after null chips went to training, and the new identity hash of the whole set."""
+    s = materialise(_split(spark, sf))
     a = s.where("n_objects > 0").select("chip", "split").unionByName(s.where("n_objects = 0").select("chip", F.lit("train").alias("split")))
-    return S.with_positions(a, "split", "chip").select("chip", "split", "position")
+    whole = S.identity_hash(a, [], F.concat_ws("|", F.col("chip").cast("string"), "split")).withColumnRenamed("hash", "dataset_hash")
+    return S.with_positions(a, "split", "chip").select("chip", "split", "position").join(F.broadcast(whole))
 
 
-@query("W20_seeded_batches", ", s AS (SELECT chip, row_number() OVER (ORDER BY md5('5|' || chip), chip) AS rn FROM inv WHERE n_objects > 0) SELECT chip, CAST(floor((rn - 1) / 50.0) AS INT) AS batch FROM s WHERE rn <= 1000", INV)
+@query("W20_seeded_batches", ", s AS (SELECT chip, row_number() OVER (ORDER BY md5('5|' || chip), chip) AS rn FROM inv WHERE n_objects > 0) SELECT chip, CAST(floor((rn - 1) / 150.0) AS INT) AS batch FROM s WHERE rn <= 3000", INV)
 def batches(spark, sf):
     top = V.inventory(spark, sf).where("n_objects > 0").withColumn("k", S.seeded(5, "chip")).orderBy("k", "chip").limit(20 * 150)  # the shuffle has 20 batches of 150
-    return S.with_positions(top.withColumn("all", F.lit(0)), "all", "k").select("chip", F.floor(F.col("position") / 150).cast("int").alias("batch"))
+    return S.ranked(top, [], ["k", "chip"]).select("chip", F.floor(F.col("global_index") / 150).cast("int").alias("batch"))
 
 
 @query("J22_domain_completion", ", d AS (SELECT b, m FROM (SELECT unnest(['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75']) AS b), (SELECT unnest(['crowd', 'expert', 'model']) AS m)) SELECT b AS sza_bin, m AS source, count(chip) AS n, round(avg(max_rl), 6) AS mean FROM d LEFT JOIN inv ON sza_bin = b AND source = m GROUP BY ALL", INV)
@@ -320,12 +351,12 @@ def completion(spark, sf):
     return M.completed(s, domain, ["n"])
 
 
-@query("A65_dataset_comparability", SPLIT + ", v AS (SELECT split, count(*) AS n, sha256(string_agg(CAST(chip AS VARCHAR), ',' ORDER BY chip)) AS h FROM sp GROUP BY split), w AS (SELECT split, count(*) AS n, sha256(string_agg(CAST(chip AS VARCHAR), ',' ORDER BY chip)) AS h FROM sp WHERE split <> 'train' OR n_objects > 0 GROUP BY split) SELECT split, v.h = w.h AS unchanged, v.n - w.n AS removed FROM v JOIN w USING (split)", INV)
+@query("A65_dataset_comparability", SPLIT + ", l1 AS (SELECT split AS g, CAST(chip AS VARCHAR) AS ln FROM sp), l2 AS (SELECT split AS g, CAST(chip AS VARCHAR) AS ln FROM sp WHERE split <> 'train' OR n_objects > 0), " + IDENTITY.format(name="v", source="l1") + ", " + IDENTITY.format(name="w", source="l2") + " SELECT v.g AS split, v.hash = w.hash AS unchanged, (SELECT count(*) FROM l1 WHERE l1.g = v.g) - (SELECT count(*) FROM l2 WHERE l2.g = v.g) AS removed FROM v JOIN w USING (g)", INV)
 def comparability(spark, sf):
-    s = _split(spark, sf)
-    h = lambda d: d.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("chip")), lambda x: x.cast("string")), ",").cast("binary"), 256).alias("h"))
-    a, b = h(s), h(s.where("split <> 'train' or n_objects > 0"))
-    return a.join(b.select("split", F.col("n").alias("m"), F.col("h").alias("g")), "split").select("split", (F.col("h") == F.col("g")).alias("unchanged"), (F.col("n") - F.col("m")).alias("removed"))
+    s = materialise(_split(spark, sf))
+    h = lambda d: S.identity_hash(d, ["split"], F.col("chip").cast("string")).join(d.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split")
+    a, b = h(s), h(s.where("split <> 'train' or n_objects > 0")).toDF("split", "g", "m")
+    return a.join(b, "split").select("split", (F.col("hash") == F.col("g")).alias("unchanged"), (F.col("n") - F.col("m")).alias("removed"))
 
 
 @query("P27_positive_only_training", SPLIT + " SELECT chip, split FROM sp WHERE split <> 'train' OR n_objects > 0", INV)
@@ -333,8 +364,9 @@ def positive_only(spark, sf):
     return _split(spark, sf).where("split <> 'train' or n_objects > 0").select("chip", "split")
 
 
-@query("J1_positional_join", SPLIT + ", m AS (SELECT chip, split, row_number() OVER (PARTITION BY split ORDER BY chip) - 1 AS pos, max_rl FROM sp), l AS (SELECT split, pos, chip FROM m WHERE chip % 13 > 0) SELECT m.split, m.pos, l.chip AS log_chip, round(m.max_rl, 6) AS max_rl FROM m LEFT JOIN l USING (split, pos)", INV)
+@query("J1_positional_join", SPLIT + ", m AS (SELECT chip, split, row_number() OVER (PARTITION BY split ORDER BY chip) - 1 AS pos, max_rl FROM sp), l AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY chip) - 1 AS pos, chip AS log_chip FROM sp) SELECT split, pos, log_chip, round(max_rl, 6) AS max_rl FROM m JOIN l USING (split, pos)", INV)
 def positional(spark, sf):
-    m = S.with_positions(_split(spark, sf), "split", "chip").select("split", F.col("position").alias("pos"), "chip", "max_rl")
-    log = m.where("chip % 13 > 0").select("split", "pos", F.col("chip").alias("log_chip"))
-    return m.join(log, ["split", "pos"], "left").select("split", "pos", "log_chip", "max_rl")
+    s = materialise(_split(spark, sf))
+    place = lambda df: S.with_positions(df, "split", "chip").withColumnRenamed("position", "pos")
+    masks, log = place(s.select("split", "chip", "max_rl")).select("split", "pos", "max_rl"), place(s.select("split", "chip")).select("split", "pos", F.col("chip").alias("log_chip"))
+    return S.positional_join(masks, log, "split").select("split", "pos", "log_chip", "max_rl")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import objects as O
 from ..operators import raster as R
+from ..operators.sampling import with_positions
 from ..sources import views as V
 from ..sources.scratch import materialise
 from .common import PX, rounded
@@ -37,8 +38,6 @@ def split_arrays(spark, sf):
     c = V.chips(spark, sf)
     k = F.col("chip_id") % 10
     parts = [c.where(w).select("chip_id", F.lit(i).alias("split")) for i, w in enumerate((k < 7, k == 7, k > 7))]
-    from ..operators.sampling import with_positions
-
     return with_positions(parts[0].unionByName(parts[1]).unionByName(parts[2]), "split", "chip_id")
 
 
@@ -367,8 +366,13 @@ TWO = FIRST.format(cond="cls = 1") + COMP.format(cond="p > 0.5")
 OVER = TWO + ", ov AS (SELECT a.g, a.l AS gt, b.l AS pred, count(*) AS shared FROM gtl a JOIN lab b ON a.g = b.g AND a.pos = b.pos GROUP BY ALL), ga AS (SELECT g, l AS gt, count(*) AS gt_px FROM gtl GROUP BY ALL), pa AS (SELECT g, l AS pred, count(*) AS pred_px FROM lab GROUP BY ALL), iou AS (SELECT g AS grid, gt, pred, shared, gt_px, pred_px, CAST(shared AS DOUBLE) / (gt_px + pred_px - shared) AS iou FROM ov JOIN ga USING (g, gt) JOIN pa USING (g, pred))"
 
 
+def _both(spark, sf):
+    """Labelled cells of references and of predictions, each labelled once."""
+    return materialise(_labels(spark, sf, "cls = 1")), materialise(_labels(spark, sf, "p > 0.5"))
+
+
 def _pairs(spark, sf):
-    return materialise(O.overlaps(_labels(spark, sf, "cls = 1"), _labels(spark, sf, "p > 0.5")))
+    return materialise(O.overlaps(*_both(spark, sf)))
 
 
 @query("J5_object_overlap", OVER + " SELECT grid, gt, pred, shared, gt_px, pred_px, round(iou, 6) AS iou FROM iou")
@@ -391,17 +395,43 @@ def ambiguous(spark, sf):
     return O.ambiguous(_pairs(spark, sf)).withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), ","))
 
 
+@query("J8_ambiguous_removed")
+def ambiguous_removed(spark, sf):
+    pairs = _pairs(spark, sf)
+    return O.without_ambiguous(O.match_optimal(pairs), pairs)
+
+
+def _detected(spark, sf):
+    """Detection rows of all chips, and their matched pairs with and without ambiguous references."""
+    gt, pred = _both(spark, sf)
+    pairs = materialise(O.overlaps(gt, pred))
+    matched = materialise(O.match_optimal(pairs))
+    grids = V.chips(spark, sf).select(F.col("chip_id").alias("grid"))
+    return O.detection(O.sizes(gt), O.sizes(pred), matched, grids), matched, O.without_ambiguous(matched, pairs)
+
+
 @query("A13_chip_detection")
 def detection(spark, sf):
-    gt, pred = materialise(O.sizes(_labels(spark, sf, "cls = 1"))), materialise(O.sizes(_labels(spark, sf, "p > 0.5")))
-    return O.detection(gt, pred, O.match_optimal(_pairs(spark, sf)), V.chips(spark, sf).select(F.col("chip_id").alias("grid")))
+    return _detected(spark, sf)[0]
 
 
 @query("A14_detection_stats")
 def detection_stats(spark, sf):
-    d = detection(spark, sf).join(V.chips(spark, sf).select(F.col("chip_id").alias("grid"), "sza_bin"), "grid")
-    out = d.groupBy("sza_bin").agg(F.sum("n_gt").alias("n_ref"), F.sum("n_pred").alias("n_pred"), F.sum("n_matched").alias("n_matched"))
-    return out.withColumns({"match_rate": F.try_divide("n_matched", "n_ref"), "precision": F.try_divide("n_matched", "n_pred")})
+    """Both forms: all matched pairs with 0 for rates without objects, and those without ambiguous references with NULL."""
+    d, matched, kept = _detected(spark, sf)
+    iou = lambda df, name: df.groupBy("grid").agg(F.sum("iou").alias(f"iou_{name}"), F.count(F.lit(1)).alias(f"k_{name}"))
+    d = d.join(iou(matched, "all"), "grid", "left").join(iou(kept, "kept"), "grid", "left")
+    d = d.join(V.chips(spark, sf).select(F.col("chip_id").alias("grid"), "sza_bin"), "grid")
+    out = d.groupBy("sza_bin").agg(
+        F.sum("n_gt").alias("n_ref"), F.sum("n_pred").alias("n_pred"), F.sum("n_matched").alias("n_matched"), F.sum("iou_all").alias("iou"),
+        F.coalesce(F.sum("k_kept"), F.lit(0)).alias("n_kept"), F.sum("iou_kept").alias("iou_kept"),
+    )
+    rate = lambda a, b: F.try_divide(a, b)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(
+        "sza_bin", "n_ref", "n_pred", "n_matched", zero(rate("n_matched", "n_ref")).alias("match_rate"), zero(rate("n_matched", "n_pred")).alias("precision"), zero(rate("iou", "n_matched")).alias("mean_iou"),
+        "n_kept", rate("n_kept", "n_ref").alias("kept_match_rate"), rate("n_kept", "n_pred").alias("kept_precision"), rate("iou_kept", "n_kept").alias("kept_mean_iou"),
+    )
 
 
 @query("A15_area_summary", OTSU.format(src="px", least=1) + COMP.format(cond="b08 >= (SELECT t FROM ot WHERE ot.chip_id = cells.chip_id) AND chip_id IN (SELECT chip_id FROM px GROUP BY chip_id HAVING avg(CAST(b08 >= 0.55 AS INT)) <= 0.4)") + ", s AS (SELECT g, l, count(*) * 100.0::DOUBLE AS a FROM lab GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT sza_bin, region, a FROM s JOIN (SELECT DISTINCT chip_id, sza_bin, region FROM px) ON g = chip_id) SELECT sza_bin, region, count(*) AS n, round(avg(a), 6) AS mean, round(median(a), 6) AS median, round(sum(a), 6) AS total, round(quantile_cont(a, 0.25), 6) AS p25, round(quantile_cont(a, 0.75), 6) AS p75 FROM t GROUP BY ALL")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators import labelling as L
 from ..operators import names as N
+from ..operators import sampling as S
 from ..sources import views as V
-from ..sources.scratch import materialise
+from ..sources.scratch import scratch_folder
 from ..streaming import submissions as T
 from .common import rounded
 
@@ -27,10 +26,14 @@ rg AS (SELECT *, CASE tile WHEN '25WER' THEN 'KQ' WHEN '24VWQ' THEN 'SK' WHEN '2
 
 SUBS = """
 sb AS (SELECT event_id, ts, event_id % 400 AS assignment, user_id AS labeler, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'edited' WHEN 'view' THEN 'skipped' ELSE 'bogus' END AS verdict,
- ['', 'cloud', 'ambiguous', 'land-edge', 'melange', 'odd'][event_id % 6 + 1] AS tag FROM events),
-ck AS (SELECT *, CASE WHEN verdict = 'bogus' THEN 'bad_verdict' WHEN tag = 'odd' THEN 'bad_tag' END AS bad FROM sb),
-ac AS (SELECT assignment, event_id FROM (SELECT *, row_number() OVER (PARTITION BY assignment ORDER BY ts, event_id) AS rn FROM ck WHERE bad IS NULL) WHERE rn = 1),
-stt AS (SELECT ck.*, coalesce(bad, CASE WHEN ac.event_id IS NOT NULL THEN 'accepted' ELSE 'conflict' END) AS status FROM ck LEFT JOIN ac USING (event_id))"""
+ list_filter([['', 'sea-ice', 'cloud', 'dark-water', 'ambiguous', '', 'land-edge', 'melange', '', 'odd', 'sea-ice'][event_id % 11 + 1], CASE WHEN event_id % 5 = 0 THEN 'dark-water' ELSE '' END], lambda x: x <> '') AS tags FROM events),
+ge AS (SELECT event_id, assignment, 1 AS k, CAST(event_id % 8 + 1 AS INT) AS prediction, ['accepted', 'rejected', 'modified', 'modified'][event_id % 4 + 1] AS action, CASE WHEN event_id % 41 = 0 THEN 'ship' ELSE 'iceberg' END AS class, event_id % 7 AS side FROM sb WHERE verdict = 'edited'
+ UNION ALL SELECT event_id, assignment, 2, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 5 + 1 AS INT) END, CASE WHEN event_id % 3 = 0 THEN 'added' WHEN event_id % 31 = 1 THEN 'moved' ELSE 'accepted' END, 'iceberg', event_id % 11 FROM sb WHERE verdict = 'edited'),
+pd AS (SELECT DISTINCT l_orderkey % 400 AS assignment, CAST(l_linenumber AS INT) AS prediction FROM lineitem),
+ft AS (SELECT event_id, arg_min(why, k) AS why FROM (SELECT event_id, k, CASE WHEN action NOT IN ('accepted', 'rejected', 'added', 'modified') THEN 'bad_action' WHEN class NOT IN ('iceberg') THEN 'bad_class' WHEN ge.prediction IS NOT NULL AND pd.prediction IS NULL THEN 'orphan' END AS why FROM ge LEFT JOIN pd ON pd.assignment = ge.assignment AND pd.prediction = ge.prediction) WHERE why IS NOT NULL GROUP BY event_id),
+ck AS (SELECT sb.*, CASE WHEN verdict NOT IN ('accepted', 'rejected', 'edited', 'skipped') THEN 'bad_verdict' WHEN why IS NOT NULL THEN why WHEN len(list_filter(tags, lambda x: x NOT IN ('sea-ice', 'ambiguous', 'cloud', 'land-edge', 'melange', 'dark-water'))) > 0 THEN 'bad_tag' END AS bad FROM sb LEFT JOIN ft USING (event_id)),
+ac AS (SELECT assignment, ts AS t0, event_id AS e0 FROM (SELECT *, row_number() OVER (PARTITION BY assignment ORDER BY ts, event_id) AS rn FROM ck WHERE bad IS NULL) WHERE rn = 1),
+stt AS (SELECT ck.*, CASE WHEN event_id = e0 THEN 'accepted' WHEN ts > t0 OR (ts = t0 AND event_id > e0) THEN 'conflict' ELSE bad END AS status FROM ck LEFT JOIN ac USING (assignment))"""
 
 
 def query(name: str, sql: str | None = None, views: str = ""):
@@ -150,21 +153,23 @@ def provenance(spark, sf):
     return _scenes(spark, sf).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count("acquired").alias("dated"), F.count("row").alias("placed"), F.avg(F.col("row").isNull().cast("int")).alias("share_missing"))
 
 
-@query("W15_first_by_date", " SELECT region, id, CAST(rn AS INT) AS rank FROM (SELECT region, id, row_number() OVER (PARTITION BY region, month(acquired) ORDER BY acquired, id) AS rn FROM rg) WHERE rn <= 5", NAMES)
+@query("W15_first_by_date", ", r AS (SELECT region, id, row_number() OVER (PARTITION BY region, month(acquired) ORDER BY acquired, id) AS a, row_number() OVER (PARTITION BY region, month(acquired) % 4 ORDER BY acquired, id) AS b FROM rg) SELECT 'window' AS form, region, id, CAST(a AS INT) AS rank FROM r WHERE a <= 5 UNION ALL SELECT 'bin', region, id, CAST(b AS INT) FROM r WHERE b <= 30", NAMES)
 def first_by_date(spark, sf):
-    s = _scenes(spark, sf).withColumn("rank", F.row_number().over(W.partitionBy("region", F.month("acquired")).orderBy("acquired", "id")))
-    return s.where("rank <= 5").select("region", "id", "rank")
+    """The first 5 of each region and window (month), and the first 30 of each region and bin."""
+    s = _scenes(spark, sf).withColumn("month", F.month("acquired"))
+    first = lambda by, most, form: S.first_by(s, ["region", by], ["acquired", "id"], most).select(F.lit(form).alias("form"), "region", "id", "rank")
+    s = s.withColumn("bin", F.col("month") % 4)
+    return first("month", 5, "window").unionByName(first("bin", 30, "bin"))
 
 
 @query("W16_dedupe_keep_first", " SELECT stem, min(id) AS id FROM np GROUP BY stem", NAMES)
 def keep_first(spark, sf):
-    rows = _parts(spark, sf).withColumn("rn", F.row_number().over(W.partitionBy("stem").orderBy("id")))
-    return rows.where("rn = 1").select("stem", "id")
+    return _parts(spark, sf).groupBy("stem").agg(F.min("id").alias("id"))
 
 
 @query("W13_running_position", " SELECT id, row_number() OVER (PARTITION BY tile ORDER BY id) - 1 AS position FROM sc", NAMES)
-def running(spark, sf):
-    return _scenes(spark, sf).select("id", (F.row_number().over(W.partitionBy("tile").orderBy("id")) - 1).cast("long").alias("position"))
+def running_position(spark, sf):
+    return S.with_positions(_scenes(spark, sf).select("id", "tile"), "tile", "id").select("id", "position")
 
 
 @query("P23_catalogue_selection", ", wi(w, m0, m1) AS (VALUES ('spring', 3, 5), ('autumn', 9, 10)) SELECT id, w FROM rg JOIN wi ON month(acquired) BETWEEN m0 AND m1 WHERE region <> 'unknown' AND id % 100 <= 20", NAMES)
@@ -174,31 +179,37 @@ def selection(spark, sf):
     return s.join(F.broadcast(win), F.month("acquired").between(F.col("m0"), F.col("m1"))).select("id", "w")
 
 
+def _checked(spark, sf):
+    return L.checked(V.submissions(spark, sf), V.predictions(spark, sf))
+
+
 @query("P24_submission_checks", " SELECT event_id, status FROM stt", SUBS)
 def checks(spark, sf):
-    return L.checked(V.submissions(spark, sf)).select("event_id", "status")
+    return _checked(spark, sf).select("event_id", "status")
 
 
 @query("A47_verdict_totals", " SELECT verdict, status, count(*) AS n FROM stt GROUP BY GROUPING SETS ((verdict), (status))", SUBS)
 def verdict_totals(spark, sf):
-    return L.checked(V.submissions(spark, sf)).groupingSets([["verdict"], ["status"]], "verdict", "status").agg(F.count(F.lit(1)).alias("n"))
+    return _checked(spark, sf).groupingSets([["verdict"], ["status"]], "verdict", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("A45_labeler_progress", ", al AS (SELECT DISTINCT user_id AS labeler, event_id % 400 AS assignment FROM events) SELECT al.labeler, count(*) AS n_assigned, count(s.event_id) AS n_done, round(100.0 * count(s.event_id) / count(*), 6) AS pct FROM al LEFT JOIN stt s ON s.status = 'accepted' AND s.labeler = al.labeler AND s.assignment = al.assignment GROUP BY al.labeler", SUBS)
 def labeler_progress(spark, sf):
     s = V.submissions(spark, sf)
-    done = L.checked(s).where("status = 'accepted'").select("labeler", "assignment", F.lit(1).alias("d"))
+    done = _checked(spark, sf).where("status = 'accepted'").select("labeler", "assignment", F.lit(1).alias("d"))
     out = s.select("labeler", "assignment").distinct().join(done, ["labeler", "assignment"], "left").groupBy("labeler").agg(F.count(F.lit(1)).alias("n_assigned"), F.count("d").alias("n_done"))
     return out.withColumn("pct", F.col("n_done") / F.col("n_assigned") * 100)
 
 
-EXP = ", pd AS (SELECT l_orderkey % 400 AS assignment, l_linenumber AS prediction, count(*) AS k FROM lineitem GROUP BY ALL), rs AS (SELECT assignment, verdict, labeler, tag FROM stt WHERE status = 'accepted'), de AS (SELECT rs.assignment, labeler, verdict, prediction, CASE verdict WHEN 'accepted' THEN 'accepted' WHEN 'rejected' THEN 'rejected' WHEN 'edited' THEN CASE WHEN prediction % 2 = 0 THEN 'modified' ELSE 'accepted' END END AS action FROM rs JOIN pd USING (assignment) WHERE verdict <> 'skipped')"
+EXP = ", rs AS (SELECT * FROM stt WHERE status = 'accepted'), de AS (SELECT assignment, event_id, prediction, verdict AS action, (assignment + prediction) % 9 AS side FROM rs JOIN pd USING (assignment) WHERE verdict IN ('accepted', 'rejected') UNION ALL SELECT rs.assignment, event_id, prediction, action, side FROM rs JOIN ge USING (event_id) WHERE verdict = 'edited')"
+
+
+def _results(spark, sf):
+    return _checked(spark, sf).where("status = 'accepted'").select(F.col("assignment").alias("chip"), "event_id", "verdict", "labeler", "tags", "edits")
 
 
 def _decisions(spark, sf):
-    r = L.checked(V.submissions(spark, sf)).where("status = 'accepted'").select(F.col("assignment").alias("chip"), "verdict", "labeler", "tag")
-    p = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 400).alias("chip"), F.col("l_linenumber").alias("prediction")).distinct()
-    return L.decisions(r, p)
+    return L.decisions(_results(spark, sf), V.predictions(spark, sf))
 
 
 @query("P25_verdict_expansion", EXP + " SELECT assignment AS chip, prediction, action FROM de", SUBS)
@@ -206,27 +217,30 @@ def expansion(spark, sf):
     return _decisions(spark, sf).select("chip", "prediction", "action")
 
 
-@query("A46_action_counts", EXP + " SELECT assignment AS chip, count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action = 'rejected') AS rejected, count(*) FILTER (action = 'modified') AS modified FROM de GROUP BY ALL", SUBS)
+@query("A46_action_counts", EXP + " SELECT assignment AS chip, count(*) FILTER (action = 'accepted') AS accepted, count(*) FILTER (action = 'rejected') AS rejected, count(*) FILTER (action = 'added') AS added, count(*) FILTER (action = 'modified') AS modified FROM de GROUP BY ALL", SUBS)
 def action_counts(spark, sf):
-    return _decisions(spark, sf).groupBy("chip").pivot("action", ["accepted", "rejected", "modified"]).count().na.fill(0)
+    return _decisions(spark, sf).groupBy("chip").pivot("action", list(L.ACTIONS)).count().na.fill(0)
 
 
-@query("P26_reference_filter", ", rs AS (SELECT * FROM stt WHERE status = 'accepted') SELECT assignment, verdict FROM rs WHERE verdict IN ('accepted', 'edited') AND tag NOT IN ('cloud', 'ambiguous', 'land-edge', 'melange')", SUBS)
+@query("P26_reference_filter", EXP + ", kr AS (SELECT * FROM rs WHERE verdict IN ('accepted', 'edited')), gone AS (SELECT DISTINCT assignment % 100 AS scene FROM kr WHERE len(list_filter(tags, lambda x: x IN ('cloud', 'ambiguous', 'land-edge', 'melange'))) > 0) SELECT assignment AS chip, prediction, action, round(10.0 * side, 6) AS root_length FROM de WHERE event_id IN (SELECT event_id FROM kr) AND action IN ('accepted', 'added', 'modified') AND assignment % 100 NOT IN (SELECT scene FROM gone) AND side * 10 >= 40", SUBS)
 def reference_filter(spark, sf):
-    r = L.checked(V.submissions(spark, sf)).where("status = 'accepted' and verdict in ('accepted', 'edited')")
-    return r.where(~F.arrays_overlap(F.split("tag", ","), F.array(*map(F.lit, L.TAGS)))).select("assignment", "verdict")
+    """Four assignments show one scene: a tag that drops on any of its kept results drops the scene."""
+    scene = (F.col("chip") % 100).alias("scene")
+    results = _results(spark, sf)
+    decided = L.decisions(results, V.predictions(spark, sf))
+    return L.reference_objects(results.select("*", scene), decided.select("*", scene), fold="scene").select("chip", "prediction", "action", "root_length")
 
 
 @query("J20_results_assignments", ", rs AS (SELECT * FROM stt WHERE status = 'accepted') SELECT rs.assignment, c_custkey, c_nationkey, verdict FROM rs JOIN customer ON c_custkey = rs.assignment JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 3", SUBS)
 def results(spark, sf):
-    r = L.checked(V.submissions(spark, sf)).where("status = 'accepted'")
+    r = _checked(spark, sf).where("status = 'accepted'")
     c, n = V.table(spark, sf, "customer"), V.table(spark, sf, "nation").where("n_regionkey < 3")
     return r.join(c, r.assignment == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("assignment", "c_custkey", "c_nationkey", "verdict")
 
 
 @query("A52_labeler_agreement", ", v AS (SELECT DISTINCT assignment, labeler, first_value(verdict) OVER (PARTITION BY assignment, labeler ORDER BY ts, event_id) AS verdict FROM ck WHERE bad IS NULL) SELECT a.assignment % 20 AS grp, count(*) AS n, round(avg(CAST(a.verdict = b.verdict AS INT)), 6) AS agree FROM v a JOIN v b ON a.assignment = b.assignment AND a.labeler < b.labeler GROUP BY ALL", SUBS)
 def agreement(spark, sf):
-    s = L.checked(V.submissions(spark, sf)).where("status in ('accepted', 'conflict')")
+    s = _checked(spark, sf).where("bad is null")
     v = s.groupBy("assignment", "labeler").agg(F.min_by("verdict", F.struct("ts", "event_id")).alias("verdict"))
     n = v.groupBy("assignment", "verdict").agg(F.count(F.lit(1)).alias("c"))  # equal pairs come from counts, not from pairs
     t = n.groupBy("assignment").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"), F.sum("c").alias("all"))
@@ -237,7 +251,7 @@ def agreement(spark, sf):
 @query("W17_round_robin", ", un AS (SELECT c_custkey AS chip FROM customer WHERE c_custkey NOT IN (SELECT assignment FROM stt WHERE status = 'accepted')), lb AS (SELECT user_id AS labeler, row_number() OVER (ORDER BY user_id) - 1 AS slot FROM (SELECT DISTINCT user_id FROM events)) SELECT chip, labeler FROM (SELECT chip, (row_number() OVER (ORDER BY md5(CAST(chip AS VARCHAR)), chip) - 1) % (SELECT count(*) FROM lb) AS slot FROM un) JOIN lb USING (slot)", SUBS)
 def round_robin(spark, sf):
     s = V.submissions(spark, sf)
-    taken = L.checked(s).where("status = 'accepted'").select(F.col("assignment").alias("chip"))
+    taken = _checked(spark, sf).where("status = 'accepted'").select(F.col("assignment").alias("chip"))
     free = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("chip")).join(taken, "chip", "left_anti")
     return L.spread(free, s.select("labeler").distinct(), F.md5(F.col("chip").cast("string").cast("binary")))
 
@@ -253,7 +267,7 @@ def priority(spark, sf):
 
 @query("W19_next_pending", " SELECT labeler, arg_min(assignment, (ts, event_id)) AS assignment FROM stt WHERE status = 'conflict' GROUP BY labeler", SUBS)
 def next_pending(spark, sf):
-    return L.checked(V.submissions(spark, sf)).where("status = 'conflict'").groupBy("labeler").agg(F.min_by("assignment", F.struct("ts", "event_id")).alias("assignment"))
+    return _checked(spark, sf).where("status = 'conflict'").groupBy("labeler").agg(F.min_by("assignment", F.struct("ts", "event_id")).alias("assignment"))
 
 
 @query("U3_unassigned", " SELECT c_custkey AS chip FROM customer WHERE c_custkey NOT IN (SELECT assignment FROM sb)", SUBS)
@@ -262,17 +276,16 @@ def unassigned(spark, sf):
     return V.table(spark, sf, "customer").select(F.col("c_custkey").alias("chip")).join(taken, "chip", "left_anti")
 
 
-@query("T1_first_submission_stream", " SELECT DISTINCT assignment FROM sb WHERE verdict <> 'bogus'", SUBS)
+@query("T1_first_submission_stream", ", g AS (SELECT assignment, count(*) AS n, count(*) FILTER (bad IS NULL) AS n_good FROM ck GROUP BY ALL) SELECT g.assignment, e0 AS winner, verdict, labeler, CASE WHEN e0 IS NULL THEN 'pending' ELSE 'complete' END AS status, n, n_good FROM g LEFT JOIN ac USING (assignment) LEFT JOIN sb ON event_id = e0", SUBS)
 def submission_stream(spark, sf):
-    stream = V.submissions(_Streaming(spark), sf)
-    out = T.run_available(T.accepted_first(stream), _scratch(spark))
-    return out.select("assignment")
+    stream = T.standing(V.submissions(_Streaming(spark), sf), V.predictions(spark, sf))
+    return T.run_available(stream, scratch_folder(spark, "streams"), "complete")
 
 
 @query("T2_progress_stream", ", d AS (SELECT date_trunc('day', ts) AS day, labeler, verdict FROM sb) SELECT strftime(day, '%Y-%m-%d') AS day, labeler, count(*) AS n, count(*) FILTER (verdict = 'accepted') AS n_accepted FROM d GROUP BY ALL", SUBS)
 def progress_stream(spark, sf):
     stream = T.progress(V.submissions(_Streaming(spark), sf))
-    out = T.run_available(stream, _scratch(spark), "complete")
+    out = T.run_available(stream, scratch_folder(spark, "streams"), "complete")
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "labeler", "n", "n_accepted")
 
 
@@ -287,11 +300,6 @@ class _Streaming:
         return T.source(self._spark, path.rpartition("/")[0])
 
 
-def _scratch(spark):
-    probe = materialise(spark.range(1))
-    return probe.inputFiles()[0].rpartition("/tables/")[0] + f"/streams/{uuid.uuid4().hex}"
-
-
 WX = """
 wx AS (SELECT user_id % 2 AS region, date_trunc('hour', ts) AS h, avg(value) / 5 AS wind, avg(CAST(event_id % 100 AS DOUBLE)) - 50 AS temp FROM events GROUP BY ALL),
 aq AS (SELECT o_orderkey AS id, o_custkey % 2 AS region, (SELECT min(date_trunc('day', ts)) FROM events) + to_hours(CAST(o_orderkey % 720 AS INT)) AS tm FROM orders)"""
@@ -313,13 +321,15 @@ def weather_join(spark, sf):
     return _acquired(spark, sf).join(_weather(spark, sf).withColumnRenamed("h", "at"), ["region", "at"], "left").select("id", "wind", "temp")
 
 
-FLAGS = ", fl AS (SELECT id, aq.region, wind <= 10 AS pass_wind, temp > 0 AS pass_temp FROM aq LEFT JOIN wx ON wx.region = aq.region AND wx.h = aq.tm)"
+#: Fixed value: the strongest wind (m/s) that passes.
+MAX_WIND = 15.0
+FLAGS = ", fl AS (SELECT id, aq.region, wind <= 15 AS pass_wind, temp > 0 AS pass_temp FROM aq LEFT JOIN wx ON wx.region = aq.region AND wx.h = aq.tm)"
 
 
 @query("P22_weather_flags", FLAGS + " SELECT id, pass_wind, pass_temp, CASE WHEN pass_wind IS NULL OR pass_temp IS NULL THEN NULL ELSE pass_wind AND pass_temp END AS pass_both FROM fl", WX)
 def weather_flags(spark, sf):
     w = _acquired(spark, sf).join(_weather(spark, sf).withColumnRenamed("h", "at"), ["region", "at"], "left")
-    w = w.select("id", "region", (F.col("wind") <= 10).alias("pass_wind"), (F.col("temp") > 0).alias("pass_temp"))
+    w = w.select("id", "region", (F.col("wind") <= MAX_WIND).alias("pass_wind"), (F.col("temp") > 0).alias("pass_temp"))
     both = F.when(F.col("pass_wind").isNotNull() & F.col("pass_temp").isNotNull(), F.col("pass_wind") & F.col("pass_temp"))
     return w.select("id", "pass_wind", "pass_temp", both.alias("pass_both"))
 

@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir and read it back: cuts lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; set here only if the session has none and runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-")  # one machine only, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def _remove(path: str) -> None:
+    try:
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        fs.delete_dir(at)
+    except (OSError, pyarrow.ArrowException) as e:
+        print(f"intermediate tables are left in {path}: {e}", file=sys.stderr)
+
+
+def scratch_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """A new folder of the application's own; all of them are removed when the driver's Python ends (not if it is killed)."""
+    folder = f"{shared_dir(spark)}/{kind}/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` under spark.checkpoint.dir and read it back: cuts lineage, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Illumination bins in their order, regions, detection methods.
@@ -94,11 +94,30 @@ def scene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("id"), F.concat(stem, F.when(k % 17 == 0, "").otherwise(offset), suffix, F.lit(".tif")).alias("name"))
 
 
+def _square(side: Column) -> Column:
+    """A ring of four points, all of them the same if ``side`` is 0."""
+    s, zero = side.cast("double"), F.lit(0.0)
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (s, zero), (s, s), (zero, s))])
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelling submissions: event_id, ts, assignment, labeler, verdict (some not allowed), tag."""
+    """Labelling submissions: event_id, ts, assignment, labeler, verdict and tags (some not allowed), edits (prediction, action,
+    class, ring; some not allowed or of another chip's prediction) of edited ones."""
     e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
     verdict = F.create_map(*[F.lit(x) for kv in {"click": "accepted", "error": "rejected", "purchase": "edited", "view": "skipped", "signup": "bogus"}.items() for x in kv])
-    return e.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 400).alias("assignment"), F.col("user_id").alias("labeler"), F.coalesce(verdict[F.col("event_type")], F.lit("bogus")).alias("verdict"),
-        F.element_at(F.array(*map(F.lit, ("", "cloud", "ambiguous", "land-edge", "melange", "odd"))), (F.col("event_id") % 6 + 1).cast("int")).alias("tag"),
+    one_of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    tags = F.array_compact(F.array(one_of((None, "sea-ice", "cloud", "dark-water", "ambiguous", None, "land-edge", "melange", None, "odd", "sea-ice"), k), F.when(k % 5 == 0, "dark-water")))
+    edit = lambda p, a, c, side: F.struct(p.cast("int").alias("prediction"), a.alias("action"), c.alias("class"), _square(side).alias("ring"))
+    edits = F.array(
+        edit(k % 8 + 1, one_of(("accepted", "rejected", "modified", "modified"), k), F.when(k % 41 == 0, "ship").otherwise("iceberg"), k % 7),
+        edit(F.when(k % 3 > 0, k % 5 + 1), F.when(k % 3 == 0, "added").when(k % 31 == 1, "moved").otherwise("accepted"), F.lit("iceberg"), k % 11),
     )
+    out = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (k % 400).alias("assignment"), F.col("user_id").alias("labeler"), F.coalesce(verdict[F.col("event_type")], F.lit("bogus")).alias("verdict"), tags.alias("tags"))
+    return out.withColumn("edits", F.when(F.col("verdict") == "edited", edits).otherwise(F.array().cast("array<struct<prediction:int,action:string,class:string,ring:array<struct<x:double,y:double>>>>")))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted polygons: chip (as assignments are numbered), prediction, class, ring."""
+    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 400).alias("chip"), F.col("l_linenumber").cast("int").alias("prediction")).distinct()
+    return p.select("chip", "prediction", F.lit("iceberg").alias("class"), _square((F.col("chip") + F.col("prediction")) % 9).alias("ring"))

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.labelling import VERDICTS
+from ..operators.labelling import with_faults
 from ..sources import views as V
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table, a file or a folder of files, as a stream of files."""
     static = V.table(spark, sf_dir, "events")
-    path, _, name = f"{sf_dir}/events.parquet".rpartition("/")
-    return spark.readStream.schema(static.schema).option("pathGlobFilter", name if not _is_folder(spark, f"{path}/{name}") else "*.parquet").parquet(path if not _is_folder(spark, f"{path}/{name}") else f"{path}/{name}")
+    path = f"{sf_dir}/events.parquet"
+    folder = any("/events.parquet/" in f for f in static.inputFiles())
+    stream = spark.readStream.schema(static.schema)
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+def accepted_first(stream: DataFrame, predictions: DataFrame, delay: str = "365 days") -> DataFrame:
+    """Good submissions, the first that arrives for each assignment; exact while an assignment's events lie within the watermark."""
+    good = with_faults(stream, predictions).where("bad is null").withWatermark("ts", delay)
+    return good.dropDuplicatesWithinWatermark(["assignment"])
 
 
-def accepted_first(stream: DataFrame, delay: str = "365 days") -> DataFrame:
-    """Well-formed submissions, the first that arrives for each assignment; exact while an assignment's events lie within the watermark."""
-    good = stream.where(F.col("verdict").isin(*VERDICTS)).withWatermark("ts", delay)
-    return good.dropDuplicatesWithinWatermark(["assignment"])
+def standing(stream: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Each assignment's status so far: its winner, the first good submission by time, and how many came, were good or came too late."""
+    own = F.struct("ts", "event_id", "verdict", "labeler")
+    good = F.col("bad").isNull()
+    out = with_faults(stream, predictions).groupBy("assignment").agg(F.min(F.when(good, own)).alias("w"), F.count(F.lit(1)).alias("n"), F.count_if(good).alias("n_good"))
+    status = F.when(F.col("w").isNull(), "pending").otherwise("complete")
+    return out.select("assignment", F.col("w.event_id").alias("winner"), "w.verdict", "w.labeler", status.alias("status"), "n", "n_good")
 
 
 def progress(stream: DataFrame, every: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -38,8 +44,8 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     spark = stream.sparkSession
     out, check = f"{path}/out", f"{path}/checkpoint"
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/batch" if mode == "complete" else f"{out}/batch={number}")
+    def put(batch: DataFrame, number: int) -> None:  # a batch that is tried again overwrites what it wrote
+        batch.write.mode("overwrite").parquet(f"{out}/batch" if mode == "complete" else f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(out)

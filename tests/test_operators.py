@@ -162,6 +162,83 @@ def test_to_targets(spark, target):
 
 
 def test_submission_checks(spark):
-    rows = [(1, 5, 1, 1, "bogus", ""), (2, 6, 1, 2, "accepted", "odd"), (3, 9, 1, 3, "accepted", "cloud"), (4, 8, 1, 3, "rejected", ""), (5, 1, 2, 3, "skipped", "")]
-    df = spark.createDataFrame(rows, "event_id long, ts int, assignment int, labeler int, verdict string, tag string")
-    assert {r.event_id: r.status for r in labelling.checked(df).collect()} == {1: "bad_verdict", 2: "bad_tag", 3: "conflict", 4: "accepted", 5: "accepted"}
+    ok = [(1, "modified", "iceberg"), (None, "added", "iceberg")]
+    rows = [
+        (1, 5, 1, 1, "bogus", [], []), (2, 6, 1, 2, "accepted", ["odd"], []), (3, 9, 1, 3, "accepted", ["cloud"], []), (4, 8, 1, 3, "rejected", [], []), (5, 1, 2, 3, "skipped", ["sea-ice", "dark-water"], []),
+        (6, 10, 1, 3, "bogus", [], []), (7, 1, 3, 3, "edited", [], ok), (8, 1, 4, 3, "edited", [], [(1, "moved", "ship")]), (9, 1, 5, 3, "edited", [], [(1, "modified", "ship")]),
+        (10, 1, 6, 3, "edited", ["odd"], [*ok, (9, "accepted", "iceberg")]), (11, 1, 7, 3, "accepted", [], [(9, "moved", "ship")]), (12, 3, 7, 4, "accepted", [], []), (13, 1, 8, 4, None, [], []),
+    ]
+    df = spark.createDataFrame(rows, "event_id long, ts int, assignment long, labeler int, verdict string, tags array<string>, edits array<struct<prediction: int, action: string, class: string>>")
+    own = spark.createDataFrame([(c, p) for c in range(1, 9) for p in (1, 2)], "chip long, prediction int")
+    got = {r.event_id: r.status for r in labelling.checked(df, own).collect()}
+    assert got == {1: "bad_verdict", 2: "bad_tag", 3: "conflict", 4: "accepted", 5: "accepted", 6: "conflict", 7: "accepted", 8: "bad_action", 9: "bad_class", 10: "orphan", 11: "accepted", 12: "conflict", 13: "bad_verdict"}
+
+
+def test_decisions_and_reference_objects(spark):
+    square = lambda s: [(0.0, 0.0), (s, 0.0), (s, s), (0.0, s)]
+    line = [(0.0, 0.0), (5.0, 5.0), (0.0, 0.0), (5.0, 5.0)]
+    edits = [(1, "modified", "iceberg", square(4.0)), (None, "added", "iceberg", line), (2, "rejected", "iceberg", square(9.0)), (None, "added", "iceberg", square(3.9))]
+    rows = [(1, "accepted", [], [], 0), (2, "rejected", ["cloud"], [], 0), (3, "edited", ["sea-ice"], edits, 0), (4, "skipped", ["cloud"], [], 0), (5, "accepted", [], [], 1), (6, "accepted", ["melange"], [], 1)]
+    kind = "array<struct<prediction: int, action: string, class: string, ring: array<struct<x: double, y: double>>>>"
+    results = spark.createDataFrame(rows, f"chip long, verdict string, tags array<string>, edits {kind}, scene int")
+    own = spark.createDataFrame([(c, 1, "iceberg", square(6.0)) for c in range(1, 7)], "chip long, prediction int, class string, ring array<struct<x: double, y: double>>")
+    d = labelling.decisions(results, own)
+    assert sorted((r.chip, str(r.prediction), r.action) for r in d.collect()) == sorted(
+        [(1, "1", "accepted"), (2, "1", "rejected"), (3, "1", "modified"), (3, "None", "added"), (3, "2", "rejected"), (3, "None", "added"), (5, "1", "accepted"), (6, "1", "accepted")]
+    )
+    got = labelling.reference_objects(results, d, fold="scene").collect()  # tags of rejected and skipped results drop nothing
+    assert sorted((r.chip, r.action, r.root_length) for r in got) == [(1, "accepted", 60.0), (3, "modified", 40.0)]
+
+
+def test_optimal_matching_of_a_large_group(spark):
+    """A chain of 2,400 objects: 1,200 times 1,200 combinations in one group, best total by a recurrence."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(1200):
+        rows.append((0, k, k, rng.uniform(0.05, 1)))
+        if k < 1199:
+            rows.append((0, k + 1, k, rng.uniform(0.05, 1)))
+    take = skip = 0.0
+    for *_, w in rows:  # edges of a path in order: neighbours exclude each other
+        take, skip = skip + w, max(take, skip)
+    got = objects.match_optimal(pairs(spark, rows), 0.0).collect()
+    assert sum(r.iou for r in got) == pytest.approx(max(take, skip), abs=1e-9)
+    assert len({r.gt for r in got}) == len({r.pred for r in got}) == len(got)
+
+
+def test_ambiguous_references_leave_the_matches(spark):
+    rows = pairs(spark, [(0, 1, 1, 0.6), (0, 1, 2, 0.1), (0, 2, 3, 0.5), (0, 2, 4, 0.09), (1, 1, 1, 0.4)])
+    kept = objects.without_ambiguous(objects.match_optimal(rows), rows).collect()
+    assert {(r.grid, r.gt, r.pred) for r in kept} == {(0, 2, 3), (1, 1, 1)}
+
+
+def test_ranks_and_positions(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("aaaab") if k % 50 else None, rng.randrange(10**6) * 1000 + k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x long").repartition(7)
+    got = {(r.g, r.x): (r.rn, r.global_index) for r in sampling.ranked(df, ["g"], ["x"]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    seen = {}
+    for at, (g, x) in enumerate(order):
+        seen[g] = seen.get(g, 0) + 1
+        assert got[g, x] == (seen[g], at)
+    assert sampling.ranked(df.limit(0), ["g"], ["x"]).count() == 0
+
+
+def test_positional_join_needs_equal_numbers(spark):
+    a = spark.createDataFrame([("t", 0, 1), ("t", 1, 2)], "split string, pos int, x int")
+    assert sampling.positional_join(a, a.withColumnRenamed("x", "y"), "split").count() == 2
+    with pytest.raises(ValueError, match="t: 2 rows on the left, 1 on the right"):
+        sampling.positional_join(a, a.where("pos = 0").withColumnRenamed("x", "y"), "split")
+
+
+def test_identity_hash_ignores_order(spark):
+    df = spark.createDataFrame([("t", f"line {k}") for k in range(500)], "g string, x string")
+    h = lambda d: sampling.identity_hash(d, ["g"], F.col("x")).first().hash
+    assert h(df) == h(df.orderBy(F.desc("x")).repartition(5)) != h(df.where("x <> 'line 7'"))
+
+
+def test_size_skip_rules(spark):
+    counts = spark.createDataFrame([("a", "s", 50, 50), ("b", "s", 2, 30), ("b", "m", 50, 50), ("c", "s", 100, 60), ("c", "m", 40, 40), ("d", "s", 100, 60), ("d", "m", 40, 40)], "sza_bin string, size_bin string, c long, target long")
+    nulls = spark.createDataFrame([("a", 0), ("b", 0), ("c", 200), ("d", 150)], "sza_bin string, nulls long")
+    assert {r.sza_bin: r.skipped_reason for r in sampling.size_skip_rules(counts, nulls, 1.5, 3).collect()} == {"a": "one_bin", "b": "few", "c": "ratio", "d": ""}
