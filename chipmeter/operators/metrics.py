@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sampling import ranked
+
 #: Lower ends of the reference size buckets (root length, m); the first one also holds what is smaller.
 SIZE_EDGES = (40, 80, 160, 320, 640)
 
@@ -64,3 +66,24 @@ def completed(summary: DataFrame, domain: DataFrame, zero: Sequence[str] = ()) -
     """All keys of a small domain table, with zeros in the named columns and NULL elsewhere where the summary has no row."""
     out = domain.join(summary, domain.columns, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+
+
+def with_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], aggs: list[Column]) -> DataFrame:
+    """One row for each group with ``aggs`` and exact percentiles of ``value``, interpolated between neighbours; NULL where a group has no value.
+
+    Values are ranked by ranges, so a few large groups are spread over all tasks, and only the neighbours of each rank are kept.
+    Columns of ``by`` must not be null.
+    """
+    at = ranked(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), by, ["_v"])
+    n = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    place = {name: (F.col("_n") - 1) * F.lit(q) + 1 for name, q in shares.items()}
+    near = F.lit(False)
+    for p in place.values():
+        near = near | (F.col("rn") == F.floor(p)) | (F.col("rn") == F.ceil(p))
+    few = at.join(n, by).where(near) if by else at.join(F.broadcast(n)).where(near)
+    low = {k: F.max(F.when(F.col("rn") == F.floor(p), F.col("_v"))) for k, p in place.items()}
+    high = {k: F.max(F.when(F.col("rn") == F.ceil(p), F.col("_v"))) for k, p in place.items()}
+    part = {k: F.max(p - F.floor(p)) for k, p in place.items()}
+    found = few.groupBy(*by).agg(*[(low[k] + (high[k] - low[k]) * part[k]).alias(k) for k in shares])
+    out = rows.groupBy(*by).agg(*aggs)
+    return out.join(found, by, "left") if by else out.join(F.broadcast(found), how="left")

@@ -39,9 +39,8 @@ def pair_metrics(spark, sf):
 
 @query("A11_pair_summary", MET + " SELECT method, sza_bin, count(*) AS n, round(avg(iou), 6) AS mean_iou, round(median(iou), 6) AS median_iou, round(avg(abs_area), 3) AS mae_area, round(avg(abs_rl), 6) AS mae_rl FROM m GROUP BY ALL")
 def pair_summary(spark, sf):
-    return _pairs(spark, sf).groupBy("method", "sza_bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"), F.round(F.avg("abs_area"), 3).alias("mae_area"), F.avg("abs_rl").alias("mae_rl"),
-    )
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"), F.round(F.avg("abs_area"), 3).alias("mae_area"), F.avg("abs_rl").alias("mae_rl")]
+    return M.with_percentiles(_pairs(spark, sf), ["method", "sza_bin"], "iou", {"median_iou": 0.5}, aggs)
 
 
 @query("A16_area_ratio_to_baseline", ", s AS (SELECT method, sza_bin, avg(a_pred) AS mean, sum(a_pred) AS total FROM pr GROUP BY ALL) SELECT s.method, s.sza_bin, round(CASE WHEN b.mean > 0 THEN s.mean / b.mean END, 6) AS mean_ratio, round(CASE WHEN b.total > 0 THEN s.total / b.total END, 6) AS total_ratio FROM s LEFT JOIN s b ON b.sza_bin = s.sza_bin AND b.method = 'TR'")
@@ -54,15 +53,13 @@ def area_ratio(spark, sf):
 
 @query("A17_error_by_size", MET + f" SELECT method, {BUCKET} AS bucket, count(*) AS n, round(avg(re_pct), 6) AS mean_re, round(median(re_pct), 6) AS median_re, round(quantile_cont(re_pct, 0.25), 6) AS p25, round(quantile_cont(re_pct, 0.75), 6) AS p75, round(avg(abs_rl), 6) AS mae_rl FROM m GROUP BY ALL")
 def error_by_size(spark, sf):
-    p = _pairs(spark, sf)
-    return p.groupBy("method", M.size_bucket(F.col("rl_ref")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("re_pct").alias("mean_re"), F.median("re_pct").alias("median_re"), F.percentile("re_pct", F.lit(0.25)).alias("p25"),
-        F.percentile("re_pct", F.lit(0.75)).alias("p75"), F.avg("abs_rl").alias("mae_rl"),
-    )
+    p = _pairs(spark, sf).withColumn("bucket", M.size_bucket(F.col("rl_ref")))
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("re_pct").alias("mean_re"), F.avg("abs_rl").alias("mae_rl")]
+    return M.with_percentiles(p, ["method", "bucket"], "re_pct", {"p25": 0.25, "median_re": 0.5, "p75": 0.75}, aggs)
 
 
 def _by_degree(spark, sf):
-    return _pairs(spark, sf).groupBy("method", "sza_deg").agg(F.count(F.lit(1)).alias("n"), F.median("re_pct").alias("med"), F.percentile("re_pct", F.lit(0.25)).alias("p25"), F.percentile("re_pct", F.lit(0.75)).alias("p75"))
+    return M.with_percentiles(_pairs(spark, sf), ["method", "sza_deg"], "re_pct", {"med": 0.5, "p25": 0.25, "p75": 0.75}, [F.count(F.lit(1)).alias("n")])
 
 
 DEG = MET + ", g AS (SELECT method, sza_deg, count(*) AS n, median(re_pct) AS med, quantile_cont(re_pct, 0.25) AS p25, quantile_cont(re_pct, 0.75) AS p75 FROM m GROUP BY ALL)"
@@ -102,8 +99,8 @@ def area_regression(spark, sf):
 
 @query("A60_bias_by_area_bin", MET + f", b AS (SELECT method, {BUCKET} AS bucket, avg(re_pct) AS bias, quantile_cont(re_pct, 0.1) AS p10, quantile_cont(re_pct, 0.9) AS p90 FROM m GROUP BY ALL) SELECT b.method, b.bucket, round(b.bias, 6) AS bias, round(b.p10, 6) AS p10, round(b.p90, 6) AS p90, round(b.bias - t.bias, 6) AS delta FROM b LEFT JOIN b t ON t.bucket = b.bucket AND t.method = 'TR'")
 def bias_by_area(spark, sf):
-    p = _pairs(spark, sf)
-    b = p.groupBy("method", M.size_bucket(F.col("rl_ref")).alias("bucket")).agg(F.avg("re_pct").alias("bias"), F.percentile("re_pct", F.lit(0.1)).alias("p10"), F.percentile("re_pct", F.lit(0.9)).alias("p90"))
+    p = _pairs(spark, sf).withColumn("bucket", M.size_bucket(F.col("rl_ref")))
+    b = M.with_percentiles(p, ["method", "bucket"], "re_pct", {"p10": 0.1, "p90": 0.9}, [F.avg("re_pct").alias("bias")])
     t = b.where("method = 'TR'").select("bucket", F.col("bias").alias("base"))
     return b.join(t, "bucket", "left").select("method", "bucket", "bias", "p10", "p90", (F.col("bias") - F.col("base")).alias("delta"))
 
@@ -171,16 +168,15 @@ def abundance(spark, sf):
 
 @query("A21_descriptive_table", " SELECT coalesce(sza_bin, 'all') AS sza_bin, sum(n_objects)::BIGINT AS n_objects, count(*) AS n_chips, round(avg(max_rl), 6) AS mean_rl, round(median(max_rl), 6) AS median_rl, round(max(max_rl), 6) AS max_rl FROM inv GROUP BY ROLLUP (sza_bin)", INV)
 def descriptive(spark, sf):
-    out = V.inventory(spark, sf).rollup("sza_bin").agg(F.sum("n_objects").alias("n_objects"), F.count(F.lit(1)).alias("n_chips"), F.avg("max_rl").alias("mean_rl"), F.median("max_rl").alias("median_rl"), F.max("max_rl").alias("max_rl"))
-    return out.withColumn("sza_bin", F.coalesce("sza_bin", F.lit("all")))
+    inv = V.inventory(spark, sf).withColumn("sza_bin", F.explode(F.array("sza_bin", F.lit("all"))))
+    aggs = [F.sum("n_objects").alias("n_objects"), F.count(F.lit(1)).alias("n_chips"), F.avg("max_rl").alias("mean_rl"), F.max("max_rl").alias("max_rl")]
+    return M.with_percentiles(inv, ["sza_bin"], "max_rl", {"median_rl": 0.5}, aggs)
 
 
 @query("A23_root_length_stats", " SELECT source, count(*) AS n, round(avg(max_rl), 6) AS mean, round(stddev_samp(max_rl), 6) AS std, round(quantile_cont(max_rl, 0.25), 6) AS p25, round(median(max_rl), 6) AS median, round(quantile_cont(max_rl, 0.75), 6) AS p75, max(max_rl) AS most FROM inv GROUP BY source", INV)
 def rl_stats(spark, sf):
-    return V.inventory(spark, sf).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("max_rl").alias("mean"), F.stddev_samp("max_rl").alias("std"), F.percentile("max_rl", F.lit(0.25)).alias("p25"),
-        F.median("max_rl").alias("median"), F.percentile("max_rl", F.lit(0.75)).alias("p75"), F.max("max_rl").alias("most"),
-    )
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("max_rl").alias("mean"), F.stddev_samp("max_rl").alias("std"), F.max("max_rl").alias("most")]
+    return M.with_percentiles(V.inventory(spark, sf), ["source"], "max_rl", {"p25": 0.25, "median": 0.5, "p75": 0.75}, aggs)
 
 
 @query("A40_size_filter_report", ", f AS (SELECT coalesce(source, 'total') AS source, count(*) AS before, count(*) FILTER (max_rl >= 400) AS after FROM inv GROUP BY ROLLUP (source)) SELECT source, before, after, before - after AS removed, round(100.0 * (before - after) / before, 6) AS removed_pct FROM f", INV)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import objects as O
 from ..operators import raster as R
 from ..operators.sampling import with_positions
@@ -210,19 +211,21 @@ def positive_summary(spark, sf):
 def full_evaluation(spark, sf):
     ev = _eval(spark, sf)
     both = ev.withColumn("population", F.lit("all")).unionByName(ev.where("gt_pixels > 0").withColumn("population", F.lit("positive")))
-    sets = [["population", "method"], ["population", "method", "sza_bin"], ["population", "method", "region"], ["population", "method", "sza_bin", "region"]]
-    out = both.groupingSets(sets, "population", "method", "sza_bin", "region").agg(
-        F.count("iou").alias("n"), F.avg("iou").alias("mean"), F.median("iou").alias("median"), F.percentile("iou", F.lit(0.25)).alias("p25"), F.percentile("iou", F.lit(0.75)).alias("p75"),
-    )
-    return out.withColumns({c: F.coalesce(c, F.lit("all")) for c in ("sza_bin", "region")})
+    level = lambda bin_, region: F.struct(bin_.alias("sza_bin"), region.alias("region"))
+    every = F.lit("all")
+    levels = F.array(level(every, every), level(F.col("sza_bin"), every), level(every, F.col("region")), level(F.col("sza_bin"), F.col("region")))
+    by = ["population", "method", "sza_bin", "region"]
+    rows = both.select("population", "method", "iou", F.explode(levels).alias("l")).select("population", "method", "l.sza_bin", "l.region", "iou")
+    return M.with_percentiles(rows, by, "iou", {"p25": 0.25, "median": 0.5, "p75": 0.75}, [F.count("iou").alias("n"), F.avg("iou").alias("mean")])
 
 
 @query("A63_model_threshold_cover", EV + " SELECT method, round(avg(iou), 6) AS mean, round(median(iou), 6) AS median, round(avg(CAST(iou > 0.5 AS INT)), 6) AS above, round(avg(CAST(iou < 0.3 AS INT)), 6) AS below, round(100.0 * sum(tp + fp) / (64 * count(*)), 6) AS pred_cover, round(100.0 * sum(tp + fn) / (64 * count(*)), 6) AS true_cover FROM em GROUP BY method")
 def cover(spark, sf):
-    return _eval(spark, sf).groupBy("method").agg(
-        F.avg("iou").alias("mean"), F.median("iou").alias("median"), F.avg((F.col("iou") > 0.5).cast("int")).alias("above"), F.avg((F.col("iou") < 0.3).cast("int")).alias("below"),
+    aggs = [
+        F.avg("iou").alias("mean"), F.avg((F.col("iou") > 0.5).cast("int")).alias("above"), F.avg((F.col("iou") < 0.3).cast("int")).alias("below"),
         (F.sum("pred_pixels") / F.sum("n") * 100).alias("pred_cover"), (F.sum("gt_pixels") / F.sum("n") * 100).alias("true_cover"),
-    )
+    ]
+    return M.with_percentiles(materialise(_eval(spark, sf)), ["method"], "iou", {"median": 0.5}, aggs)
 
 
 @query("J18_skip_policy", EV + ", sk AS (SELECT *, chip_id % 7 = 0 AS skipped FROM em WHERE method = 'TR') SELECT chip_id, skipped, round(CASE WHEN skipped THEN CASE WHEN tp + fn > 0 THEN 0 END ELSE iou END, 6) AS iou_missed, round(CASE WHEN NOT skipped THEN iou END, 6) AS iou_excluded FROM sk")
@@ -317,7 +320,9 @@ def sweep(spark, sf):
 @query("A58_probability_calibration", ", c AS (SELECT chip_id, median(p) AS med, avg(CAST(p BETWEEN 0.2 AND 0.35 AS INT)) AS low, avg(CAST(p >= 0.5 AS INT)) AS high FROM cells GROUP BY chip_id) SELECT round(median(med), 6) AS med, round(median(low), 6) AS low, round(median(high), 6) AS high FROM c")
 def calibration(spark, sf):
     c = _px(spark, sf).groupBy("chip_id").agg(F.median("p").alias("med"), F.avg(F.col("p").between(0.2, 0.35).cast("int")).alias("low"), F.avg((F.col("p") >= 0.5).cast("int")).alias("high"))
-    return c.agg(F.median("med").alias("med"), F.median("low").alias("low"), F.median("high").alias("high"))
+    c = materialise(c)
+    med, low, high = (M.with_percentiles(c, [], k, {k: 0.5}, [F.count(F.lit(1)).alias(f"n_{k}")]).select(k) for k in ("med", "low", "high"))
+    return med.join(F.broadcast(low)).join(F.broadcast(high))
 
 
 @query("R1_tiles", ", t AS (SELECT chip_id AS grid, \"row\" // 3 * 3 AS row0, col // 3 * 3 AS col0, count(*) AS n, avg(b08) AS m, max(b08) AS x FROM px GROUP BY ALL HAVING count(*) = 9) SELECT grid, CAST(row0 AS INT) AS row0, CAST(col0 AS INT) AS col0, n, round(m, 6) AS mean, round(x, 6) AS most, printf('r%04d_c%04d', CAST(row0 AS INT), CAST(col0 AS INT)) AS name FROM t")
@@ -441,6 +446,5 @@ def area_summary(spark, sf):
     keep = R.coverage(px, 0.55).where("ic <= 0.4").select("chip_id")
     fg = px.join(keep, "chip_id", "left_semi").join(R.otsu(px), "chip_id").where("b08 >= threshold").select(F.col("chip_id").alias("grid"), "row", "col")
     s = O.sizes(O.components(fg, width=V.SIDE)).where("px >= 2").join(V.chips(spark, sf).select(F.col("chip_id").alias("grid"), "sza_bin", "region"), "grid")
-    q = F.percentile("area_m2", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = s.groupBy("sza_bin", "region").agg(F.count(F.lit(1)).alias("n"), F.avg("area_m2").alias("mean"), F.sum("area_m2").alias("total"), q.alias("q"))
-    return out.select("sza_bin", "region", "n", "mean", F.col("q")[1].alias("median"), "total", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("area_m2").alias("mean"), F.sum("area_m2").alias("total")]
+    return M.with_percentiles(materialise(s.select("sza_bin", "region", "area_m2")), ["sza_bin", "region"], "area_m2", {"median": 0.5, "p25": 0.25, "p75": 0.75}, aggs)
