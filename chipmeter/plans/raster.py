@@ -371,6 +371,21 @@ TWO = FIRST.format(cond="cls = 1") + COMP.format(cond="p > 0.5")
 OVER = TWO + ", ov AS (SELECT a.g, a.l AS gt, b.l AS pred, count(*) AS shared FROM gtl a JOIN lab b ON a.g = b.g AND a.pos = b.pos GROUP BY ALL), ga AS (SELECT g, l AS gt, count(*) AS gt_px FROM gtl GROUP BY ALL), pa AS (SELECT g, l AS pred, count(*) AS pred_px FROM lab GROUP BY ALL), iou AS (SELECT g AS grid, gt, pred, shared, gt_px, pred_px, CAST(shared AS DOUBLE) / (gt_px + pred_px - shared) AS iou FROM ov JOIN ga USING (g, gt) JOIN pa USING (g, pred))"
 
 
+#: The best one-to-one pairs of each grid in SQL: the best total for every set of predictions that the references so far may take.
+BEST = OVER + """, rf AS (SELECT grid, gt, row_number() OVER (PARTITION BY grid ORDER BY gt) AS rn FROM iou GROUP BY grid, gt),
+ op AS (SELECT rf.grid, rn, gt, CAST(pred AS BIGINT) AS pred, iou, iou + (gt * 7919 + pred * 104729) % 1000003 / CAST(1000003 AS DOUBLE) * CAST(1e-9 AS DOUBLE) AS w FROM rf JOIN iou USING (grid, gt) UNION ALL SELECT grid, rn, gt, NULL, 0, 0 FROM rf),
+ mt(grid, k, used, total, picks) AS (SELECT DISTINCT grid, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS DOUBLE), CAST([] AS STRUCT(gt BIGINT, pred BIGINT, iou DOUBLE)[]) FROM rf
+ UNION ALL SELECT grid, k, used, max(total), arg_max(picks, total) FROM (SELECT mt.grid, mt.k + 1 AS k, CASE WHEN pred IS NULL THEN used ELSE list_sort(list_append(used, pred)) END AS used, total + w AS total, CASE WHEN pred IS NULL THEN picks ELSE list_append(picks, {'gt': CAST(op.gt AS BIGINT), 'pred': pred, 'iou': iou}) END AS picks FROM mt JOIN op ON op.grid = mt.grid AND op.rn = mt.k + 1 WHERE pred IS NULL OR NOT list_contains(used, pred)) GROUP BY grid, k, used),
+ fin AS (SELECT mt.grid, arg_max(picks, total) AS picks FROM mt JOIN (SELECT grid, max(rn) AS n FROM rf GROUP BY grid) z ON z.grid = mt.grid AND z.n = mt.k GROUP BY mt.grid),
+ best AS (SELECT * FROM (SELECT grid, unnest(picks, recursive := true) FROM fin) WHERE iou >= 0.3)"""
+KEPT = ", kept AS (SELECT * FROM best WHERE (grid, gt) NOT IN (SELECT (grid, gt) FROM iou WHERE iou >= 0.1 GROUP BY grid, gt HAVING count(*) >= 2))"
+DETECTED = ", gd AS (SELECT DISTINCT chip_id AS grid, sza_bin FROM px), cg AS (SELECT g AS grid, count(DISTINCT l) AS n FROM gtl GROUP BY g), cp AS (SELECT g AS grid, count(DISTINCT l) AS n FROM lab GROUP BY g), cm AS (SELECT grid, count(*) AS n FROM best GROUP BY grid), dt AS (SELECT grid, sza_bin, coalesce(cg.n, 0) AS n_gt, coalesce(cp.n, 0) AS n_pred, coalesce(cm.n, 0) AS n_matched FROM gd LEFT JOIN cg USING (grid) LEFT JOIN cp USING (grid) LEFT JOIN cm USING (grid))"
+GREEDY = """, rf AS (SELECT grid, gt, row_number() OVER (PARTITION BY grid ORDER BY max(iou) DESC, gt) AS rn FROM iou WHERE iou > 0.3 GROUP BY grid, gt),
+ gr(grid, k, used, gt, pred, iou) AS (SELECT DISTINCT grid, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM rf
+ UNION ALL SELECT grid, k, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.pred) END, gt, b.pred, b.iou FROM (SELECT gr.grid, gr.k + 1 AS k, any_value(gr.used) AS used, rf.gt, arg_min({'pred': CAST(i.pred AS BIGINT), 'iou': i.iou}, (-i.iou, i.pred)) FILTER (NOT list_contains(gr.used, i.pred)) AS b FROM gr JOIN rf ON rf.grid = gr.grid AND rf.rn = gr.k + 1 JOIN iou i ON i.grid = rf.grid AND i.gt = rf.gt AND i.iou > 0.3 GROUP BY gr.grid, gr.k, rf.gt))
+ SELECT grid, gt, pred, round(iou, 6) AS iou FROM gr WHERE pred IS NOT NULL"""
+
+
 def _both(spark, sf):
     """Labelled cells of references and of predictions, each labelled once."""
     return materialise(_labels(spark, sf, "cls = 1")), materialise(_labels(spark, sf, "p > 0.5"))
@@ -385,12 +400,12 @@ def overlap(spark, sf):
     return _pairs(spark, sf)
 
 
-@query("J7_optimal_matching")
+@query("J7_optimal_matching", BEST + " SELECT grid, gt, pred, round(iou, 6) AS iou FROM best")
 def optimal(spark, sf):
     return O.match_optimal(_pairs(spark, sf))
 
 
-@query("J9_greedy_matching")
+@query("J9_greedy_matching", OVER + GREEDY)
 def greedy(spark, sf):
     return O.match_greedy(_pairs(spark, sf))
 
@@ -400,7 +415,7 @@ def ambiguous(spark, sf):
     return O.ambiguous(_pairs(spark, sf)).withColumn("preds", F.array_join(F.transform("preds", lambda x: x.cast("string")), ","))
 
 
-@query("J8_ambiguous_removed")
+@query("J8_ambiguous_removed", BEST + KEPT + " SELECT grid, gt, pred, round(iou, 6) AS iou FROM kept")
 def ambiguous_removed(spark, sf):
     pairs = _pairs(spark, sf)
     return O.without_ambiguous(O.match_optimal(pairs), pairs)
@@ -415,12 +430,12 @@ def _detected(spark, sf):
     return O.detection(O.sizes(gt), O.sizes(pred), matched, grids), matched, O.without_ambiguous(matched, pairs)
 
 
-@query("A13_chip_detection")
+@query("A13_chip_detection", BEST + DETECTED + " SELECT grid, n_gt, n_pred, n_matched, greatest(0, n_gt - n_matched) AS n_fn, greatest(0, n_pred - n_matched) AS n_fp, CASE WHEN n_gt = 0 AND n_pred = 0 THEN 'both_null' WHEN n_gt = 0 THEN 'gt_null' WHEN n_pred = 0 THEN 'pred_null' END AS note FROM dt")
 def detection(spark, sf):
     return _detected(spark, sf)[0]
 
 
-@query("A14_detection_stats")
+@query("A14_detection_stats", BEST + KEPT + DETECTED + ", s AS (SELECT sza_bin, sum(n_gt)::BIGINT AS n_ref, sum(n_pred)::BIGINT AS n_pred, sum(n_matched)::BIGINT AS n_matched FROM dt GROUP BY sza_bin), b AS (SELECT sza_bin, sum(iou) AS iou FROM best JOIN gd USING (grid) GROUP BY sza_bin), k AS (SELECT sza_bin, count(*) AS n_kept, sum(iou) AS iou_kept FROM kept JOIN gd USING (grid) GROUP BY sza_bin) SELECT sza_bin, n_ref, n_pred, n_matched, round(coalesce(n_matched / nullif(CAST(n_ref AS DOUBLE), 0), 0), 6) AS match_rate, round(coalesce(n_matched / nullif(CAST(n_pred AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(iou / nullif(n_matched, 0), 0), 6) AS mean_iou, coalesce(n_kept, 0) AS n_kept, round(coalesce(n_kept, 0) / nullif(CAST(n_ref AS DOUBLE), 0), 6) AS kept_match_rate, round(coalesce(n_kept, 0) / nullif(CAST(n_pred AS DOUBLE), 0), 6) AS kept_precision, round(iou_kept / nullif(n_kept, 0), 6) AS kept_mean_iou FROM s LEFT JOIN b USING (sza_bin) LEFT JOIN k USING (sza_bin)")
 def detection_stats(spark, sf):
     """Both forms: all matched pairs with 0 for rates without objects, and those without ambiguous references with NULL."""
     d, matched, kept = _detected(spark, sf)
