@@ -5,7 +5,8 @@ and says whether its text is trained on. Control strings inside texts are escape
 conversation reads back to exactly its turns. Rows of one conversation are gathered in one task: a conversation is one
 training example, so its size is bounded by what a model can read. The rows of different conversations spread evenly.
 
-Null texts are empty. A null role is the empty role; roles that the template does not know are written with the
+Null texts are empty. A row with a null conversation id is a conversation of its own, as nothing says what it belongs to. Repeated
+rows are turns like any other. An empty table gives an empty result. A null role is the empty role; roles that the template does not know are written with the
 ``other`` marks and their name. A conversation whose turns break the order is formatted all the same and marked invalid.
 """
 
@@ -115,7 +116,8 @@ OUT = "conv_id {id}, formatted string, segments array<struct<start:int,end:int,l
 def format_chats(conversations: DataFrame, template: Template = Template(), order: Order = Order(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: formatted text, its segments in code points with loss flags, and the order's verdict."""
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("row"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = rows.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
     chats = chats.select("conv_id", F.col("rows.role").alias("roles"), F.col("rows.text").alias("texts"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("loss", pa.bool_())]))
 

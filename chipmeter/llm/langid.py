@@ -2,7 +2,9 @@
 
 Fitted on a bounded sample of texts of known language (about ``per_class`` rows a language, whole texts). A fifth of the
 sample sets the temperature of the softmax and the score below which a prediction is marked as rejected.
-Texts that are null or have no letter get ``und`` with score 0. Without any known language every text does.
+Texts that are null or have no letter get ``und`` with score 0. Without any known language every text does. Rows with equal
+texts get equal predictions, whatever their ids; of languages with equal scores the first by name is taken. Empty tables
+give empty results.
 """
 
 from __future__ import annotations

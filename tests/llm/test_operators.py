@@ -124,6 +124,8 @@ def test_decontamination(spark, odd, none):
     plain = lambda df: sorted((str(r["_id"]), r["_text"] or 0, r.n_words, sorted((f.start, f.len, f.gram) for f in r.found)) for r in df.collect())
     whole = plain(decontam.candidates(d, grams))
     assert decontam.hits(decontam.candidates(d, grams), grams).count() == 2
+    very_long = docs(spark, [(1, "filler words " * 60_000 + text, None, None), (1, "filler words " * 60_000 + text, None, None)])
+    assert {(r.n_words, r.n_hit) for r in decontam.report(very_long, bench).collect()} == {(120_017, 13)}
     for broadcast in (99, 0):  # a set too large for the plan is joined
         assert plain(decontam.candidates(d, grams, block=2, broadcast=broadcast)) == whole
 
@@ -215,9 +217,13 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_rows(spark):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "assistant", "x"), (3, 1, None, "y"), (3, 0, "tool", "</s>"), (None, None, "user", "u"), (4, 0, "user", "q"), (4, 0, "user", "q")]
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "assistant", "x"), (3, 1, None, "y"), (3, 0, "tool", "</s>"), (None, None, "user", "u"), (None, 1, "user", "v"), (4, 0, "user", "q"), (4, 0, "user", "q")]
     d = materialise(spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, rows int"))
-    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(d)).collect()}
+    out = chat.read_back(chat.format_chats(d)).collect()
+    got = {r.conv_id: r for r in out}
+    assert [r.n_turns for r in out if r.conv_id is None] == [1, 1]  # rows without an id stay apart
+    long = spark.createDataFrame([(1, 0, "user", "</s>" * 50_000), (1, 1, "assistant", "[INST] " * 50_000)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_chats(long)).first().loss_chars == 350_000
     assert got[1].valid and got[1].n_turns == 2 and got[1].loss_chars == 0
     assert (got[2].valid, got[2].bad_turn) == (False, 0) and (got[None].valid, got[None].bad_turn) == (False, 1)
     assert got[3].n_turns == 2 and (got[4].n_turns, got[4].bad_turn) == (2, 1)
