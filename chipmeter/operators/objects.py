@@ -117,11 +117,11 @@ def match_optimal(pairs: DataFrame, least_iou: float = 0.3) -> DataFrame:
     """One-to-one pairs (grid, gt, pred, iou) with the largest total IoU, then those of ``least_iou`` or more.
 
     Pairs fall into connected groups. A group with one object on a side takes its best pair with a window; the others are solved
-    exactly in tasks, one group after the other, on the pairs that touch. A group is what overlaps in one grid. Equal totals are
-    told apart by a fixed mix of the objects' numbers below 1e-9, so the result is the same on every run.
+    exactly in tasks, one group after the other, on the pairs that touch. A group is what overlaps in one grid. Of equal
+    totals that with lower predictions is taken, then a fixed mix of the objects' numbers decides (both below 1e-9), so the result is the same on every run.
     """
     mix = F.pmod(F.col("gt") * 7919 + F.col("pred") * 104729, F.lit(1_000_003)) / 1_000_003
-    pairs = materialise(_groups(pairs.withColumn("weight", F.col("iou") + mix * 1e-9)))
+    pairs = materialise(_groups(pairs.withColumn("weight", F.col("iou") - F.pmod("pred", F.lit(1 << 20)) / (1 << 20) * 1e-9 - mix * 1e-11)))
     shape = pairs.groupBy("grid", "group").agg(F.countDistinct("gt").alias("n"), F.countDistinct("pred").alias("m"))
     pairs = materialise(pairs.join(shape, ["grid", "group"]))
     w = W.partitionBy("grid", "group").orderBy(F.desc("weight"), "gt", "pred")
