@@ -7,8 +7,7 @@ import sys
 import tempfile
 import uuid
 
-import pyarrow
-import pyarrow.fs
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: set[str] = set()
@@ -25,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _remove(path: str) -> None:
+def _remove(path, conf) -> None:
+    """Delete a folder by Spark's own file systems, so any storage that Spark writes to will do (hdfs, s3a and others)."""
     try:
-        fs, at = pyarrow.fs.FileSystem.from_uri(path)
-        fs.delete_dir(at)
-    except (OSError, pyarrow.ArrowException) as e:
+        path.getFileSystem(conf).delete(path, True)
+    except (Py4JError, OSError) as e:
         print(f"intermediate tables are left in {path}: {e}", file=sys.stderr)
 
 
@@ -38,7 +37,8 @@ def scratch_folder(spark: SparkSession, kind: str = "tables") -> str:
     folder = f"{shared_dir(spark)}/{kind}/{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        atexit.register(_remove, folder)
+        sc = spark.sparkContext
+        atexit.register(_remove, sc._jvm.org.apache.hadoop.fs.Path(folder), sc._jsc.hadoopConfiguration())
     return f"{folder}/{uuid.uuid4().hex}"
 
 
