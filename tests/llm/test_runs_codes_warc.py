@@ -145,14 +145,14 @@ def wanted(rows):
         yield (r.page_id, len(data), hashlib.sha256(data).hexdigest(), "response" if f == r.page_id else "revisit", None if f == r.page_id else f)
 
 
-@pytest.mark.parametrize("size", [1, 3000, 16 << 20])
+@pytest.mark.parametrize("size", [3000, 16 << 20])
 def test_archives_round_trip(spark, pages, size):
     path = scratch_folder(spark, "archives")
     warc.write(warc.decided(pages), path, warc.train(pages), size=size)
     got = warc.pages(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted(pages.collect())))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).collect()
-    assert len(files) == (pages.count() if size == 1 else len(files)) and (size > 3000 or len(files) > 3)
+    assert len(files) > 3 if size == 3000 else len(files) <= 3
     for f in files:  # each starts with its dictionary; a plain reader of frames finds records too
         data = bytes(f.content)
         magic, n = struct.unpack_from("<II", data)
@@ -197,7 +197,7 @@ def test_reader_validates_frames_headers_and_lengths(spark, pages):
         (b"WARC/1.1", b"WARC/x", "version"), (b"Content-Length: 2", b"Content-Length: 3", "differs"), (b"Content-Length: 2", b"Content-Length: -2", "no number"), (b"WARC-Type: ", b"WARC-Kind: ", "no field"),
         (b"x\r\n\r\n", b"x\r\n\n", "differs"), (b"xxx\r\n", b"xxy\r\n", "block digest"), (b"WARC-Date", b"WARC Date", "header line"), (b"WARC-Type: response", b"WARC-Type: revisit", "revisit without"),
     ):
-        at = good.rindex(old)
+        at = (good.rindex if old.startswith(b"x") else good.index)(old)
         assert says in problems(archive([good[:at] + new + good[at + len(old) :]]))[0], (old, new)
     twin = warc.parse(good.replace(b"WARC-Date: ", b"WARC-Date:\r\n\t "))
     assert twin[2] is None and twin[0]["warc-date"] == "1970-01-01T00:00:00Z"
