@@ -1,7 +1,7 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-from .plans import extra, pairs, raster, records
+from .plans import extra, pairs, raster, records, streams
 
-QUERIES: dict = {**raster.Q, **pairs.Q, **records.Q, **extra.Q}
-ORACLES: dict = {**raster.SQL, **pairs.SQL, **records.SQL, **extra.SQL}
+QUERIES: dict = {**raster.Q, **pairs.Q, **records.Q, **extra.Q, **streams.Q}
+ORACLES: dict = {**raster.SQL, **pairs.SQL, **records.SQL, **extra.SQL, **streams.SQL}
 FLAGSHIP = "A15_area_summary"
