@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 
 def ring_from(coords: Column) -> Column:
     """Flat coordinates, given as strings, to an array of points; NULL for rings with fewer than three points."""
@@ -65,3 +67,68 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     if boxes.limit(10_001).count() > 10_000:
         raise ValueError("more than 10,000 boxes")
     return points.join(F.broadcast(boxes), F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy")))
+
+
+#: Sides of a cell in clockwise order, rows downwards: N runs right, E down, S left, W up; the cell is on the right.
+SIDES = ("N", "E", "S", "W")
+
+
+def ring_segments(cells: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Straight pieces of the outlines of labelled cells (grid, label, row, col): grid, label, side (0 to 3), x0, y0, x1, y1, ``id``.
+
+    Unit edges of one side that follow each other on a line are one piece. A piece runs with its object on the right.
+    """
+    e = boundary(cells).join(cells.select("grid", "row", "col", "label"), ["grid", "row", "col"])
+    side = F.array_position(F.array(*map(F.lit, SIDES)), F.col("side")).cast("int") - 1
+    flat = F.col("side") % 2 == 0
+    e = e.withColumn("side", side).withColumns({"line": F.when(flat, F.col("row")).otherwise(F.col("col")), "at": F.when(flat, F.col("col")).otherwise(F.col("row"))})
+    e = e.withColumn("isle", F.col("at") - F.row_number().over(W.partitionBy("grid", "side", "line").orderBy("at")))
+    s = e.groupBy("grid", "side", "line", "isle").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("label").alias("label"))
+    k, far = F.col("side"), F.col("b") + 1
+    corner = lambda n, e_, s_, w: F.when(k == 0, n).when(k == 1, e_).when(k == 2, s_).otherwise(w)
+    line, a = F.col("line"), F.col("a")
+    s = s.withColumns({"x0": corner(a, line + 1, far, line), "y0": corner(line, a, line + 1, far), "x1": corner(far, line + 1, a, line), "y1": corner(line, far, line + 1, a)})
+    return s.select("grid", "label", "side", "x0", "y0", "x1", "y1", ((F.col("y0").cast("long") * width + F.col("x0")) * 4 + k).alias("id"))
+
+
+def rings(cells: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Closed outlines of labelled cells: grid, label, hole, area (cells, by the shoelace formula) and ring, an array of corners (x, y).
+
+    Outer rings run clockwise (rows downwards), holes the other way; each starts at its upper left corner and has corners at turns only.
+    At a corner where two cells touch across, the outline stays at its cell, so objects of 4-neighbours have one outer ring each.
+
+    A piece is followed by the one that starts at its end and turns right, else by the one that turns left. Rings are then found by pointer
+    doubling: in each round every piece knows the smallest id among the next 2^k pieces and how far it is, and learns that of
+    the next 2^(k+1) by one join, so a ring of n pieces takes log n rounds, and no ring is walked by one task.
+    """
+    s = materialise(ring_segments(cells, width))
+    ahead = s.select("grid", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("side").alias("turned"), F.col("id").alias("after"))
+    turn = F.pmod(F.col("turned") - F.col("side"), F.lit(4))
+    follow = s.join(ahead, ["grid", "x1", "y1"]).where(turn.isin(1, 3)).groupBy("grid", "id").agg(F.min_by("after", turn).alias("next"))
+    step = materialise(follow.select("grid", "id", F.col("next").alias("p"), F.col("id").alias("m"), F.lit(0).cast("long").alias("o")))
+    far = 1
+    while True:
+        other = step.select("grid", F.col("id").alias("p"), F.col("p").alias("p2"), F.col("m").alias("m2"), F.col("o").alias("o2"))
+        low = F.col("m2") < F.col("m")
+        step = step.join(other, ["grid", "p"]).select(
+            "grid", "id", F.col("p2").alias("p"), F.least("m", "m2").alias("m"), F.when(low, F.col("o2") + far).otherwise(F.col("o")).alias("o"), low.alias("changed")
+        )
+        step, far = materialise(step), far * 2
+        if not step.where("changed").limit(1).count():
+            break
+        step = step.drop("changed")
+    corner = F.struct((-F.col("o")).alias("back"), F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"))
+    # the piece with the smallest id is 0 away from itself, the one behind it the ring's length less one, and so on
+    out = s.join(step.select("grid", "id", "m", "o"), ["grid", "id"]).groupBy("grid", F.col("m").alias("head")).agg(
+        F.min("label").alias("label"), F.array_sort(F.collect_list(corner)).alias("c"), (F.sum((F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")).cast("double")) / 2).alias("signed")
+    )
+    pts = F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    turned_first = F.concat(F.slice(pts, -1, 1), F.slice(pts, F.lit(1), F.size(pts) - 1))
+    return out.select("grid", "label", (F.col("signed") < 0).alias("hole"), F.abs("signed").alias("area"), turned_first.alias("ring"))
+
+
+def filled(polygons: DataFrame, height: int, width: int) -> DataFrame:
+    """Cells (grid, label, row, col) of polygons as :func:`rings` gives them: those inside the outer rings and not inside holes."""
+    own = lambda which: rasterise(polygons.where(which).select(F.struct("grid", "label").alias("grid"), "ring"), height, width)
+    out = own(~F.col("hole")).join(own(F.col("hole")), ["grid", "row", "col"], "left_anti")
+    return out.select("grid.grid", "grid.label", "row", "col")

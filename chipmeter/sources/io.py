@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COLLECTION = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:int,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:int,name:string>>"
+from ..operators.geometry import ring_box
+from ..operators.sampling import ranked
+from .scratch import materialise
+
+COLLECTION = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:int,segmentation:array<array<double>>,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:int,name:string>>"
 
 
 def write_objects(objects: DataFrame, path: str, by: Sequence[str] = ("sza_bin", "method")) -> None:
@@ -52,21 +58,91 @@ def read_manifest(lines: DataFrame, schema: str, required: Sequence[str]) -> Dat
     return rows
 
 
+ANNOTATION = re.search("annotations (array<.*?>>), categories", COLLECTION)[1]
+
+
 def collection_of(images: DataFrame, annotations: DataFrame, categories: Sequence[tuple[int, str]]) -> DataFrame:
-    """Annotation documents, one for each image, with its annotations nested: image_id, value (JSON)."""
-    a = annotations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "area", "iscrowd"))).alias("annotations"))
+    """Annotation documents, one for each image, with its annotations nested: image_id, value (JSON). ``segmentation`` may be missing."""
+    if "segmentation" not in annotations.columns:
+        annotations = annotations.withColumn("segmentation", F.lit(None).cast("array<array<double>>"))
+    a = annotations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "image_id", "category_id", "segmentation", "bbox", "area", "iscrowd"))).alias("annotations"))
     cats = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(n).alias("name")) for k, n in categories])
     out = images.join(a, images.id == a.image_id, "left")
-    empty = F.array().cast("array<struct<id:long,image_id:long,category_id:int,bbox:array<double>,area:double,iscrowd:int>>")
+    empty = F.array().cast(ANNOTATION)
     doc = F.struct(F.array(F.struct("id", "file_name", "width", "height")).alias("images"), F.coalesce("annotations", empty).alias("annotations"), cats.alias("categories"))
     return out.select(F.col("id").alias("image_id"), F.to_json(doc).alias("value"))
 
 
+def annotations_of(images: DataFrame, polygons: DataFrame, category: int = 1, least_area: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Images (grid, file_name, width, height) and outer rings of objects (grid, label, hole, area, ring) with sequential ids from 1:
+    images by file name, annotations by image, then label. Boxes are x, y, width, height; images without objects stay."""
+    named = materialise(ranked(images, [], ["file_name", "grid"]).select(F.col("rn").alias("id"), "grid", "file_name", "width", "height"))
+    own = polygons.where(~F.col("hole") & (F.col("area") >= least_area)).join(named.select("grid", F.col("id").alias("image_id")), "grid")
+    box = ring_box(F.col("ring"))
+    flat = F.flatten(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
+    own = own.select("image_id", "label", F.array(flat).alias("segmentation"), F.array(box["x0"], box["y0"], box["x1"] - box["x0"], box["y1"] - box["y0"]).alias("bbox"), F.round("area", 2).alias("area"))
+    own = ranked(own, [], ["image_id", "label"]).select(F.col("rn").alias("id"), "image_id", F.lit(category).alias("category_id"), "segmentation", "bbox", "area", F.lit(0).alias("iscrowd"))
+    return named, own
+
+
+def write_collection(images: DataFrame, annotations: DataFrame, categories: Sequence[tuple[int, str]], path: str) -> None:
+    """A collection in a folder of JSON files: each line is a document of one image with its annotations and all categories."""
+    collection_of(images, annotations, categories).select("value").write.text(path)
+
+
+def scan_collection(spark: SparkSession, path: str, wanted: str, default: int = 2, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Images and annotations of the JSON files under ``path``: a document a line, or (``whole_files``) a file. See :func:`read_collection`."""
+    docs = spark.read.schema(COLLECTION).option("multiLine", str(whole_files).lower()).json(path)
+    return _split(docs, wanted, default)
+
+
 def read_collection(docs: DataFrame, wanted: str, default: int = 2) -> tuple[DataFrame, DataFrame]:
     """Images and annotations of JSON documents; ``wanted`` marks the category of that name, or the default id if there is none."""
-    c = docs.select(F.from_json("value", COLLECTION).alias("c")).select("c.*")
+    return _split(docs.select(F.from_json("value", COLLECTION).alias("c")).select("c.*"), wanted, default)
+
+
+def _split(c: DataFrame, wanted: str, default: int) -> tuple[DataFrame, DataFrame]:
     named = F.filter("categories", lambda k: k["name"] == wanted)
     target = F.coalesce(F.get(named, F.lit(0))["id"], F.lit(default))
     images = c.select(F.explode("images").alias("i")).select("i.*").distinct()
     anns = c.select(target.alias("target"), F.explode("annotations").alias("a")).select("a.*", (F.col("a.category_id") == F.col("target")).alias("wanted"))
     return images, anns
+
+
+#: Imported chips: predictions lie inside the row, so a chip and its predictions come or stay away together.
+CHIPS = "filename string, stem string, region string, prediction_count int, predictions array<struct<class:string,area_m2:double>>, sza_bin string, batch string"
+
+
+def read_chips(spark: SparkSession, path: str) -> DataFrame:
+    """The table of imported chips; empty if nothing has been imported."""
+    spark.createDataFrame([], CHIPS).write.mode("append").partitionBy("sza_bin", "batch").parquet(path)
+    return spark.read.schema(CHIPS).parquet(path)
+
+
+def import_chips(files: DataFrame, grids: DataFrame, predictions: DataFrame, path: str, batch: str) -> DataFrame:
+    """Append chips that aren't there yet; returns files with ``outcome``: skipped (the name is there, or a file with it comes first by region and bin), no_tif,
+    or imported, and ``no_predictions`` where an imported one has none.
+
+    files (filename, region, sza_bin), grids (stem) that exist, predictions (stem, class, area_m2). A file's grid has its stem, or its stem without a
+    band suffix. A batch owns its partitions: writing overwrites only these, so an import that broke off can be repeated under its
+    name, a repeated one adds nothing, and what other imports wrote is never touched.
+    """
+    spark = files.sparkSession
+    have = read_chips(spark, path)
+    stem = F.regexp_replace("filename", r"\.png$", "")
+    first = F.row_number().over(W.partitionBy("filename").orderBy("region", "sza_bin"))
+    f = files.select("filename", "region", "sza_bin").withColumn("nth", first)
+    names = F.array(F.struct(F.lit(0).alias("rank"), stem.alias("stem")), F.struct(F.lit(1).alias("rank"), F.regexp_replace(stem, r"_B\d+$", "").alias("stem")))
+    f = f.withColumn("c", F.explode(names))
+    f = f.join(grids.select(F.col("stem").alias("has")).distinct(), F.col("c.stem") == F.col("has"), "left")
+    f = f.groupBy("filename", "region", "sza_bin", "nth").agg(F.min_by("has", F.when(F.col("has").isNotNull(), F.col("c.rank"))).alias("stem"))
+    own = predictions.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("class", "area_m2"))).alias("predictions"))
+    known = have.groupBy("filename").agg(F.max((F.col("batch") != batch).cast("int")).alias("other"))  # 0: by this batch alone
+    f = f.join(known, "filename", "left").join(own, "stem", "left")
+    outcome = F.when((F.col("nth") > 1) | F.col("other").isNotNull(), "skipped").when(F.col("stem").isNull(), "no_tif").otherwise("imported")
+    f = materialise(f.withColumn("outcome", outcome))
+    if f.where("outcome = 'imported'").limit(1).count():
+        rows = f.where("nth = 1 and stem is not null and coalesce(other, 0) = 0")  # with those that an earlier try of this batch left
+        rows = rows.select("filename", "stem", "region", F.coalesce(F.size("predictions"), F.lit(0)).alias("prediction_count"), "predictions", "sza_bin", F.lit(batch).alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sza_bin", "batch").parquet(path)
+    return f.select("filename", "region", "sza_bin", "outcome", (F.col("outcome").eqNullSafe("imported") & F.col("predictions").isNull()).alias("no_predictions"))
