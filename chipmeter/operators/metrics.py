@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sampling import ranked
+from ..sources.scratch import materialise, sized
 
 #: Lower ends of the reference size buckets (root length, m); the first one also holds what is smaller.
 SIZE_EDGES = (40, 80, 160, 320, 640)
@@ -68,22 +68,44 @@ def completed(summary: DataFrame, domain: DataFrame, zero: Sequence[str] = ()) -
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
 
 
-def with_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], aggs: list[Column]) -> DataFrame:
+#: Relative error of the ranks that bracket a percentile.
+ACCURACY = 10_000
+
+
+def with_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], aggs: list[Column], accuracy: int = ACCURACY) -> DataFrame:
     """One row for each group with ``aggs`` and exact percentiles of ``value``, interpolated between neighbours; NULL where a group has no value.
 
-    Values are ranked by ranges, so a few large groups are spread over all tasks, and only the neighbours of each rank are kept.
-    Columns of ``by`` must not be null.
+    Two scans, no sort of all rows and no table of them. The first one makes ``aggs`` and, from sketches that combine in the tasks, two
+    values around each percentile whose ranks are off by n / accuracy at most. The second one counts: a value between such a pair by itself,
+    all values between pairs together, each as one row with a count for a group, however often it occurs. Cumulative counts then select the
+    neighbours of each rank; a window's task sees 4 n / accuracy different values for each percentile at most. Columns of ``by`` must not be null.
     """
-    at = ranked(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), by, ["_v"])
-    n = at.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    qs = sorted(set(shares.values()))
+    near = [max(0.0, q - 2 / accuracy) for q in qs] + [min(1.0, q + 2 / accuracy) for q in qs]
+    sketch = F.percentile_approx(value, F.array(*map(F.lit, near)), F.lit(accuracy))
+    ends = materialise(rows.groupBy(*by).agg(*aggs, F.count(value).alias("_n"), sketch.alias("_near")))
+    few = sized(ends.select(*by, "_n", "_near"))
+    v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    v = v.join(few, by) if by else v.join(F.broadcast(ends.select("_n", "_near")))
+    k = len(qs)
+    slot = F.lit(0)
+    for i in range(k):  # number of pairs that lie below the value
+        slot = slot + (F.get("_near", F.lit(k + i)) < F.col("_v")).cast("int")
+    inside = F.col("_v") >= F.get("_near", F.col("_slot"))
+    v = v.withColumn("_slot", slot).withColumn("_one", F.when((F.col("_slot") < k) & inside, F.col("_v")))
+    c = v.groupBy(*by, "_n", "_slot", "_one").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    order = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    c = c.withColumn("_to", F.sum("_c").over(order.orderBy("_slot", F.asc_nulls_first("_one")).rowsBetween(W.unboundedPreceding, 0)))
+
+    def at(rank: Column) -> Column:
+        """The value of a rank: a value counted by itself, or the first or last one of those counted together."""
+        start = F.col("_to") - F.col("_c")
+        lost = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+        own = F.when((F.col("_one").isNotNull()) | (rank == F.col("_to")), F.col("_hi")).when(rank == start + 1, F.col("_lo")).otherwise(lost)
+        return F.max(F.when((rank > start) & (rank <= F.col("_to")), own))
+
     place = {name: (F.col("_n") - 1) * F.lit(q) + 1 for name, q in shares.items()}
-    near = F.lit(False)
-    for p in place.values():
-        near = near | (F.col("rn") == F.floor(p)) | (F.col("rn") == F.ceil(p))
-    few = at.join(n, by).where(near) if by else at.join(F.broadcast(n)).where(near)
-    low = {k: F.max(F.when(F.col("rn") == F.floor(p), F.col("_v"))) for k, p in place.items()}
-    high = {k: F.max(F.when(F.col("rn") == F.ceil(p), F.col("_v"))) for k, p in place.items()}
-    part = {k: F.max(p - F.floor(p)) for k, p in place.items()}
-    found = few.groupBy(*by).agg(*[(low[k] + (high[k] - low[k]) * part[k]).alias(k) for k in shares])
-    out = rows.groupBy(*by).agg(*aggs)
+    found = c.groupBy(*by).agg(*[x for name, p in place.items() for x in (at(F.floor(p)).alias(f"_l_{name}"), at(F.ceil(p)).alias(f"_h_{name}"), F.max(p - F.floor(p)).alias(f"_p_{name}"))])
+    found = found.select(*by, *[(F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * F.col(f"_p_{n}")).alias(n) for n in shares])
+    out = ends.drop("_n", "_near")
     return out.join(found, by, "left") if by else out.join(F.broadcast(found), how="left")

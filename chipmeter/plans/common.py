@@ -30,6 +30,6 @@ pr AS (SELECT l_orderkey AS ref_id, l_linenumber AS pred_id, CASE l_returnflag W
  400 * CAST(l_quantity AS DOUBLE) * CAST(l_quantity AS DOUBLE) * (CAST(0.7 AS DOUBLE) + (l_orderkey % 97) / CAST(150.0 AS DOUBLE)) AS a_pred, CAST(0.3 AS DOUBLE) + 7 * CAST(l_discount AS DOUBLE) AS iou FROM lineitem)"""
 
 INVENTORY = """
-inv AS (SELECT CAST(p_partkey AS BIGINT) AS chip, ['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75'][p_size % 4 + 1] AS sza_bin,
- CAST(CASE WHEN p_size % 3 = 0 THEN 0 ELSE (p_partkey * 7 + p_size) % 6 END AS INT) AS n_objects, CAST(20 * p_size AS DOUBLE) AS max_rl,
+inv AS (SELECT CAST(p_partkey AS BIGINT) AS chip, CASE WHEN p_partkey % 23 = 0 THEN 'unknown' ELSE ['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75'][p_size % 4 + 1] END AS sza_bin,
+ CAST(CASE WHEN p_size % 3 = 0 THEN 0 ELSE (p_partkey * 7 + p_size) % 6 END AS INT) AS n_objects, CAST(CASE WHEN p_size = 1 AND p_partkey % 16 > 0 THEN 120 ELSE 20 * p_size END AS DOUBLE) AS max_rl,
  CASE WHEN p_partkey % 3 = 0 THEN 'crowd' ELSE 'expert' END AS source FROM part)"""

@@ -287,7 +287,7 @@ def decisions(spark, sf):
 def audit(spark, sf):
     """Expected against actual values; masked chips (null chips of large scenes here) may be in training only."""
     masked = F.count_if((F.col("n_objects") == 0) & (F.col("max_rl") > 900) & (F.col("split") != "train"))
-    a = S.stratified_split(V.inventory(spark, sf), TEST, VAL).groupBy("sza_bin").agg(F.count(F.lit(1)).alias("n_chips"), F.sum("n_objects").alias("n_objects"), masked.alias("masked_outside_train"))
+    a = S.stratified_split(V.inventory(spark, sf), TEST, VAL, V.BINS).groupBy("sza_bin").agg(F.count(F.lit(1)).alias("n_chips"), F.sum("n_objects").alias("n_objects"), masked.alias("masked_outside_train"))
     long = a.select("sza_bin", F.expr("stack(3, 'n_chips', n_chips, 'n_objects', n_objects, 'masked_outside_train', masked_outside_train) as (field, actual)"))
     want = spark.createDataFrame([("n_chips", 500), ("n_objects", 1000), ("masked_outside_train", 0)], "field string, expected int")
     return long.join(F.broadcast(want), "field").select("sza_bin", "field", "actual", "expected", (F.col("actual") == F.col("expected")).alias("ok"))

@@ -37,10 +37,13 @@ def pair_metrics(spark, sf):
     return _pairs(spark, sf).select("ref_id", "pred_id", "re_pct", "abs_area", "abs_rl")
 
 
-@query("A11_pair_summary", MET + " SELECT method, sza_bin, count(*) AS n, round(avg(iou), 6) AS mean_iou, round(median(iou), 6) AS median_iou, round(avg(abs_area), 3) AS mae_area, round(avg(abs_rl), 6) AS mae_rl FROM m GROUP BY ALL")
+@query("A11_pair_summary", MET + ", d AS (SELECT method, sza_bin FROM (SELECT unnest(['TR', 'OT', 'UNet', 'UNet_TR']) AS method), (SELECT unnest(['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75']) AS sza_bin)) SELECT method, sza_bin, count(iou) AS n, round(avg(iou), 6) AS mean_iou, round(median(iou), 6) AS median_iou, round(avg(abs_area), 3) AS mae_area, round(avg(abs_rl), 6) AS mae_rl, round(avg(sq_area) / 1e6, 3) AS mse_area_m FROM d LEFT JOIN m USING (method, sza_bin) GROUP BY ALL")
 def pair_summary(spark, sf):
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"), F.round(F.avg("abs_area"), 3).alias("mae_area"), F.avg("abs_rl").alias("mae_rl")]
-    return M.with_percentiles(_pairs(spark, sf), ["method", "sza_bin"], "iou", {"median_iou": 0.5}, aggs)
+    """Every method and bin, also those without pairs; the squared area error is in millions."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("iou").alias("mean_iou"), F.round(F.avg("abs_area"), 3).alias("mae_area"), F.avg("abs_rl").alias("mae_rl"), F.round(F.avg("sq_area") / 1e6, 3).alias("mse_area_m")]
+    s = M.with_percentiles(_pairs(spark, sf), ["method", "sza_bin"], "iou", {"median_iou": 0.5}, aggs)
+    domain = spark.createDataFrame([(m, b) for m in ("TR", "OT", "UNet", "UNet_TR") for b in V.BINS], "method string, sza_bin string")
+    return M.completed(s, domain, ["n"])
 
 
 @query("A16_area_ratio_to_baseline", ", s AS (SELECT method, sza_bin, avg(a_pred) AS mean, sum(a_pred) AS total FROM pr GROUP BY ALL) SELECT s.method, s.sza_bin, round(CASE WHEN b.mean > 0 THEN s.mean / b.mean END, 6) AS mean_ratio, round(CASE WHEN b.total > 0 THEN s.total / b.total END, 6) AS total_ratio FROM s LEFT JOIN s b ON b.sza_bin = s.sza_bin AND b.method = 'TR'")
@@ -73,7 +76,7 @@ def error_by_degree(spark, sf):
 
 @query("A19_low_sample_flag", DEG + " SELECT method, sza_deg, n, n < 1000 AS low FROM g")
 def low_sample(spark, sf):
-    return _by_degree(spark, sf).select("method", "sza_deg", "n", (F.col("n") < 1000).alias("low"))
+    return V.pair_rows(spark, sf).groupBy("method", "sza_deg").agg(F.count(F.lit(1)).alias("n")).withColumn("low", F.col("n") < 1000)
 
 
 @query("W8_gap_fill", FILL + " SELECT method, sza_deg, round(filled, 6) AS filled FROM f")
@@ -188,11 +191,11 @@ def size_filter(spark, sf):
 
 #: Shares of all chips for test and validation.
 TEST, VAL = 0.1, 0.15
-SPLIT = ", rk AS (SELECT *, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('42|' || chip), chip) AS rn FROM inv), tt AS (SELECT greatest(1, CAST(round_even(count(*) * CAST(0.1 AS DOUBLE), 0) AS BIGINT)) // count(DISTINCT sza_bin) AS per, greatest(1, CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS nv FROM inv), te AS (SELECT rk.*, rn <= greatest(1, per) AS test, nv FROM rk, tt), sp AS (SELECT *, CASE WHEN test THEN 'test' WHEN row_number() OVER (PARTITION BY test ORDER BY md5('43|' || chip), chip) <= nv THEN 'val' ELSE 'train' END AS split FROM te)"
+SPLIT = ", rk AS (SELECT *, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('42|' || chip), chip) AS rn FROM inv), tt AS (SELECT greatest(1, CAST(round_even(count(*) * CAST(0.1 AS DOUBLE), 0) AS BIGINT)) // greatest(1, count(DISTINCT sza_bin) FILTER (sza_bin <> 'unknown')) AS per, greatest(1, CAST(round_even(count(*) * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS nv FROM inv), te AS (SELECT rk.*, sza_bin <> 'unknown' AND rn <= greatest(1, per) AS test, nv FROM rk, tt), sp AS (SELECT *, CASE WHEN test THEN 'test' WHEN row_number() OVER (PARTITION BY test ORDER BY md5('43|' || chip), chip) <= nv THEN 'val' ELSE 'train' END AS split FROM te)"
 
 
 def _split(spark, sf):
-    return S.stratified_split(V.inventory(spark, sf), TEST, VAL)
+    return S.stratified_split(V.inventory(spark, sf), TEST, VAL, V.BINS)
 
 
 @query("W1_stratified_split", SPLIT + " SELECT chip, sza_bin, split FROM sp", INV)
@@ -226,11 +229,15 @@ def identity(spark, sf):
     return S.identity_hash(_split(spark, sf), ["split"], F.concat_ws("|", F.col("chip").cast("string"), "sza_bin", "split"))
 
 
-BAL = SPLIT + ", tr AS (SELECT * FROM sp WHERE split = 'train'), nb AS (SELECT sza_bin, least(count(*) FILTER (n_objects > 0), count(*) FILTER (n_objects = 0)) AS low FROM tr GROUP BY sza_bin), bl AS (SELECT tr.chip, tr.sza_bin, tr.n_objects, tr.max_rl, low, row_number() OVER (PARTITION BY tr.sza_bin, tr.n_objects > 0 ORDER BY md5('42|' || chip), chip) AS r FROM tr JOIN nb USING (sza_bin)), kept AS (SELECT * FROM bl WHERE low < 5 OR r <= floor(low * 1.5))"
+BAL = SPLIT + ", tr AS (SELECT * FROM sp WHERE split = 'train'), nb AS (SELECT sza_bin, least(count(*) FILTER (n_objects > 0), count(*) FILTER (n_objects = 0)) AS low FROM tr WHERE sza_bin <> 'unknown' GROUP BY sza_bin), bl AS (SELECT tr.chip, tr.sza_bin, tr.n_objects, tr.max_rl, low, row_number() OVER (PARTITION BY tr.sza_bin, tr.n_objects > 0 ORDER BY md5('42|' || chip), chip) AS r FROM tr JOIN nb USING (sza_bin)), kept AS (SELECT * FROM bl WHERE low < 5 OR r <= floor(low * 1.5))"
+
+
+#: Most of one class for one of the other, and fewest chips of a size bin that are balanced.
+RATIO, LEAST_SIZE = 1.5, 3
 
 
 def _balanced(spark, sf):
-    return S.class_balance(_split(spark, sf).where("split = 'train'"), 1.5)
+    return S.class_balance(_split(spark, sf).where("split = 'train'"), RATIO, V.BINS)
 
 
 @query("W2_class_balance", BAL + " SELECT chip, sza_bin, n_objects > 0 AS positive, CASE WHEN low < 5 THEN 'skipped' ELSE 'balanced' END AS action FROM kept", INV)
@@ -249,11 +256,15 @@ def _copies_sql(target: str) -> str:
     return f", tg AS (SELECT *, {target} AS target FROM zn), cp AS (SELECT chip, sza_bin, size_bin, unnest(range(0, CAST(target // cn + CASE WHEN q <= target % cn THEN 1 ELSE 0 END AS BIGINT))) AS copy FROM tg) SELECT sza_bin, size_bin, CAST(copy AS INT) AS copy, count(*) AS n, sum(chip)::BIGINT AS chips FROM cp GROUP BY ALL"
 
 
-@query("W3_size_band", SZ + _copies_sql("CASE WHEN cn < 30 THEN 30 WHEN cn > 60 THEN 60 ELSE cn END"), INV)
+#: Marks of a stratum whose smallest size bin has ``m`` chips, in SQL.
+MARKS = "greatest(m, 3) AS lo, greatest(floor(m * 1.5), floor(greatest(m, 3) * 1.5)) AS hi"
+
+
+@query("W3_size_band", SZ + f", mk AS (SELECT sza_bin, {MARKS} FROM (SELECT sza_bin, min(cn) AS m FROM zn GROUP BY sza_bin)), zb AS (SELECT zn.*, lo, hi FROM zn JOIN mk USING (sza_bin))" + _copies_sql("CAST(CASE WHEN cn <= lo THEN lo WHEN cn > hi THEN hi ELSE cn END AS BIGINT)").replace("FROM zn", "FROM zb"), INV)
 def size_band(spark, sf):
-    z = _sized(spark, sf)
+    z = materialise(_sized(spark, sf))
     by = ["sza_bin", "size_bin"]
-    t = z.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).select(*by, F.greatest(F.lit(30), F.least(F.lit(60), "c")).alias("target"))
+    t = S.size_targets(z.groupBy(*by).agg(F.count(F.lit(1)).alias("c")), RATIO, LEAST_SIZE).select(*by, "target")
     return S.to_targets(z, t, by).groupBy(*by, "copy").agg(F.count(F.lit(1)).alias("n"), F.sum("chip").alias("chips"))
 
 
@@ -268,35 +279,37 @@ def oversample(spark, sf):
 
 
 #: Stage 2 by counts: targets of the size band, and the first rule that leaves a bin alone.
-STAGE2 = SZ + ", c2 AS (SELECT sza_bin, size_bin, count(*) AS c, CASE WHEN count(*) < 30 THEN 30 WHEN count(*) > 60 THEN 60 ELSE count(*) END AS target FROM z GROUP BY ALL), b2 AS (SELECT sza_bin, count(*) AS bins, min(c) AS low, sum(c)::BIGINT AS pos, sum(target)::BIGINT AS cand FROM c2 GROUP BY sza_bin), n2 AS (SELECT sza_bin, count(*) FILTER (n_objects = 0) AS nulls FROM kept GROUP BY sza_bin), r2 AS (SELECT b2.*, nulls, CASE WHEN bins < 2 THEN 'one_bin' WHEN low < 3 THEN 'few' WHEN nulls <= CAST(1.5 AS DOUBLE) * pos AND nulls > CAST(1.5 AS DOUBLE) * cand THEN 'ratio' ELSE '' END AS skipped_reason FROM b2 JOIN n2 USING (sza_bin))"
+STAGE2 = SZ + f", c1 AS (SELECT sza_bin, size_bin, count(*) AS c FROM z GROUP BY ALL), mk AS (SELECT sza_bin, {MARKS} FROM (SELECT sza_bin, min(c) AS m FROM c1 GROUP BY sza_bin)), c2 AS (SELECT c1.*, CAST(CASE WHEN c <= lo THEN lo WHEN c > hi THEN hi ELSE c END AS BIGINT) AS target FROM c1 JOIN mk USING (sza_bin)), b2 AS (SELECT sza_bin, count(*) AS bins, min(c) AS low, sum(c)::BIGINT AS pos, sum(target)::BIGINT AS cand FROM c2 GROUP BY sza_bin), n2 AS (SELECT sza_bin, count(*) FILTER (n_objects = 0) AS nulls FROM kept GROUP BY sza_bin), r1 AS (SELECT sza_bin, coalesce(bins, 0) AS bins, coalesce(low, 0) AS low, coalesce(pos, 0) AS pos, coalesce(cand, 0) AS cand, coalesce(nulls, 0) AS nulls FROM (SELECT unnest(['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75']) AS sza_bin) LEFT JOIN b2 USING (sza_bin) LEFT JOIN n2 USING (sza_bin)), r2 AS (SELECT *, CASE WHEN bins < 2 THEN 'one_bin' WHEN low < 3 THEN 'few' WHEN nulls <= CAST(1.5 AS DOUBLE) * pos AND nulls > CAST(1.5 AS DOUBLE) * cand THEN 'ratio' ELSE '' END AS skipped_reason FROM r1)"
 
 
-def _stage2(spark, sf):
+def _stage2(balanced):
     """Counts of size bins with their targets, and each bin's reason to be left alone ('' if none)."""
-    b = materialise(_balanced(spark, sf).select("sza_bin", "positive", "max_rl"))
+    b = materialise(balanced.select("sza_bin", "positive", "max_rl"))
     c = b.where("positive").groupBy("sza_bin", O.size_bin(F.col("max_rl")).alias("size_bin")).agg(F.count(F.lit(1)).alias("c"))
-    c = materialise(c.withColumn("target", F.greatest(F.lit(30), F.least(F.lit(60), "c")).cast("long")))
+    c = materialise(S.size_targets(c, RATIO, LEAST_SIZE))
     nulls = b.groupBy("sza_bin").agg(F.count_if(~F.col("positive")).alias("nulls"))
-    return c, S.size_skip_rules(c, nulls, 1.5, 3)
+    return c, S.size_skip_rules(c, nulls, RATIO, LEAST_SIZE, V.BINS)
 
 
 @query("W5_size_skip_rules", STAGE2 + " SELECT sza_bin, bins, low, pos, cand, nulls, skipped_reason FROM r2", INV)
 def size_skip(spark, sf):
-    return _stage2(spark, sf)[1]
+    return _stage2(_balanced(spark, sf))[1]
 
 
-@query("W6_balance_report", STAGE2 + ", g1 AS (SELECT unnest(['GT0', 'GT+']) AS group_name), s1 AS (SELECT t.sza_bin, CASE WHEN t.n_objects > 0 THEN 'GT+' ELSE 'GT0' END AS group_name, count(*) AS o, count(k.chip) AS b FROM tr t LEFT JOIN kept k USING (chip) GROUP BY ALL), h1 AS (SELECT sza_bin, group_name, coalesce(o, 0) AS o, coalesce(b, 0) AS b FROM (SELECT DISTINCT sza_bin FROM tr) CROSS JOIN g1 LEFT JOIN s1 USING (sza_bin, group_name)), l1 AS (SELECT sza_bin, min(o) AS low FROM h1 GROUP BY sza_bin) SELECT 'stage1_gt_balance' AS stage, sza_bin, group_name, o AS original_count, b AS balanced_count, CASE WHEN low < 5 THEN 'skipped' WHEN b < o THEN 'undersampled' ELSE 'unchanged' END AS action, CASE WHEN low < 5 THEN 'few' ELSE '' END AS skipped_reason FROM h1 JOIN l1 USING (sza_bin) UNION ALL SELECT 'stage2_positive_area_balance', r2.sza_bin, s.x, coalesce(c, 0), CASE WHEN skipped_reason <> '' THEN coalesce(c, 0) ELSE coalesce(target, 0) END, CASE WHEN skipped_reason <> '' THEN 'skipped' WHEN c IS NULL THEN 'absent' WHEN target > c THEN 'oversampled' WHEN target < c THEN 'undersampled' ELSE 'unchanged' END, skipped_reason FROM r2 CROSS JOIN (SELECT unnest(['rl_40_100', 'rl_100_300', 'rl_300_plus']) AS x) s LEFT JOIN c2 ON c2.sza_bin = r2.sza_bin AND c2.size_bin = s.x", INV)
+@query("W6_balance_report", STAGE2 + ", g1 AS (SELECT unnest(['GT0', 'GT+']) AS group_name), s1 AS (SELECT t.sza_bin, CASE WHEN t.n_objects > 0 THEN 'GT+' ELSE 'GT0' END AS group_name, count(*) AS o, count(k.chip) AS b FROM tr t LEFT JOIN kept k USING (chip) GROUP BY ALL), h1 AS (SELECT sza_bin, group_name, coalesce(o, 0) AS o, coalesce(b, 0) AS b FROM (SELECT unnest(['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75']) AS sza_bin) CROSS JOIN g1 LEFT JOIN s1 USING (sza_bin, group_name)), l1 AS (SELECT sza_bin, min(o) AS low FROM h1 GROUP BY sza_bin) SELECT 'stage1_gt_balance' AS stage, sza_bin, group_name, o AS original_count, b AS balanced_count, CASE WHEN low < 5 THEN 'skipped' WHEN b < o THEN 'undersampled' ELSE 'unchanged' END AS action, CASE WHEN low < 5 THEN 'few' ELSE '' END AS skipped_reason FROM h1 JOIN l1 USING (sza_bin) UNION ALL SELECT 'stage2_positive_area_balance', r2.sza_bin, s.x, coalesce(c, 0), CASE WHEN skipped_reason <> '' THEN coalesce(c, 0) ELSE coalesce(target, 0) END, CASE WHEN skipped_reason <> '' THEN 'skipped' WHEN c IS NULL THEN 'absent' WHEN target > c THEN 'oversampled' WHEN target < c THEN 'undersampled' ELSE 'unchanged' END, skipped_reason FROM r2 CROSS JOIN (SELECT unnest(['rl_40_100', 'rl_100_300', 'rl_300_plus']) AS x) s LEFT JOIN c2 ON c2.sza_bin = r2.sza_bin AND c2.size_bin = s.x", INV)
 def balance_report(spark, sf):
     """Both stages: counts before and after, what was done, and why a bin was left alone."""
-    t = _split(spark, sf).where("split = 'train'").select("sza_bin", F.when(F.col("n_objects") > 0, "GT+").otherwise("GT0").alias("group_name"), F.lit("o").alias("side"))
-    b = _balanced(spark, sf).select("sza_bin", F.when(F.col("positive"), "GT+").otherwise("GT0").alias("group_name"), F.lit("b").alias("side"))
+    train = materialise(_split(spark, sf).where("split = 'train'"))
+    kept = materialise(S.class_balance(train, RATIO, V.BINS))
+    t = train.where(F.col("sza_bin").isin(*V.BINS)).select("sza_bin", F.when(F.col("n_objects") > 0, "GT+").otherwise("GT0").alias("group_name"), F.lit("o").alias("side"))
+    b = kept.select("sza_bin", F.when(F.col("positive"), "GT+").otherwise("GT0").alias("group_name"), F.lit("b").alias("side"))
     one = t.unionByName(b).groupBy("sza_bin", "group_name").agg(F.count_if(F.col("side") == "o").alias("o"), F.count_if(F.col("side") == "b").alias("b"))
-    one = M.completed(one, one.select("sza_bin").distinct().select("sza_bin", F.explode(F.array(F.lit("GT0"), F.lit("GT+"))).alias("group_name")), ["o", "b"])
+    one = M.completed(one, spark.createDataFrame([(x,) for x in V.BINS], "sza_bin string").select("sza_bin", F.explode(F.array(F.lit("GT0"), F.lit("GT+"))).alias("group_name")), ["o", "b"])
     low = one.groupBy("sza_bin").agg((F.min("o") < 5).alias("few"))
     act = F.when(F.col("few"), "skipped").when(F.col("b") < F.col("o"), "undersampled").otherwise("unchanged")
     names = ["stage", "sza_bin", "group_name", "original_count", "balanced_count", "action", "skipped_reason"]
     first = one.join(low, "sza_bin").select(F.lit("stage1_gt_balance"), "sza_bin", "group_name", "o", "b", act, F.when(F.col("few"), "few").otherwise("")).toDF(*names)
-    c, r = _stage2(spark, sf)
+    c, r = _stage2(kept)
     two = r.select("sza_bin", "skipped_reason", F.explode(F.array(*map(F.lit, ("rl_40_100", "rl_100_300", "rl_300_plus")))).alias("size_bin")).join(c, ["sza_bin", "size_bin"], "left")
     left = F.col("skipped_reason") != ""
     act = F.when(left, "skipped").when(F.col("c").isNull(), "absent").when(F.col("target") > F.col("c"), "oversampled").when(F.col("target") < F.col("c"), "undersampled").otherwise("unchanged")
@@ -312,6 +325,53 @@ def custom_ratio(spark, sf):
     return S.first_by(t, ["sza_bin"], [S.seeded(7, "chip"), "chip"], 40).where("rank <= k").select("chip", "sza_bin")
 
 
+#: Training chips of listed bins and their counts, in SQL.
+STRATA = SPLIT + ", tb AS (SELECT *, n_objects > 0 AS positive FROM sp WHERE split = 'train' AND sza_bin <> 'unknown')"
+
+
+def _training(spark, sf):
+    return materialise(_split(spark, sf).where(F.col("split") == "train").where(F.col("sza_bin").isin(*V.BINS)).withColumn("positive", F.col("n_objects") > 0))
+
+
+@query("W7_fixed_total", STRATA + ", c AS (SELECT sza_bin, positive, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS t FROM tb GROUP BY ALL), f AS (SELECT *, least(n, 114 * n // t) AS fl, 114 * n % t AS rest FROM c), k AS (SELECT *, fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, sza_bin, positive) <= least(114, t) - sum(fl) OVER () THEN 1 ELSE 0 END AS quota FROM f), r AS (SELECT chip, sza_bin, positive, quota, row_number() OVER (PARTITION BY sza_bin, positive ORDER BY md5('11|' || chip), chip) AS rn FROM tb JOIN k USING (sza_bin, positive)) SELECT chip, sza_bin, positive FROM r WHERE rn <= quota", INV)
+def fixed_total(spark, sf):
+    """114 training chips, with each bin's and class's share of all."""
+    t = _training(spark, sf)
+    by = ["sza_bin", "positive"]
+    q = S.apportioned(t.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by, 114, "n")
+    return S.drawn(t, by, q, 11).select("chip", *by)
+
+
+@query("W7_equal_bins", STRATA + ", c AS (SELECT count(*) // 4 AS per FROM tb), r AS (SELECT chip, sza_bin, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('12|' || chip), chip) AS rn FROM tb) SELECT chip, sza_bin FROM r, c WHERE rn <= per", INV)
+def equal_bins(spark, sf):
+    """The same number from each bin, all chips divided by the bins; a bin with fewer gives all it has."""
+    t = _training(spark, sf)
+    n = t.groupBy("sza_bin").agg(F.count(F.lit(1)).alias("n"))
+    per = n.agg(F.floor(F.sum("n") / len(V.BINS)).alias("per"))
+    return S.drawn(t, ["sza_bin"], n.join(F.broadcast(per)).select("sza_bin", F.least("n", "per").alias("quota")), 12).select("chip", "sza_bin")
+
+
+@query("W7_equal_bins_filled", STRATA + ", tr2 AS (SELECT * FROM tb WHERE sza_bin <> 'sza_lt65' OR chip % 4 = 0), b AS (SELECT sza_bin, count(*) AS n FROM tr2 GROUP BY sza_bin), w AS (SELECT unnest(range(0, (SELECT max(n) + 1 FROM b))) AS v), lv AS (SELECT max(v) AS v FROM w WHERE (SELECT sum(least(n, w.v)) FROM b) <= 400), fl AS (SELECT sza_bin, n, least(n, v) AS fl, n > v AS more FROM b, lv), qb AS (SELECT sza_bin, fl + CASE WHEN more AND row_number() OVER (PARTITION BY more ORDER BY sza_bin) <= least(400, (SELECT sum(n) FROM b)) - (SELECT sum(fl) FROM fl) THEN 1 ELSE 0 END AS quota FROM fl), r AS (SELECT chip, sza_bin, quota, row_number() OVER (PARTITION BY sza_bin ORDER BY md5('13|' || chip), chip) AS rn FROM tr2 JOIN qb USING (sza_bin)) SELECT chip, sza_bin FROM r WHERE rn <= quota", INV)
+def equal_bins_filled(spark, sf):
+    """400 chips from bins of the same size where one has too few; the others fill up what it lacks."""
+    t = _training(spark, sf).where("sza_bin <> 'sza_lt65' or chip % 4 = 0")
+    n = t.groupBy("sza_bin").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("w"))
+    return S.drawn(t, ["sza_bin"], S.apportioned(n, ["sza_bin"], 400, "w"), 13).select("chip", "sza_bin")
+
+
+#: Positive and null chips of each bin, in relation to each other.
+RATIOS = {"sza_lt65": (1.0, 0.5), "sza_65_70": (1.0, 1.0), "sza_70_75": (1.0, 1.0), "sza_gt75": (1.0, 2.0)}
+
+
+@query("W7_ratio_table", STRATA + ", rt(sza_bin, p, z) AS (VALUES ('sza_lt65', 2, 1), ('sza_65_70', 1, 1), ('sza_70_75', 1, 1), ('sza_gt75', 1, 2)), c AS (SELECT sza_bin, p, z, count(*) FILTER (positive) AS np, count(*) FILTER (NOT positive) AS nn FROM tb JOIN rt USING (sza_bin) GROUP BY ALL), q AS (SELECT sza_bin, CASE WHEN np * z <= nn * p THEN np ELSE nn * p // z END AS qp, CASE WHEN np * z <= nn * p THEN np * z // p ELSE nn END AS qz FROM c), r AS (SELECT chip, sza_bin, positive, CASE WHEN positive THEN qp ELSE qz END AS quota, row_number() OVER (PARTITION BY sza_bin, positive ORDER BY md5('14|' || chip), chip) AS rn FROM tb JOIN q USING (sza_bin)) SELECT chip, sza_bin, positive FROM r WHERE rn <= quota", INV)
+def ratio_table(spark, sf):
+    t = _training(spark, sf)
+    c = t.groupBy("sza_bin").agg(F.count_if("positive").alias("np"), F.count_if(~F.col("positive")).alias("nn"))
+    q = S.ratio_quotas(c, spark.createDataFrame([(b, *r) for b, r in RATIOS.items()], "sza_bin string, gt_plus double, gt_zero double"))
+    q = q.select("sza_bin", F.explode(F.array(F.struct(F.lit(True).alias("positive"), F.col("q_plus").alias("quota")), F.struct(F.lit(False).alias("positive"), F.col("q_zero").alias("quota")))).alias("q")).select("sza_bin", "q.*")
+    return S.drawn(t, ["sza_bin", "positive"], q, 14).select("chip", "sza_bin", "positive")
+
+
 @query("W10_top_n_per_group", " SELECT chip, source, CAST(r AS INT) AS rank FROM (SELECT chip, source, row_number() OVER (PARTITION BY source ORDER BY max_rl, n_objects DESC, md5('42|' || chip)) AS r FROM inv) WHERE r <= 20", INV)
 def top_n(spark, sf):
     return S.first_by(V.inventory(spark, sf), ["source"], ["max_rl", F.desc("n_objects"), S.seeded(42, "chip")], 20).select("chip", "source", "rank")
@@ -337,7 +397,7 @@ def append_nulls(spark, sf):
 @query("W20_seeded_batches", ", s AS (SELECT chip, row_number() OVER (ORDER BY md5('5|' || chip), chip) AS rn FROM inv WHERE n_objects > 0) SELECT chip, CAST(floor((rn - 1) / 150.0) AS INT) AS batch FROM s WHERE rn <= 3000", INV)
 def batches(spark, sf):
     top = V.inventory(spark, sf).where("n_objects > 0").withColumn("k", S.seeded(5, "chip")).orderBy("k", "chip").limit(20 * 150)  # the shuffle has 20 batches of 150
-    return S.ranked(top, [], ["k", "chip"]).select("chip", F.floor(F.col("global_index") / 150).cast("int").alias("batch"))
+    return S.ranked(top, [], ["k", "chip"]).select("chip", F.floor((F.col("rn") - 1) / 150).cast("int").alias("batch"))
 
 
 @query("J22_domain_completion", ", d AS (SELECT b, m FROM (SELECT unnest(['sza_lt65', 'sza_65_70', 'sza_70_75', 'sza_gt75']) AS b), (SELECT unnest(['crowd', 'expert', 'model']) AS m)) SELECT b AS sza_bin, m AS source, count(chip) AS n, round(avg(max_rl), 6) AS mean FROM d LEFT JOIN inv ON sza_bin = b AND source = m GROUP BY ALL", INV)

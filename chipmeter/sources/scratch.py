@@ -9,6 +9,7 @@ import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDERS: set[str] = set()
 
@@ -48,3 +49,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` as a written table, to be broadcast in joins if it has ``most`` rows at most."""
+    out = materialise(df)
+    return F.broadcast(out) if out.limit(most + 1).count() <= most else out

@@ -70,12 +70,12 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chips with their bin, number of objects and largest root length (m)."""
+    """Chips with their bin (every 23rd unknown), number of objects and largest root length (m; some sizes are rare)."""
     p = table(spark, sf_dir, "part")
     n = F.when(F.col("p_size") % 3 == 0, 0).otherwise((F.col("p_partkey") * 7 + F.col("p_size")) % 6).cast("int")
     return p.select(
-        F.col("p_partkey").cast("long").alias("chip"), bin_of("p_size").alias("sza_bin"), n.alias("n_objects"),
-        (20 * F.col("p_size")).cast("double").alias("max_rl"), F.when(F.col("p_partkey") % 3 == 0, "crowd").otherwise("expert").alias("source"),
+        F.col("p_partkey").cast("long").alias("chip"), F.when(F.col("p_partkey") % 23 == 0, "unknown").otherwise(bin_of("p_size")).alias("sza_bin"), n.alias("n_objects"),
+        F.when((F.col("p_size") == 1) & (F.col("p_partkey") % 16 > 0), 120).otherwise(20 * F.col("p_size")).cast("double").alias("max_rl"), F.when(F.col("p_partkey") % 3 == 0, "crowd").otherwise("expert").alias("source"),
     )
 
 

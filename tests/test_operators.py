@@ -216,7 +216,7 @@ def test_ranks_and_positions(spark):
     rng = random.Random(7)
     rows = [(rng.choice("aaaab") if k % 50 else None, rng.randrange(10**6) * 1000 + k) for k in range(3000)]
     df = spark.createDataFrame(rows, "g string, x long").repartition(7)
-    got = {(r.g, r.x): (r.rn, r.global_index) for r in sampling.ranked(df, ["g"], ["x"]).collect()}
+    got = {(r.g, r.x): (r.rn, r.global_index) for r in sampling.ranked(df, ["g"], ["x"], whole=True).collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     seen = {}
     for at, (g, x) in enumerate(order):
@@ -241,4 +241,4 @@ def test_identity_hash_ignores_order(spark):
 def test_size_skip_rules(spark):
     counts = spark.createDataFrame([("a", "s", 50, 50), ("b", "s", 2, 30), ("b", "m", 50, 50), ("c", "s", 100, 60), ("c", "m", 40, 40), ("d", "s", 100, 60), ("d", "m", 40, 40)], "sza_bin string, size_bin string, c long, target long")
     nulls = spark.createDataFrame([("a", 0), ("b", 0), ("c", 200), ("d", 150)], "sza_bin string, nulls long")
-    assert {r.sza_bin: r.skipped_reason for r in sampling.size_skip_rules(counts, nulls, 1.5, 3).collect()} == {"a": "one_bin", "b": "few", "c": "ratio", "d": ""}
+    assert {r.sza_bin: r.skipped_reason for r in sampling.size_skip_rules(counts, nulls, 1.5, 3, "abcde").collect()} == {"a": "one_bin", "b": "few", "c": "ratio", "d": "", "e": "one_bin"}
