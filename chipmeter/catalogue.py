@@ -1,7 +1,7 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-from .plans import extra, files, pairs, raster, records, streams
+from .plans import extra, files, pairs, raster, records, search, streams
 
-QUERIES: dict = {**raster.Q, **pairs.Q, **records.Q, **extra.Q, **streams.Q, **files.Q}
-ORACLES: dict = {**raster.SQL, **pairs.SQL, **records.SQL, **extra.SQL, **streams.SQL, **files.SQL}
+QUERIES: dict = {**raster.Q, **pairs.Q, **records.Q, **extra.Q, **streams.Q, **files.Q, **search.Q}
+ORACLES: dict = {**raster.SQL, **pairs.SQL, **records.SQL, **extra.SQL, **streams.SQL, **files.SQL, **search.SQL}
 FLAGSHIP = "A15_area_summary"

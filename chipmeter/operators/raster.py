@@ -134,3 +134,31 @@ def histogram(rows: DataFrame, value: Column, lo: float, hi: float, bins: int, b
     out = rows.where(value.between(lo, hi)).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))
     return out.withColumn("density", F.col("n") / (total * step))
+
+
+def log_histogram(rows: DataFrame, value: str, start: float, bins: int) -> DataFrame:
+    """Counts over bins of equal width in the logarithm, from ``start`` to the largest value there is; every bin has a row.
+
+    Two passes: the largest value, then the counts. bin, low, high (edges), n. Values below ``start`` are left out, the last bin is closed;
+    without a value above ``start`` there are no bins.
+    """
+    top = rows.agg(F.max(value).alias("top")).where(F.col("top") > start)
+    step = (F.log10("top") - F.log10(F.lit(float(start)))) / bins
+    edge = lambda i: F.pow(F.lit(10.0), F.log10(F.lit(float(start))) + i * F.col("step"))
+    top = top.select("top", step.alias("step"))
+    at = F.least(F.floor((F.log10(value) - F.log10(F.lit(float(start)))) / F.col("step")), F.lit(bins - 1)).cast("int")
+    n = rows.where(F.col(value) >= start).join(F.broadcast(top)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    dense = top.select("step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return dense.join(F.broadcast(n), "bin", "left").select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def densities(rows: DataFrame, value: str, kind: str, kinds: Sequence[str], by: Sequence[str], lo: float, hi: float, bins: int) -> DataFrame:
+    """Counts and densities of several kinds of values on the same edges, beside each other; every bin of a group has a row.
+
+    by..., bin, and for each kind n_<kind> and d_<kind>, its density (null if the group has no value of the kind)."""
+    h = histogram(rows.where(F.col(kind).isin(*kinds)), F.col(value), lo, hi, bins, [*by, kind])
+    h = h.groupBy(*by, "bin").agg(*[x for k in kinds for x in (F.sum(F.when(F.col(kind) == k, F.col("n"))).alias(f"n_{k}"), F.sum(F.when(F.col(kind) == k, F.col("density"))).alias(f"d_{k}"))])
+    groups = rows.groupBy(*by).agg(*[F.count_if((F.col(kind) == k) & F.col(value).between(lo, hi)).alias(f"t_{k}") for k in kinds])
+    dense = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = dense.join(h, [*by, "bin"], "left")
+    return out.select(*by, "bin", *[x for k in kinds for x in (F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}"), F.when(F.col(f"t_{k}") > 0, F.coalesce(f"d_{k}", F.lit(0.0))).alias(f"d_{k}"))])
