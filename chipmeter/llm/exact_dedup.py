@@ -82,8 +82,9 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", diges
         large = large.withColumn("large", F.lit(True))
         large = F.broadcast(large) if many <= BROADCAST_HOT else large
         classes = classes.join(large, "dig", "left").withColumn("salt", F.explode(F.when(F.col("large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        rows = rows.join(large, "dig", "left")
-        salt = F.when(F.col("large"), (F.spark_partition_id() % salts).cast("int")).otherwise(0)
+        # the salt is the task that read the row: behind a join by digest all rows of a class would have one
+        rows = rows.withColumn("task", (F.spark_partition_id() % salts).cast("int")).join(large, "dig", "left")
+        salt = F.when(F.col("large"), F.col("task")).otherwise(0)
     else:
         classes = classes.withColumn("salt", F.lit(0))
     left = rows.select("doc_id", "rank", "dig", key, salt.alias("salt"))

@@ -339,3 +339,20 @@ def test_classifiers_without_labels(spark, odd):
     assert {r.score for r in toxicity.scores(odd, toxicity.fit(odd, labels)).collect()} == {0.0}
     lang = langid.fit(odd.limit(0))
     assert {r.lang_pred for r in langid.identify(odd, lang).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_exact_dedup_salts_large_classes_on_both_ways(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HOT", broadcast)
+    rows = spark.range(0, 3000, 1, 6).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the same text").otherwise(F.concat(F.lit("own "), F.col("id").cast("string"))).alias("text"))
+    out = exact_dedup.decisions(rows, salts=6, hot=100)
+    assert sum(r.kept for r in out.collect()) == 1001
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "task" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = exact_dedup.decisions(rows, salts=6, hot=100)
+        joined = seen.where("group_size > 100").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in joined) == 2000
