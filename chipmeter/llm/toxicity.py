@@ -47,8 +47,8 @@ from .subword import fit_logistic
 DISCOUNT, STEM, PER_CLASS = 3, 4, 3000
 #: Marks to choose from, in nats.
 MARKS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
-#: Most rows of the table that travel with tasks (12 bytes each); a larger table is joined.
-MOST_ROWS = 8_000_000
+#: Most rows of the table that travel with tasks (16 bytes each); a larger table is joined.
+MOST_ROWS = 6_000_000
 #: Most labelled rows to broadcast to the texts; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
@@ -307,7 +307,7 @@ def model(words: DataFrame, pairs: DataFrame, discount: int = DISCOUNT, letters:
     near = None
     if table.count() <= most_rows:
         rows = table.toArrow()
-        keys, values = rows["key"].to_numpy(), rows["value"].to_numpy().astype(np.float32)
+        keys, values = rows["key"].to_numpy(), rows["value"].to_numpy()
         order = np.argsort(keys, kind="stable")
         near = table.sparkSession.sparkContext.broadcast((keys[order], values[order]))
     return Model(table, constant, near, letters)

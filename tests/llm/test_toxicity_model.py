@@ -77,5 +77,5 @@ def test_table_joined_or_at_hand(spark):
     assert near.model.near and not far.model.near
     a, b = order(near), order(far)
     assert [k for k, _ in a] == [k for k, _ in b] and len(a) == d.count()
-    assert [s for _, s in a] == pytest.approx([s for _, s in b], abs=1e-4)
+    assert [s for _, s in a] == pytest.approx([s for _, s in b], abs=1e-12)
     assert len({round(s, 6) for _, s in a}) > 2
