@@ -108,10 +108,13 @@ def _searched(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[
 def fit(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> np.ndarray:
     """Codebooks (parts, entries, width) of whole numbers, learned from all kept vectors.
 
-    The first entries come from a top-k by id (at most ``entries`` rows reach the driver); a round brings parts x entries sums.
+    The first entries come from a top-k of the ids, then of the rows up to the last of them (``entries`` rows reach the driver); a round brings
+    parts x entries sums.
     """
     rows = vectors.where(kept(vector)).select(F.col(vec_id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    first = rows.orderBy(F.col("i").isNull(), "i", "v").limit(entries).collect()
+    ids = rows.select("i").where("i is not null").orderBy("i").limit(entries).collect()  # a task sends ids only
+    near = rows.where(F.col("i") <= ids[-1].i) if len(ids) == entries else rows
+    first = near.orderBy(F.col("i").isNull(), "i", "v").limit(entries).collect()
     if not first:
         return np.zeros((parts, 0, 0), np.int64)
     width = -(-len(first[0].v) // parts)
