@@ -51,10 +51,14 @@ def skippable(magic: int, data: bytes) -> bytes:
     return struct.pack("<II", magic, len(data)) + data
 
 
-def train(pages: DataFrame, html: str = "html") -> bytes:
-    """A dictionary from the start of about ``SAMPLE`` pages, chosen by hash; empty if they are too few or too short for one."""
-    text = F.substring(F.col(html), 1, SAMPLE_CHARS)
-    rows = pages.where(F.length(html) > 0).select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE).collect()
+def train(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> bytes:
+    """A dictionary from the start of about ``SAMPLE`` pages, chosen by hash; empty if they are too few or too short for one.
+
+    Each page is in the sample with the same probability, so a task sends its share of the sample and nothing is sorted.
+    """
+    rate = SAMPLE / max(1, pages.count())
+    own = F.pmod(F.xxhash64(F.lit("sample"), page_id, html), F.lit(1 << 30)) < int(rate * (1 << 30))
+    rows = pages.where(own & (F.length(html) > 0)).select(F.substring(F.col(html), 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.t.encode() for r in rows]).as_bytes() if len(rows) > 10 else b""
     except zstandard.ZstdError:
