@@ -132,3 +132,40 @@ def filled(polygons: DataFrame, height: int, width: int) -> DataFrame:
     own = lambda which: rasterise(polygons.where(which).select(F.struct("grid", "label").alias("grid"), "ring"), height, width)
     out = own(~F.col("hole")).join(own(F.col("hole")), ["grid", "row", "col"], "left_anti")
     return out.select("grid.grid", "grid.label", "row", "col")
+
+
+def to_map(col: Column, row: Column, gt: Column) -> tuple[Column, Column]:
+    """Map coordinates of a place in a grid; gt: struct a to f of the affine x = a col + b row + c, y = d col + e row + f."""
+    return gt["a"] * col + gt["b"] * row + gt["c"], gt["d"] * col + gt["e"] * row + gt["f"]
+
+
+def from_map(x: Column, y: Column, gt: Column) -> tuple[Column, Column]:
+    """Column and row, not rounded, of a map point; null where the affine has no inverse."""
+    det = gt["a"] * gt["e"] - gt["b"] * gt["d"]
+    u, v = x - gt["c"], y - gt["f"]
+    return F.try_divide(gt["e"] * u - gt["b"] * v, det), F.try_divide(gt["a"] * v - gt["d"] * u, det)
+
+
+def _proper(pts: Column, digits: int) -> Column:
+    """Points of a ring, or null if fewer than three of them differ at so many digits."""
+    return F.when(F.size(F.array_distinct(F.transform(pts, lambda p: F.struct(F.round(p["x"], digits), F.round(p["y"], digits))))) >= 3, pts)
+
+
+def ring_to_map(ring: Column, gt: Column) -> Column:
+    """A ring of grid places in map coordinates; null if degenerate."""
+    pts = F.transform(ring, lambda p: F.struct(to_map(p["x"], p["y"], gt)[0].alias("x"), to_map(p["x"], p["y"], gt)[1].alias("y")))
+    return _proper(pts, 4)
+
+
+def ring_to_grid(ring: Column, gt: Column, height: int, width: int) -> Column:
+    """A ring in map coordinates as places of a grid, held inside the grid and rounded to 2 digits; null if degenerate then."""
+    held = lambda v, n: F.round(F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), v)), 2)
+    pts = F.transform(ring, lambda p: F.struct(held(from_map(p["x"], p["y"], gt)[0], width).alias("x"), held(from_map(p["x"], p["y"], gt)[1], height).alias("y")))
+    return _proper(pts, 2)
+
+
+def clipped(px: DataFrame, rings: DataFrame, height: int, width: int, values: tuple[str, ...]) -> DataFrame:
+    """Cells with ``values`` set to 0 outside the rings (grid, ring) of their grid; a grid without rings is all 0."""
+    inside = rasterise(rings, height, width).withColumn("_in", F.lit(True))
+    out = px.join(inside, ["grid", "row", "col"], "left")
+    return out.withColumns({v: F.when(F.col("_in"), F.col(v)).otherwise(F.lit(0.0)) for v in values}).drop("_in")

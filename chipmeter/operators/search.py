@@ -128,3 +128,17 @@ def assigned(requests: DataFrame, chips: DataFrame, held: DataFrame) -> DataFram
         more = got.groupBy("chip").agg(F.count(F.lit(1)).alias("m"))
         counts = materialise(counts.join(sized(more), "chip", "left").select("chip", "region", "sza_bin", (F.col("k") + F.coalesce("m", F.lit(0))).alias("k")))
     return taken if taken is not None else held.limit(0).select(F.lit(0).alias("request"), "labeler", "chip")
+
+
+def selected_scenes(scenes: DataFrame, boxes: DataFrame, windows: DataFrame, most_cloud: float, product: str) -> DataFrame:
+    """Scenes of a product with few clouds whose box overlaps an area of interest and whose date lies in one of its windows, each pair once.
+
+    scenes (id, x0, x1, y0, y1, acquired, cloud, product), boxes (region, minx, maxx, miny, maxy) and windows (name, m0, m1: months) are small tables (checked).
+    """
+    for t in (boxes, windows):
+        if t.limit(10_001).count() > 10_000:
+            raise ValueError("more than 10,000 boxes or windows")
+    month = F.month("acquired")
+    some = scenes.where((F.col("product") == product) & (F.col("cloud") <= most_cloud)).join(F.broadcast(windows), month.between(F.col("m0"), F.col("m1")))
+    near = (F.col("x0") <= F.col("maxx")) & (F.col("x1") >= F.col("minx")) & (F.col("y0") <= F.col("maxy")) & (F.col("y1") >= F.col("miny"))
+    return some.join(F.broadcast(boxes), near).select("id", "region", "name").distinct()

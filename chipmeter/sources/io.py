@@ -146,3 +146,47 @@ def import_chips(files: DataFrame, grids: DataFrame, predictions: DataFrame, pat
         rows = rows.select("filename", "stem", "region", F.coalesce(F.size("predictions"), F.lit(0)).alias("prediction_count"), "predictions", "sza_bin", F.lit(batch).alias("batch"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sza_bin", "batch").parquet(path)
     return f.select("filename", "region", "sza_bin", "outcome", (F.col("outcome").eqNullSafe("imported") & F.col("predictions").isNull()).alias("no_predictions"))
+
+
+def preferred(own: DataFrame, merged: DataFrame) -> DataFrame:
+    """Rows of a chip's own file (stem, ...) if it has one, else those of the merged file (source_file, ...) that name it, with or without ``.tif``.
+
+    Adds ``used``. Stems come from both sides; a merged row for a chip with a file of its own is left out.
+    """
+    rest = [c for c in own.columns if c != "stem"]
+    named = merged.withColumn("stem", F.regexp_replace("source_file", r"\.tif$", "")).select("stem", *rest)
+    named = named.join(own.select("stem").distinct(), "stem", "left_anti")
+    return own.withColumn("used", F.lit("own")).unionByName(named.withColumn("used", F.lit("merged")))
+
+
+#: The six tables of a labelling campaign, with their keys and parents.
+CAMPAIGN = {
+    "chips": ("id long, filename string, region string, sza_bin string", ("filename",), {}),
+    "predictions": ("id long, chip_id long, class_name string, area_m2 double", ("id",), {"chip_id": "chips"}),
+    "labelers": ("id long, name string, is_admin boolean", ("name",), {}),
+    "assignments": ("id long, chip_id long, labeler_id long, status string", ("chip_id", "labeler_id"), {"chip_id": "chips", "labeler_id": "labelers"}),
+    "annotation_results": ("id long, assignment_id long, chip_verdict string, tags string, submitted_at timestamp", ("assignment_id",), {"assignment_id": "assignments"}),
+    "polygon_decisions": ("id long, result_id long, prediction_id long, action string", ("id",), {"result_id": "annotation_results", "prediction_id": "predictions"}),
+}
+
+
+def read_campaign(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The six tables under ``path`` with their schemas; a column of another type is an error when it is read."""
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, (schema, _, _) in CAMPAIGN.items()}
+
+
+def campaign_faults(tables: dict[str, DataFrame]) -> DataFrame:
+    """For each table: rows, rows whose key another row has too, and rows that name a parent that isn't there (null names none)."""
+    out = None
+    for name, (_, key, parents) in CAMPAIGN.items():
+        t = tables[name]
+        twice = t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        one = twice.select(F.lit(name).alias("name"), "n", (F.col("n") - F.col("keys")).alias("n_repeated"))
+        loose = None
+        for c, parent in parents.items():
+            lost = t.where(F.col(c).isNotNull()).join(tables[parent].select(F.col("id").alias(c)), c, "left_anti").select(F.lit(1).alias("x"))
+            loose = lost if loose is None else loose.unionByName(lost)
+        n = loose.agg(F.count("x").alias("n_loose")) if loose is not None else t.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_loose"))
+        one = one.join(F.broadcast(n))
+        out = one if out is None else out.unionByName(one)
+    return out
