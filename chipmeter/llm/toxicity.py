@@ -47,8 +47,8 @@ from .subword import fit_logistic
 DISCOUNT, STEM, PER_CLASS = 3, 4, 3000
 #: Marks to choose from, in nats.
 MARKS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
-#: Most rows of the table that travel with tasks (16 bytes each); a larger table is joined.
-MOST_ROWS = 6_000_000
+#: Most rows of the table that travel with tasks (12 bytes each); a larger table is joined.
+MOST_ROWS = 8_000_000
 #: Most labelled rows to broadcast to the texts; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
@@ -119,7 +119,7 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarr
     if not len(keys):
         return np.zeros(len(wanted))
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
+    return np.where(keys[at] == wanted, values[at].astype(np.float64), 0.0)
 
 
 class Ratios(Words):
@@ -303,7 +303,7 @@ def model(words: DataFrame, pairs: DataFrame, discount: int = DISCOUNT, letters:
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p)
-    table = materialise(table.where("value <> 0"))
+    table = materialise(table.select("key", F.col("value").cast("float").alias("value")).where("value <> 0"))  # the same numbers on both ways
     near = None
     if table.count() <= most_rows:
         rows = table.toArrow()
