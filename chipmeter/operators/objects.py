@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,33 +66,32 @@ def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def _groups(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``group``, the connected group of objects that they belong to; predictions are numbered below zero."""
+    """Pairs with ``group``, the connected group of objects that they belong to; references are even nodes, predictions odd ones."""
     e = pairs.select("grid", (F.col("gt") * 2).alias("a"), (F.col("pred") * 2 + 1).alias("b"))
-    nodes = e.select("grid", F.col("a").alias("node")).unionByName(e.select("grid", F.col("b").alias("node"))).distinct()
-    roots = connected(nodes, e).select("grid", (F.col("node") / 2).cast("long").alias("gt"), F.col("root").alias("group"), (F.col("node") % 2).alias("kind"))
-    return pairs.join(roots.where("kind = 0").drop("kind"), ["grid", "gt"])
+    roots = connected(e.select("grid", F.col("a").alias("node")).distinct(), e)
+    return pairs.join(roots.select("grid", F.shiftright("node", 1).alias("gt"), F.col("root").alias("group")), ["grid", "gt"])
 
 
-def best_pairs(edges: list[tuple[int, int, float]], n: int, m: int) -> list[tuple[int, int, float]]:
-    """The one-to-one edges (row, column, weight above 0) of the largest total weight.
+def best_pairs(edges: list[tuple[int, int, int]], n: int, m: int) -> list[tuple[int, int, int]]:
+    """The one-to-one edges (row, column, weight above 0) of the largest total weight; weights are whole numbers, so sums are exact.
 
     Shortest augmenting paths with potentials on the edges that there are, so work grows with edges, not with n times m. Each row
     has a column of its own besides, at weight 0, for staying alone.
     """
-    top = max(w for _, _, w in edges)
-    near: list[list[tuple[int, float]]] = [[(m + i, top)] for i in range(n)]
+    top = max((w for _, _, w in edges), default=0)
+    near: list[list[tuple[int, int]]] = [[(m + i, top)] for i in range(n)]
     weight = {}
     for i, j, w in edges:
         near[i].append((j, top - w))
         weight[i, j] = w
-    u, v, owner, mate = [0.0] * n, [0.0] * (m + n), [-1] * (m + n), [-1] * n
+    u, v, owner, mate = [0] * n, [0] * (m + n), [-1] * (m + n), [-1] * n
     for start in range(n):
         dist, prev, done, heap = {}, {}, set(), []
-        i, base = start, 0.0
+        i, base = start, 0
         while True:
             for j, c in near[i]:
                 d = base + c - u[i] - v[j]
-                if j not in done and d < dist.get(j, float("inf")):
+                if j not in done and (j not in dist or d < dist[j]):
                     dist[j], prev[j] = d, i
                     heapq.heappush(heap, (d, j))
             base, j = heapq.heappop(heap)
@@ -113,50 +113,69 @@ def best_pairs(edges: list[tuple[int, int, float]], n: int, m: int) -> list[tupl
     return [(i, j, weight[i, j]) for i, j in enumerate(mate) if j < m]
 
 
+#: A fixed mix of two objects' numbers, which settles what is equal otherwise.
+MIX_GT, MIX_PRED, MIX = 7919, 104_729, 1_000_003
+
+
+def _by_group(pairs: DataFrame, solve: Callable[[pd.DataFrame], list[int]], *ties: Column) -> DataFrame:
+    """The pairs (grid, gt, pred, iou) that each connected group gives: the first by IoU, then ``ties``, where a side has one object, else the rows that ``solve`` names."""
+    pairs = materialise(_groups(pairs.select("grid", "gt", "pred", "iou")))
+    shape = pairs.groupBy("grid", "group").agg(F.countDistinct("gt").alias("n"), F.countDistinct("pred").alias("m"))
+    pairs = materialise(pairs.join(shape, ["grid", "group"]))
+    first = F.min_by(F.struct("gt", "pred", "iou"), F.struct(-F.col("iou"), *ties)).alias("first")
+    single = pairs.where("n = 1 or m = 1").groupBy("grid", "group").agg(first).select("grid", "first.*")
+    several = pairs.where("n > 1 and m > 1").groupBy("grid", "group")
+    return single.unionByName(several.applyInPandas(lambda pdf: pdf.iloc[solve(pdf)][["grid", "gt", "pred", "iou"]], "grid long, gt long, pred long, iou double"))
+
+
 def match_optimal(pairs: DataFrame, least_iou: float = 0.3) -> DataFrame:
     """One-to-one pairs (grid, gt, pred, iou) with the largest total IoU, then those of ``least_iou`` or more.
 
-    Pairs fall into connected groups. A group with one object on a side takes its best pair with a window; the others are solved
-    exactly in tasks, one group after the other, on the pairs that touch. A group is what overlaps in one grid. Of equal
-    totals that with lower predictions is taken, then a fixed mix of the objects' numbers decides (both below 1e-9), so the result is the same on every run.
+    Pairs fall into connected groups. A group with one object on a side takes its best pair in one aggregation; the others are solved
+    exactly in tasks, one group after the other, on the pairs that touch. A group is what overlaps in one grid. IoUs are taken to 1e-12.
+    Totals are compared first; of equal ones that with the smaller sum of predictions is taken, then a fixed mix of the
+    objects' numbers decides (their largest sum loses), so the result is the same on every run.
     """
-    mix = F.pmod(F.col("gt") * 7919 + F.col("pred") * 104729, F.lit(1_000_003)) / 1_000_003
-    pairs = materialise(_groups(pairs.withColumn("weight", F.col("iou") - F.pmod("pred", F.lit(1 << 20)) / (1 << 20) * 1e-9 - mix * 1e-11)))
-    shape = pairs.groupBy("grid", "group").agg(F.countDistinct("gt").alias("n"), F.countDistinct("pred").alias("m"))
-    pairs = materialise(pairs.join(shape, ["grid", "group"]))
-    w = W.partitionBy("grid", "group").orderBy(F.desc("weight"), "gt", "pred")
-    single = pairs.where("n = 1 or m = 1").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("grid", "gt", "pred", "iou")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(pdf: pd.DataFrame) -> list[int]:
         rows, gts = pd.factorize(pdf["gt"], sort=True)
         cols, preds = pd.factorize(pdf["pred"], sort=True)
-        found = best_pairs(list(zip(rows.tolist(), cols.tolist(), pdf["weight"].tolist())), len(gts), len(preds))
-        iou = dict(zip(zip(rows.tolist(), cols.tolist()), pdf["iou"]))
-        return pd.DataFrame([(pdf["grid"].iloc[0], gts[i], preds[j], iou[i, j]) for i, j, _ in found], columns=["grid", "gt", "pred", "iou"])
+        # whole numbers of three digits, the base being above any sum of the lower ones
+        most = max(map(int, preds)) + 1
+        steps, total = MIX * len(gts), most * len(gts)
+        weight = []
+        for i, p, iou in zip(map(int, pdf["gt"]), map(int, pdf["pred"]), pdf["iou"]):
+            weight.append((round(iou * 10**12) * total - p) * steps - (i * MIX_GT + p * MIX_PRED) % MIX)
+        at = {(i, j): k for k, (i, j) in enumerate(zip(rows.tolist(), cols.tolist()))}
+        found = best_pairs([(i, j, w) for (i, j), w in zip(at, weight) if w > 0], len(gts), len(preds))
+        return [at[i, j] for i, j, _ in found]
 
-    some = pairs.where("n > 1 and m > 1").groupBy("grid", "group").applyInPandas(solve, "grid long, gt long, pred long, iou double")
-    return single.unionByName(some).where(F.col("iou") >= least_iou)
+    mix = F.pmod(F.col("gt") * MIX_GT + F.col("pred") * MIX_PRED, F.lit(MIX))
+    return _by_group(pairs, solve, F.col("pred"), mix, F.col("gt")).where(F.col("iou") >= least_iou)
 
 
 def match_greedy(pairs: DataFrame, above_iou: float = 0.3) -> DataFrame:
     """References in the order of their best IoU each take their best prediction that is free, strictly above ``above_iou``.
 
-    In each round every group settles its first remaining reference; groups are independent, so all advance at once.
+    Equal references go by their numbers, and so do equal predictions. A choice only bears on its own connected group, so groups are settled in tasks, each in
+    one pass over its references.
     """
-    left = materialise(pairs.where(F.col("iou") > above_iou).select("grid", "gt", "pred", "iou"))
-    top = materialise(left.groupBy("grid", "gt").agg(F.max("iou").alias("top")))
-    out = None
-    while True:  # each round settles the first reference that is left, at least
-        # a reference may choose when no earlier reference still wants the same prediction
-        rank = left.join(top, ["grid", "gt"])
-        first = rank.withColumn("rn", F.row_number().over(W.partitionBy("grid", "gt").orderBy(F.desc("iou"), "pred")))
-        ahead = rank.withColumn("turn", F.row_number().over(W.partitionBy("grid", "pred").orderBy(F.desc("top"), "gt"))).select("grid", "gt", "pred", "turn")
-        sure = first.where("rn = 1").join(ahead, ["grid", "gt", "pred"]).where("turn = 1")
-        got = materialise(sure.select("grid", "gt", "pred", "iou"))
-        out = got if out is None else out.unionByName(got)
-        left = materialise(left.join(got.select("grid", "gt"), ["grid", "gt"], "left_anti").join(got.select("grid", "pred"), ["grid", "pred"], "left_anti"))
-        if left.limit(1).count() == 0:
-            return out.select("grid", "gt", "pred", "iou")
+
+    def solve(pdf: pd.DataFrame) -> list[int]:
+        wants: dict[int, list[tuple[float, int, int]]] = {}
+        for k, (i, p, iou) in enumerate(zip(pdf["gt"], pdf["pred"], pdf["iou"])):
+            wants.setdefault(i, []).append((-iou, p, k))
+        for w in wants.values():
+            w.sort()
+        used, out = set(), []
+        for i in sorted(wants, key=lambda i: (wants[i][0][0], i)):
+            free = next(((p, k) for _, p, k in wants[i] if p not in used), None)
+            if free:
+                used.add(free[0])
+                out.append(free[1])
+        return out
+
+    return _by_group(pairs.where(F.col("iou") > above_iou), solve, F.col("gt"), F.col("pred"))
 
 
 def ambiguous(pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:

@@ -242,3 +242,62 @@ def test_size_skip_rules(spark):
     counts = spark.createDataFrame([("a", "s", 50, 50), ("b", "s", 2, 30), ("b", "m", 50, 50), ("c", "s", 100, 60), ("c", "m", 40, 40), ("d", "s", 100, 60), ("d", "m", 40, 40)], "sza_bin string, size_bin string, c long, target long")
     nulls = spark.createDataFrame([("a", 0), ("b", 0), ("c", 200), ("d", 150)], "sza_bin string, nulls long")
     assert {r.sza_bin: r.skipped_reason for r in sampling.size_skip_rules(counts, nulls, 1.5, 3, "abcde").collect()} == {"a": "one_bin", "b": "few", "c": "ratio", "d": "", "e": "one_bin"}
+
+
+def test_components_in_tasks_and_in_rounds(spark):
+    """Grids that fit a task and larger ones give the same roots, whatever the bound."""
+    rng = random.Random(5)
+    edges = [(f"g{g}", rng.randrange(60), rng.randrange(60)) for g in range(12) for _ in range(rng.choice([0, 5, 40, 200]))]
+    edges += edges[:20]
+    nodes = [(f"g{g}", n) for g in range(12) for n in range(60)]
+    want = {k: k[1] for k in nodes}
+    for _ in range(60):
+        for g, a, b in edges:
+            want[g, a] = want[g, b] = min(want[g, a], want[g, b])
+    e = spark.createDataFrame(edges + [(None, 1, 2)], "grid string, a long, b long")
+    n = spark.createDataFrame(nodes, "grid string, node long")
+    for small in (1000, 41, 0):
+        assert {(r.grid, r.node): r.root for r in connected(n, e, small).collect()} == want
+    assert connected(n.limit(0), e.limit(0)).collect() == []
+
+
+def test_chunks_of_whole_grids(spark, monkeypatch):
+    """A task that joins a few edges at once gives the roots of one that joins all."""
+    from chipmeter.operators import graph
+
+    rows = [(g, i, i + 1) for g in range(40) for i in range(g)]
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        e = spark.createDataFrame(rows, "grid long, a long, b long")
+        got = connected(e.select("grid", "b").withColumnRenamed("b", "node"), e).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and all(r.root == 0 for r in got)
+
+
+def test_equal_totals_are_told_apart_exactly(spark):
+    """Totals come first even where differences are tiny and many; then the smaller predictions."""
+    tiny = 4e-10
+    chain = []
+    for k in range(200):  # each reference gains a little by the higher of two predictions; the sum of predictions says otherwise
+        chain += [(0, k, k, 0.5), (0, k, k + 1, 0.5 + tiny)]
+    got = {r.gt: r.pred for r in objects.match_optimal(pairs(spark, chain)).collect()}
+    assert got == {k: k + 1 for k in range(200)}
+    even = [(0, i, j, 0.5) for i in range(3) for j in range(5)]
+    assert {r.pred for r in objects.match_optimal(pairs(spark, even)).collect()} == {0, 1, 2}
+
+
+def test_greedy_chain_in_one_pass(spark):
+    """A chain in which every reference waits for the one before."""
+    n = 3000
+    rows = [(0, k, k, 0.9 - k / (4 * n)) for k in range(n)] + [(0, k + 1, k, 0.95 - k / (4 * n)) for k in range(n - 1)]
+    top, used, want = {}, set(), set()
+    for _, i, p, v in rows:
+        top.setdefault(i, []).append((-v, p))
+    for i in sorted(top, key=lambda i: (min(top[i])[0], i)):
+        free = [(v, p) for v, p in sorted(top[i]) if p not in used]
+        if free:
+            used.add(free[0][1])
+            want.add((i, free[0][1]))
+    assert {(r.gt, r.pred) for r in objects.match_greedy(pairs(spark, rows)).collect()} == want
