@@ -371,10 +371,11 @@ TWO = FIRST.format(cond="cls = 1") + COMP.format(cond="p > 0.5")
 OVER = TWO + ", ov AS (SELECT a.g, a.l AS gt, b.l AS pred, count(*) AS shared FROM gtl a JOIN lab b ON a.g = b.g AND a.pos = b.pos GROUP BY ALL), ga AS (SELECT g, l AS gt, count(*) AS gt_px FROM gtl GROUP BY ALL), pa AS (SELECT g, l AS pred, count(*) AS pred_px FROM lab GROUP BY ALL), iou AS (SELECT g AS grid, gt, pred, shared, gt_px, pred_px, CAST(shared AS DOUBLE) / (gt_px + pred_px - shared) AS iou FROM ov JOIN ga USING (g, gt) JOIN pa USING (g, pred))"
 
 
-#: The best one-to-one pairs of each grid in SQL: the best total for every set of predictions that the references so far may take.
+#: The best one-to-one pairs of each grid in SQL: the best total for every set of predictions that the references so far may take. A total is
+#: a whole number: IoU to 1e-12, then the sum of predictions, then that of the mixes, each below 10 ** 9 here.
 BEST = OVER + """, rf AS (SELECT grid, gt, row_number() OVER (PARTITION BY grid ORDER BY gt) AS rn FROM iou GROUP BY grid, gt),
- op AS (SELECT rf.grid, rn, gt, CAST(pred AS BIGINT) AS pred, iou, iou - pred % 1048576 / CAST(1048576 AS DOUBLE) * CAST(1e-9 AS DOUBLE) - (gt * 7919 + pred * 104729) % 1000003 / CAST(1000003 AS DOUBLE) * CAST(1e-11 AS DOUBLE) AS w FROM rf JOIN iou USING (grid, gt) UNION ALL SELECT grid, rn, gt, NULL, 0, 0 FROM rf),
- mt(grid, k, used, total, picks) AS (SELECT DISTINCT grid, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS DOUBLE), CAST([] AS STRUCT(gt BIGINT, pred BIGINT, iou DOUBLE)[]) FROM rf
+ op AS (SELECT rf.grid, rn, gt, CAST(pred AS BIGINT) AS pred, iou, CAST(round(iou * 1e12) AS HUGEINT) * CAST(1000000000000000000 AS HUGEINT) - CAST(pred AS HUGEINT) * 1000000000 - (gt * 7919 + pred * 104729) % 1000003 AS w FROM rf JOIN iou USING (grid, gt) UNION ALL SELECT grid, rn, gt, NULL, 0, CAST(0 AS HUGEINT) FROM rf),
+ mt(grid, k, used, total, picks) AS (SELECT DISTINCT grid, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS HUGEINT), CAST([] AS STRUCT(gt BIGINT, pred BIGINT, iou DOUBLE)[]) FROM rf
  UNION ALL SELECT grid, k, used, max(total), arg_max(picks, total) FROM (SELECT mt.grid, mt.k + 1 AS k, CASE WHEN pred IS NULL THEN used ELSE list_sort(list_append(used, pred)) END AS used, total + w AS total, CASE WHEN pred IS NULL THEN picks ELSE list_append(picks, {'gt': CAST(op.gt AS BIGINT), 'pred': pred, 'iou': iou}) END AS picks FROM mt JOIN op ON op.grid = mt.grid AND op.rn = mt.k + 1 WHERE pred IS NULL OR NOT list_contains(used, pred)) GROUP BY grid, k, used),
  fin AS (SELECT mt.grid, arg_max(picks, total) AS picks FROM mt JOIN (SELECT grid, max(rn) AS n FROM rf GROUP BY grid) z ON z.grid = mt.grid AND z.n = mt.k GROUP BY mt.grid),
  best AS (SELECT * FROM (SELECT grid, unnest(picks, recursive := true) FROM fin) WHERE iou >= 0.3)"""
