@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from chipmeter.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from chipmeter.llm import exact_dedup, near_copies
 from chipmeter.llm.common import materialise
 
 from .test_rows import check_rows, repeated_ids
@@ -64,3 +66,19 @@ def test_stage_takes_similarity_not_fingerprints(spark):
 
 def test_stage_with_null_and_repeated_ids(spark):
     check_rows(corpus_pipeline.drop_near_copies(spark, repeated_ids(spark), None))
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """With three names for all texts the components are those of brute force."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(24):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:-2])), (3 * k + 2, " ".join(words) if k % 2 else None)]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"))
+    monkeypatch.setattr(near_copies, "text_name", lambda text: F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(3)))
+    got = {}
+    for r in near_copies.named(docs).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    want = [{3 * k, 3 * k + 1} | ({3 * k + 2} if k % 2 else set()) for k in range(24)] + [{3 * k + 2 for k in range(0, 24, 2)}]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
