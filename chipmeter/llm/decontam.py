@@ -2,7 +2,8 @@
 
 Words are maximal runs of digits, letters a-z (after lower-casing A-Z) and characters above 0x7F. An item's windows
 are its runs of ``n`` words; an item with fewer words, but not none, is one window. A word of a document is hit if it lies
-in any occurrence of any window. Null texts have no words.
+in any occurrence of any window. Null texts have no words. Every row is judged by its own text alone, so repeated rows get the
+same result each and there are no ties. Without documents the result is empty, without benchmark items nothing is hit.
 """
 
 from __future__ import annotations

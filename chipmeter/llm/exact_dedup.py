@@ -2,6 +2,7 @@
 
 Texts are equal when they are identical after deleting ASCII white space. Of equal texts the row with the most
 code points stays, then the one with the smallest doc_id (null ids last). A null text counts as empty.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

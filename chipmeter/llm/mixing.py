@@ -4,7 +4,7 @@ A leaf is a (domain, language, source); nulls count as the empty name. The token
 node gets more than its leaves hold in ``max_epochs`` passes. What a node cannot use goes to its siblings by their
 weights; only when a whole family is full does its parent hand the rest to the parent's siblings. Each leaf then
 takes whole passes over its documents and, in one last pass, documents in the order of a seeded hash as long as
-the running sum of their tokens stays within the rest. Documents without tokens are never taken.
+the running sum of their tokens stays within the rest. Documents without tokens are never taken; an empty table gives an empty mix.
 Shares are rounded down, so a mix is at most one token per node short.
 """
 

@@ -3,6 +3,7 @@
 Every version of a text is named by the sha256 of its content (null counts as empty). A blob is scanned once for each
 rule and rule version: pairs that the ledger has are skipped, and findings are joined back to all paths that hold the blob.
 Spans are code points, end exclusive. Matches are leftmost and do not overlap within a rule.
+Repeated texts are one blob, and each of their paths gets its findings; an empty table adds nothing to the ledger.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 A fingerprint has 64 bits: a bit is 1 if more than half of the XXH64 hashes (seed 42) of the text's 3-word shingles
 have it set; repeats count. A text without words has fingerprint zero. Fingerprints link at ``radius`` or fewer
-differing bits, and documents of linked fingerprints form one component, named by its smallest doc_id.
+differing bits, and documents of linked fingerprints form one component, named by its smallest doc_id. Repeated
+rows are rows of their own with equal fingerprints, so they are linked; an empty table gives an empty result.
 
 Search works on distinct fingerprints. Bits are dealt into a number of groups so that correlated bits share a group. If
 the groups' thresholds sum to ``radius - groups + 1``, two fingerprints within ``radius`` are within the threshold of

@@ -22,7 +22,7 @@ joined by key with the texts' words, which gives the same sums.
 The score is a logistic function of the ratio per word and of the words' excess over a mark, summed and divided by the root of
 their number, as a few toxic words in a long text leave its mean alone. Mark and weights come from a bounded sample of one in
 five labelled texts, which are scored by counts without them; the counts that score afterwards are of all.
-Texts are scored whole. Null and empty texts have no evidence. Rows that share an id or a text get the same score each;
+Texts are scored whole. Null and empty texts have no evidence, an empty table gives no scores. Rows that share an id or a text get the same score each;
 a label counts once for each distinct text. Without labels of both classes the score is the share of label 1, and 0 if there are none.
 """
 
