@@ -1,16 +1,17 @@
 """Operator 8 by true similarity, as the pipeline takes it: texts link if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints can't find these: of pairs at 0.8 or more, 7 % lie within 3 of 64 bits and 16 bits are needed for 99.8 % (README), and at
-16 bits the pigeonhole parts let about one pair in a hundred of all texts through. So pairs are proposed by MinHash bands,
-and each is then checked on the whole shingle sets. Two texts at the threshold share a band with probability
-1 - (1 - 0.8 ** ROWS) ** BANDS, that is 0.9994.
+Fingerprints of the shingle sets meet by operator 8's pigeonhole search at ``RADIUS`` bits, 3 groups of 21 or 22 bits at thresholds
+of 2, and what they gather is checked on the whole shingle sets. No pair of similar texts within the radius is lost. A wider
+search would be quadratic: pairs at the threshold lie up to 18 bits apart (README), and at 16 bits the parts let about one pair in
+a hundred of all texts through. So pairs beyond the radius are proposed by MinHash bands beside the fingerprints, and
+checked in the same way. Two texts at the threshold share a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, that is 0.9994.
 
 Words are those of the fingerprints: A-Z in lower case, split at ASCII white space. A text of fewer than five words is one
 shingle, and texts without words are copies of each other. Nodes are distinct texts by two 64-bit hashes.
 
-A bucket's members meet the one that shares buckets with most texts, then another where that left them apart. What is still
-apart goes through an exact filter on rare shingles and on what is left behind them, so members of a bucket that are no
-copies of each other don't meet in pairs: see :func:`_candidates`.
+Gathered fingerprints and bands are buckets. A bucket's members meet the one that shares buckets with most texts, then
+another where that left them apart. What is still apart goes through an exact filter on rare shingles and on what is left
+behind them, so members of a bucket that are no copies of each other don't meet in pairs: see :func:`_candidates`.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, materialise, text_or_empty
+from .simhash import fingerprint_of_set, gatherings
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 40, 8, 42
+#: Fingerprints meet at so many bits, in so many groups.
+RADIUS, PARTS = 8, (3,)
 _SALTS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 
 
@@ -55,15 +59,16 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """node, n (distinct shingles) and keys (one for each band) of rows (node, text)."""
+    """node, n (distinct shingles), fp (their fingerprint) and keys (one for each band) of rows (node, text)."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             keys = [band_keys(s).tolist() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
+            n, fps = (pa.array([f(s) for s in sets], pa.int64()) for f in (len, fingerprint_of_set))
+            yield pa.RecordBatch.from_arrays([b.column(0), n, fps, pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "fp", "keys"])
 
-    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, n long, keys array<long>")
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, n long, fp long, keys array<long>")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -87,7 +92,9 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between nodes of ``texts`` (node, text; one row a node) that connect the same components as all pairs do."""
     sig = materialise(signatures(texts))
-    filed = sig.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    close_fps = gatherings(materialise(sig.select("fp").distinct()), RADIUS, PARTS)
+    by_fp = sig.select("node", "n", "fp").join(close_fps, "fp").select("node", "n", (F.col("part") + (BANDS + 1)).alias("band"), "key")
+    filed = sig.select("node", "n", F.posexplode("keys").alias("band", "key")).unionByName(by_fp)
     shared = materialise(filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     filed = materialise(filed.join(shared, ["band", "key"]))
     known = filed.groupBy("node").agg(F.sum("m").alias("known"))

@@ -10,13 +10,15 @@ the groups' thresholds sum to ``radius - groups + 1``, two fingerprints within `
 one group at least (-1: group not used). A dynamic programme picks the thresholds with the least estimated cost, of keys and
 candidates, for each number of groups in ``parts``, and the cheapest number is used: 4 groups of 16 bits at thresholds of 0
 while fingerprints are few, up to 2 groups of 32 bits at thresholds of 1 when they are many.
-Each fingerprint is filed under every value of a group that its threshold allows; members of a bin are verified.
+Each fingerprint is filed under every value of a group within half its threshold, rounded up, so two within the threshold
+share one; members of a bin are verified.
 Bins above ``bin_cap`` members take another exact way whose work is linear in the members: see :func:`_meet`.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import near_copies
 from .common import components, materialise, one_per_component, text_or_empty
 
 SHINGLE, RADIUS, PARTS, BIN_CAP, SEED = 3, 3, (4, 3, 2), 4096, 42
 #: A key of a fingerprint costs as much as so many candidates.
 PROBE = 8.0
+#: Bins of so many members are first looked through together.
+SMALL_BIN = 64
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -47,10 +50,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         n = len(words) - shingle + 1
     ones = np.zeros(64, np.int64)
     while len(h := np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in itertools.islice(grams, 65536)), np.uint64)):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(h)
+    return _majority(ones, n)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of_set(h: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of distinct shingles, from their hashes; zero for none."""
+    return _majority(sum((_ones(h[k : k + 65536]) for k in range(0, len(h), 65536)), np.zeros(64, np.int64)), len(h))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long) and text_hash of every row, whole texts; null texts count as empty."""
 
@@ -107,9 +124,14 @@ def _masks(width: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(width), k)], np.int64)
 
 
+def _half(tau: int) -> int:
+    """Two values within ``tau`` bits have one between them that is within so many of both; -1 stays."""
+    return -(-tau // 2) if tau > 0 else tau
+
+
 def signatures(fps: DataFrame, groups: list[list[int]], taus: list[int]) -> DataFrame:
-    """fp filed under (part, key) for every key within the part's threshold of its value."""
-    masks = [_masks(len(g), t) for g, t in zip(groups, taus)]
+    """fp filed under (part, key) for every key within half the part's threshold of its value: fps within the threshold share a key."""
+    masks = [_masks(len(g), _half(t)) for g, t in zip(groups, taus)]
 
     def run(batches):
         for b in batches:
@@ -126,19 +148,20 @@ def thresholds(fps: DataFrame, groups: list[list[int]], radius: int = RADIUS) ->
     """Thresholds of -1 or more that sum to radius - parts + 1 and cost least, and their cost.
 
     A group's candidates at threshold t are estimated from the counts of its values, over all fingerprints: pairs with
-    equal values at 0, and at each step more as many times as there are masks. Each mask also costs a key for
-    every fingerprint. The programme goes over groups and sums.
+    equal values at 0, and at each step more as many times as there are masks. Each mask of half the threshold also costs a
+    key for every fingerprint. The programme goes over groups and sums.
     """
     counts = signatures(fps, groups, [0] * len(groups)).groupBy("part", "key").count()
     sums = counts.groupBy("part").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()
-    pairs = {r.part: PROBE * r.n + r.pairs - r.n for r in sums}
+    rows, pairs = {r.part: r.n for r in sums}, {r.part: r.pairs - r.n for r in sums}
+    masks = lambda g, t: sum(math.comb(len(g), k) for k in range(t + 1))
     want = radius - len(groups) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i, g in enumerate(groups):
         step: dict[int, tuple[float, list[int]]] = {}
         for have, (cost, taus) in best.items():
             for t in range(-1, radius + 1):
-                c = cost + (pairs.get(i, 0.0) * len(_masks(len(g), t)) if t >= 0 else 0.0)
+                c = cost + PROBE * rows.get(i, 0) * masks(g, _half(t)) + pairs.get(i, 0.0) * masks(g, t)
                 if have + t not in step or c < step[have + t][0]:
                     step[have + t] = (c, [*taus, t])
         best = step
@@ -171,8 +194,8 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.uint64).view(np.int64), np.array(root, np.uint64).view(np.int64)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that connect the same components as all links do."""
+def _bins(fps: DataFrame, radius: int, parts: tuple[int, ...], bin_cap: int) -> tuple[DataFrame, DataFrame | None, list[list[int]], list[int]]:
+    """Edges (a, b) that connect what links within each bin, the rows (part, key, fp) of bins above the cap, bit groups, thresholds."""
     groups, taus = plan(fps, radius, parts)
     sig = signatures(fps, groups, taus)
     large = materialise(sig.groupBy("part", "key").count().where(F.col("count") > bin_cap))
@@ -185,14 +208,29 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS,
             two = start[:-1][off == 2]
             x, y = flat[two], flat[two + 1]
             near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
-            out = [(x[near], y[near])] + [_forest(flat[start[k] : start[k + 1]], radius) for k in np.flatnonzero(off > 2)]
+            out = [(x[near], y[near])]
+            for n in np.unique(off[off > 2]):
+                at = start[:-1][off == n]
+                if n <= SMALL_BIN:  # most of these hold no two that are near
+                    fp = flat[at[:, None] + np.arange(n)].view(np.uint64)
+                    some = np.zeros(len(at), bool)
+                    for k in range(1, n):
+                        some |= (np.bitwise_count(fp[:, k:] ^ fp[:, :-k]) <= radius).any(axis=1)
+                    at = at[some]
+                out += [_forest(flat[k : k + n], radius) for k in at]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in (0, 1)], ["a", "b"])
 
     small = sig.join(large.select("part", "key"), ["part", "key"], "left_anti")
     bins = small.groupBy("part", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     out = bins.select("fps").mapInArrow(verify, "a long, b long")
-    if large.limit(1).count():
-        hot = materialise(sig.join(large.select("part", "key"), ["part", "key"], "left_semi"))
+    hot = materialise(sig.join(large.select("part", "key"), ["part", "key"], "left_semi")) if large.limit(1).count() else None
+    return out, hot, groups, taus
+
+
+def links(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS, bin_cap: int = BIN_CAP) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` that connect the same components as all links do."""
+    out, hot, groups, taus = _bins(fps, radius, parts, bin_cap)
+    if hot is not None:
         for i, t in enumerate(taus):
             if t >= 0:
                 free = [b for b in range(64) if t > 0 or b not in groups[i]]
@@ -200,6 +238,18 @@ def links(fps: DataFrame, radius: int = RADIUS, parts: tuple[int, ...] = PARTS,
     return out.distinct()
 
 
+def gatherings(fps: DataFrame, radius: int, parts: tuple[int, ...], bin_cap: int = BIN_CAP) -> DataFrame:
+    """Distinct fingerprints ``fp`` under names (part, key), so that any two within ``radius`` share a name, and each has one of its own.
+
+    Part -1 names what links within a bin by one of its members. Bins above the cap are names themselves, whole and
+    unverified: for a caller that checks what it gathers in work linear in the members.
+    """
+    out, hot, _, _ = _bins(fps, radius, parts, bin_cap)
+    near = out.distinct().select(F.lit(-1).alias("part"), F.col("b").alias("key"), F.col("a").alias("fp"))
+    named = near.unionByName(fps.select(F.lit(-1).alias("part"), F.col("fp").alias("key"), "fp"))
+    return materialise(named if hot is None else named.unionByName(hot.select("part", "key", "fp")))
+
+
 def _meet(fps: DataFrame, free: list[int], radius: int) -> DataFrame:
     """Edges among fingerprints that may differ in the bits ``free`` only; work linear in their number.
 
@@ -243,9 +293,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None, **params) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, nulls last; ties by the text's hash.
 
-    With ``similarity``, texts link not by fingerprints but by a Jaccard similarity of their shingle sets of at least
-    so much: see :mod:`.near_copies`.
+    With ``similarity``, texts link by a Jaccard similarity of their shingle sets of at least so much; fingerprints
+    and their bins propose the close ones, and whole texts decide: see :mod:`.near_copies`.
     """
+    from . import near_copies  # which takes the fingerprint search from here
+
     named = near_copies.named(docs, text, doc_id, similarity, **params) if similarity else _rooted(docs, text, doc_id, **params)
     return one_per_component(docs, named, text, doc_id)
 

@@ -31,6 +31,7 @@ def drop_exact_copies(spark, docs, sf_dir):
 def drop_near_copies(spark, docs, sf_dir):
     """Of each component of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays, null ids last.
 
+    Pairs are found by operator 8's fingerprint search and, beyond its radius, by MinHash bands; whole texts decide.
     Null texts count as empty, texts without words are copies of each other, and of repeated rows one stays.
     """
     return simhash.deduplicate(docs, similarity=0.8)

@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from chipmeter.llm import exact_dedup, near_copies
+from chipmeter.llm import exact_dedup, near_copies, simhash
 from chipmeter.llm.common import materialise
 
 from .test_rows import check_rows, repeated_ids
@@ -82,3 +83,40 @@ def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
         got.setdefault(r.root, set()).add(r.doc_id)
     want = [{3 * k, 3 * k + 1} | ({3 * k + 2} if k % 2 else set()) for k in range(24)] + [{3 * k + 2 for k in range(0, 24, 2)}]
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def test_stage_finds_copies_by_fingerprints_without_bands(spark, monkeypatch):
+    """Every pair of similar texts within the radius is found when no two texts share a band; bins above the cap count too."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:-1])), (3 * k + 2, " ".join([*words, "x", "y"]))]
+    fps = [simhash.fingerprint_of_set(near_copies.shingles(t.encode())) for _, t in rows]
+    near = [(i, j) for i, j in brute([t for _, t in rows]) if bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") <= near_copies.RADIUS]
+    assert len(near) > 80
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"))
+    plain = near_copies.signatures
+    monkeypatch.setattr(near_copies, "signatures", lambda texts: plain(texts).withColumn("keys", F.array("node")))
+    for cap in (simhash.BIN_CAP, 2):
+        monkeypatch.setattr(simhash.gatherings, "__defaults__", (cap,))
+        root = {r.doc_id: r.root for r in near_copies.named(docs).collect()}
+        assert all(root[rows[i][0]] == root[rows[j][0]] for i, j in near)
+        assert all(len({r for d, r in root.items() if d // 3 == k} & {r for d, r in root.items() if d // 3 != k}) == 0 for k in range(40))
+
+
+def test_gathered_fingerprints_hold_all_pairs_within_the_radius(spark):
+    rng = np.random.default_rng(5)
+    fps = {int(b) for b in rng.integers(-(2**63), 2**63, 300)}
+    for b in sorted(fps)[:60]:
+        for _ in range(6):
+            fps.add(b ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(1, 10), replace=False)))
+    fps = sorted(fps)
+    near = [(a, b) for n, a in enumerate(fps) for b in fps[n + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 8]
+    assert len(near) > 300
+    df = materialise(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    for cap in (4096, 3):
+        names = {}
+        for r in simhash.gatherings(df, 8, (3,), cap).collect():
+            names.setdefault(r.fp, set()).add((r.part, r.key))
+        assert len(names) == len(fps) and all(names[a] & names[b] for a, b in near)
