@@ -1,7 +1,7 @@
 """Operator 8 by true similarity, as the pipeline takes it: texts link if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of the shingle sets meet by operator 8's pigeonhole search at ``RADIUS`` bits, 3 groups of 21 or 22 bits at thresholds
-of 2, and what they gather is checked on the whole shingle sets. No pair of similar texts within the radius is lost. A wider
+Fingerprints of the shingle sets meet by operator 8's pigeonhole search at ``RADIUS`` bits, 3 groups of 21 or 22 bits with thresholds
+that sum to 6, and what they gather is checked on the whole shingle sets. No pair of similar texts within the radius is lost. A wider
 search would be quadratic: pairs at the threshold lie up to 18 bits apart (README), and at 16 bits the parts let about one pair in
 a hundred of all texts through. So pairs beyond the radius are proposed by MinHash bands beside the fingerprints, and
 checked in the same way. Two texts at the threshold share a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, that is 0.9994.
