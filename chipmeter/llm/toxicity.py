@@ -16,8 +16,9 @@ pair, so copies of a text and repeats within one count once.
 A number of n or fewer texts leaves nothing after a discount of n, so the model is exactly a table of the words, stems, contexts
 and pairs with more texts than D in a class; everything else is the backoff. Nothing else is cut. Each row of the table
 has a key and what it adds to the log-likelihood ratio of a word over what its backoff says, so a text's ratio at a
-word is a constant and the sum of the rows it finds. A table of at most ``most_rows`` travels with the tasks; a larger one is
-joined by key with the texts' words, which gives the same sums.
+word is a constant and the sum of the rows it finds. A table of at most ``most_rows`` travels with the tasks; one of up to
+``TIMES_MAPPED`` times as many is a file that each executor gets once and whose pages its workers share; a still larger one is
+joined by key with the texts' words. All three give the same sums, but a join moves four rows for each word of the texts.
 
 The score is a logistic function of the ratio per word and of the words' excess over a mark, summed and divided by the root of
 their number, as a few toxic words in a long text leave its mean alone. Mark and weights come from a bounded sample of one in
@@ -28,14 +29,20 @@ a label counts once for each distinct text. Without labels of both classes the s
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,15 +54,19 @@ from .subword import fit_logistic
 DISCOUNT, STEM, PER_CLASS = 3, 4, 3000
 #: Marks to choose from, in nats.
 MARKS = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
-#: Most rows of the table that travel with tasks (12 bytes each); a larger table is joined.
-MOST_ROWS = 8_000_000
+#: Most rows of the table that travel with tasks (about 14 bytes each), and how many times as many are a mapped file; a larger table is joined.
+MOST_ROWS, TIMES_MAPPED = 8_000_000, 25
+#: Rows of the table that pass the driver at once, about.
+SLICE = 2_000_000
+#: Rows in a bucket of the table, about.
+BUCKET = 4
 #: Most labelled rows to broadcast to the texts; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
 #: Words whose numbers a task remembers before it starts afresh; bounds memory, not results.
 CACHE = 150_000
-#: Texts whose rows a task makes at once.
-AT_ONCE = 128
+#: Texts whose rows a task makes at once, and characters of those that it looks up at once.
+AT_ONCE, CHARS = 128, 400_000
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of keys; the start of a text is the context 0.
@@ -114,40 +125,143 @@ def _before(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, h.dtype), h[:-1]])
 
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values of the wanted keys, 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at].astype(np.float64), 0.0)
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about ``CHARS`` characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _bits(n: int) -> int:
+    return max(1, (n // BUCKET).bit_length())
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the buckets of sorted keys start, by their leading bits, and the end of the last one."""
+    bits = _bits(len(keys))
+    first = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) ^ np.uint64(1 << 63)
+    return np.append(np.searchsorted(keys, first.view(np.int64)), len(keys)).astype(np.int32)
+
+
+@dataclass
+class Table:
+    """Sorted keys, their values and the starts of buckets."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+
+    def found(self, wanted: np.ndarray) -> np.ndarray:
+        """Values of the wanted keys, 0 where there is none. All wanted ones step through their buckets together."""
+        out = np.zeros(len(wanted))
+        bucket = ((wanted.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - _bits(len(self.keys)))).view(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        todo = np.flatnonzero(at < end)
+        at, end, wanted = at[todo], end[todo], wanted[todo]
+        while len(todo):
+            there = self.keys[at]
+            hit = there == wanted
+            out[todo[hit]] = self.values[at[hit]]
+            at = at + 1
+            more = (there < wanted) & (at < end)
+            todo, at, end, wanted = todo[more], at[more], end[more], wanted[more]
+        return out
+
+
+@dataclass
+class Mapped:
+    """A table in a file that Spark copies to each executor; ``value`` maps it there, as a broadcast's value does."""
+
+    name: str
+    rows: int
+
+    @property
+    def value(self) -> tuple[Table]:
+        return (Table(*map(np.asarray, _sections(SparkFiles.get(self.name), self.rows, "r"))),)
+
+
+def _sections(path: str, n: int, mode: str) -> list[np.ndarray]:
+    """Keys, values and starts in one file."""
+    sizes, out, at = ((np.int64, n), (np.float32, n), (np.int32, (1 << _bits(n)) + 1)), [], 0
+    for kind, size in sizes:
+        out.append(np.memmap(path, kind, mode, offset=at, shape=(size,)))
+        at += out[-1].nbytes
+    return out
+
+
+def _gather(table: DataFrame, keys: np.ndarray, values: np.ndarray) -> None:
+    """Fill in the table's rows by key, a slice of the keys' range at a time, so the driver holds no second copy of all."""
+    slices, at = -(-len(keys) // SLICE), 0
+    bounds = [-(1 << 63) + ((1 << 64) * k // slices) for k in range(slices)]
+    for low, high in zip(bounds, [*bounds[1:], 1 << 63]):
+        rows = table.where(F.col("key").between(F.lit(low), F.lit(high - 1))).toArrow()
+        k, v = rows["key"].to_numpy(), rows["value"].to_numpy()
+        order = np.argsort(k, kind="stable")
+        keys[at : at + len(k)], values[at : at + len(k)] = k[order], v[order]
+        at += len(k)
+
+
+def at_hand(table: DataFrame, n: int) -> Broadcast:
+    keys, values = np.empty(n, np.int64), np.empty(n, np.float32)
+    _gather(table, keys, values)
+    return table.sparkSession.sparkContext.broadcast((Table(keys, values, _starts(keys)),))
+
+
+def mapped(table: DataFrame, n: int) -> Mapped:
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="toxicity-"))
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/{uuid.uuid4().hex}.table"
+    with open(path, "wb") as f:
+        f.truncate(12 * n + 4 * ((1 << _bits(n)) + 1))
+    keys, values, starts = _sections(path, n, "r+")
+    _gather(table, keys, values)
+    starts[:] = _starts(keys)
+    for part in (keys, values, starts):
+        part.flush()
+    table.sparkSession.sparkContext.addFile(path)
+    return Mapped(os.path.basename(path), n)
 
 
 class Ratios(Words):
     """Log-likelihood ratios of the words of texts, from the sorted table."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, constant: float, letters: int = STEM):
+    def __init__(self, table: Table, constant: float, letters: int = STEM):
         super().__init__(letters)
-        self.keys, self.table, self.constant, self.own = keys, values, constant, np.zeros((0, 2))
+        self.table, self.constant, self.own = table, constant, np.zeros((0, 2))
+        self.start = table.found(key(CONTEXT, np.zeros(1, np.int64)))[0]
 
     def added(self, have: int, size: int) -> None:
         if size > len(self.own):
             self.own = np.concatenate([self.own, np.zeros((len(self.rows) - len(self.own), 2))])
         h, s = self.rows[have:size].T.copy()
-        self.own[have:size, 0] = _found(self.keys, self.table, key(WORD, h)) + _found(self.keys, self.table, key(STEMS, s))
-        self.own[have:size, 1] = _found(self.keys, self.table, key(CONTEXT, h))
+        self.own[have:size, 0] = self.table.found(key(WORD, h)) + self.table.found(key(STEMS, s))
+        self.own[have:size, 1] = self.table.found(key(CONTEXT, h))
 
     def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        at = self.numbers(words)
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ratios of each text; pairs of all texts are looked up together."""
+        each = [words_of(t) for t in texts]
+        sizes = np.array([len(words) for words in each])
+        at = self.numbers(list(chain.from_iterable(each)))
         out = self.own[at, 0] + self.constant
+        ends = np.cumsum(sizes)
         if len(at):
-            h, context = self.rows[at, 0], self.own[at, 1]
-            start = _found(self.keys, self.table, key(CONTEXT, np.zeros(1, np.int64)))
-            before = np.concatenate([start, context[:-1]])
+            first = (ends - sizes)[sizes > 0]
+            h, v = self.rows[at, 0], _before(self.rows[at, 0])
+            before = np.concatenate([[0.0], self.own[at[:-1], 1]])
+            v[first], before[first] = 0, self.start
             out += before
             some = np.flatnonzero(before)  # a pair of the table has a context of the table
-            out[some] += _found(self.keys, self.table, key(PAIR, _before(h)[some], h[some]))
-        return out
+            out[some] += self.table.found(key(PAIR, v[some], h[some]))
+        return np.split(out, ends[:-1])
 
 
 def features(ratios: np.ndarray, marks: tuple[float, ...]) -> tuple[float, list[float]]:
@@ -159,11 +273,11 @@ def features(ratios: np.ndarray, marks: tuple[float, ...]) -> tuple[float, list[
 
 @dataclass
 class Model:
-    """The table (key, value), the ratio where nothing is found, and the table's sorted arrays if they travel with tasks."""
+    """The table (key, value), the ratio where nothing is found, and the table's sorted arrays if tasks have them at hand or map them."""
 
     table: DataFrame
     constant: float
-    near: Broadcast | None
+    near: Broadcast | Mapped | None
     letters: int = STEM
 
 
@@ -265,7 +379,7 @@ def _ratio(p: dict[str, Column]) -> Column:
     return F.log(p["1"]) - F.log(p["0"])
 
 
-def model(words: DataFrame, pairs: DataFrame, discount: int = DISCOUNT, letters: int = STEM, most_rows: int = MOST_ROWS) -> Model | None:
+def model(words: DataFrame, pairs: DataFrame, discount: int = DISCOUNT, letters: int = STEM, most_rows: int = MOST_ROWS, times_mapped: int = TIMES_MAPPED) -> Model | None:
     """The model from words (word, stem, n1, n0, f1, f0) and pairs (v, w, n1, n0)."""
     d = float(discount)
     more = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
@@ -304,12 +418,11 @@ def model(words: DataFrame, pairs: DataFrame, discount: int = DISCOUNT, letters:
     for p in parts[1:]:
         table = table.unionByName(p)
     table = materialise(table.select("key", F.col("value").cast("float").alias("value")).where("value <> 0"))  # the same numbers on both ways
-    near = None
-    if table.count() <= most_rows:
-        rows = table.toArrow()
-        keys, values = rows["key"].to_numpy(), rows["value"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        near = table.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    n, near = table.count(), None
+    if n <= most_rows:
+        near = at_hand(table, n)
+    elif n <= most_rows * times_mapped:
+        near = mapped(table, n)
     return Model(table, constant, near, letters)
 
 
@@ -323,7 +436,7 @@ def evidence(rows: DataFrame, model: Model, marks: tuple[float, ...] = MARKS) ->
     def run(batches):
         ratios = Ratios(*near.value, constant, letters)
         for b in _pieces(batches):
-            made = [features(ratios.of(t), marks) for t in b.column("text").to_pylist()]
+            made = [features(r, marks) for some in _groups(b.column("text").to_pylist()) for r in ratios.of_all(some)]
             cols = zip(*made) if made else ((), ())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], *[pa.array(c, k) for c, k in zip(cols, kinds)]], [*others, *names])
 
@@ -388,7 +501,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
         often = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow()["word"].to_numpy()))
     pairs = pair_counts(rows, often, discount)
     kept = lambda df, keys, cols: df.select(*keys, *[F.col(f"k{c}").alias(c) for c in cols])
-    trial = model(kept(words, ["word", "stem"], ["n1", "n0", "f1", "f0"]), kept(pairs, ["v", "w"], ["n1", "n0"]), discount, most_rows=most_rows)
+    # few texts are scored on trial, so a large table is joined with them instead of copied
+    trial = model(kept(words, ["word", "stem"], ["n1", "n0", "f1", "f0"]), kept(pairs, ["v", "w"], ["n1", "n0"]), discount, most_rows=most_rows, times_mapped=0)
     if trial is None:
         return out
     check = evidence(bounded_sample(rows.where("aside"), "y", F.col("_id"), per_class).select("_id", "y", "text"), trial).toPandas().sort_values(["_id", "whole"])

@@ -79,3 +79,28 @@ def test_table_joined_or_at_hand(spark):
     assert [k for k, _ in a] == [k for k, _ in b] and len(a) == d.count()
     assert [s for _, s in a] == pytest.approx([s for _, s in b], abs=1e-12)
     assert len({round(s, 6) for _, s in a}) > 2
+
+
+def test_large_table_is_mapped_and_not_joined(spark, monkeypatch):
+    """A table above the bound for broadcasts used to be joined with four rows for each word of all texts, beyond the disk limit at 6 GB."""
+    d, labels = classifier_rows(spark)
+    d = d.unionByName(spark.createDataFrame([(1000, "zzz unseen ### greenish"), (1001, None), (1002, "")], "doc_id long, text string"), allowMissingColumns=True)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    monkeypatch.setattr(toxicity, "CHARS", 100)
+    near = toxicity.fit(d, labels)
+    n = near.model.table.count()
+    file, far = toxicity.fit(d, labels, most_rows=n - 1), toxicity.fit(d, labels, most_rows=0)
+    assert isinstance(file.model.near, toxicity.Mapped) and not far.model.near
+    order = lambda t: [r.score for r in toxicity.scores(d, t).orderBy("doc_id").collect()]
+    a, b, c = order(near), order(file), order(far)
+    assert a == b and a == pytest.approx(c, abs=1e-12) and len({round(s, 6) for s in a}) > 2
+
+
+def test_lookups_match_a_dictionary():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, n), np.array([-(2**63), 2**63 - 1, 0, -1, 1, 2, 3, 4, 5, 6, 7][: n and 11], np.int64)]))
+        table = toxicity.Table(keys, rng.random(len(keys)).astype(np.float32), toxicity._starts(keys))
+        wanted = np.concatenate([keys, keys[:-1] + 1, rng.integers(-(2**63), 2**63 - 1, 500)])
+        of = dict(zip(keys.tolist(), table.values.tolist()))
+        assert table.found(wanted).tolist() == [of.get(k, 0.0) for k in wanted.tolist()]
