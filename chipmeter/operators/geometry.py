@@ -37,7 +37,8 @@ def to_pixel(x: Column, y: Column, x0: Column, y0: Column, cell: float) -> tuple
 def rasterise(rings: DataFrame, height: int, width: int) -> DataFrame:
     """rings (grid, ring) to the cells (grid, row, col) whose centres lie inside one of them, by the even-odd rule.
 
-    Edges meet the row centres that they span; crossings of a row are ordered by a window and filled in pairs.
+    Edges meet the row centres that they span; crossings of a row are ordered by a window and filled in pairs. What rings share is cut from
+    the later spans of a row before spans become cells, so each cell comes once and only spans move.
     """
     one = rings.where(F.col("ring").isNotNull()).withColumn("id", F.xxhash64("grid", "ring")).dropDuplicates(["grid", "id"])
     turned = F.concat(F.slice("ring", 2, 1 << 20), F.slice("ring", 1, 1))
@@ -49,17 +50,28 @@ def rasterise(rings: DataFrame, height: int, width: int) -> DataFrame:
     w = W.partitionBy("grid", "id", "row").orderBy("x")
     c = e.withColumn("x", x).withColumns({"k": F.row_number().over(w), "x1": F.lead("x").over(w)}).where("k % 2 = 1 and x1 is not null")
     c0, c1 = F.greatest(F.ceil(F.col("x") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("x1") - 0.5) - 1, F.lit(width - 1)).cast("int")
-    c = c.withColumns({"c0": c0, "c1": c1}).where("c0 <= c1")
-    return c.select("grid", "row", F.explode(F.sequence("c0", "c1")).alias("col")).distinct()
+    c = c.withColumns({"c0": c0, "c1": c1}).where("c0 <= c1").select("grid", "row", "c0", "c1")
+    earlier = W.partitionBy("grid", "row").orderBy("c0", "c1").rowsBetween(W.unboundedPreceding, -1)
+    c = c.withColumn("c0", F.greatest("c0", F.max("c1").over(earlier) + 1)).where("c0 <= c1")
+    return c.select("grid", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 def boundary(cells: DataFrame) -> DataFrame:
-    """Unit edges of a mask with the outside on their other side: grid, row, col and side (N, S, W, E)."""
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for s, r, c in (("N", -1, 0), ("S", 1, 0), ("W", 0, -1), ("E", 0, 1))])
-    e = cells.select("grid", "row", "col", F.explode(sides).alias("s"))
-    e = e.select("grid", "row", "col", "s.side", (F.col("row") + F.col("s.dr")).alias("r2"), (F.col("col") + F.col("s.dc")).alias("c2"))
-    inside = cells.select("grid", F.col("row").alias("r2"), F.col("col").alias("c2"))
-    return e.join(inside, ["grid", "r2", "c2"], "left_anti").select("grid", "row", "col", "side")
+    """Unit edges of a mask with the outside on their other side: grid, row, col and side (N, S, W, E).
+
+    Neighbours are found by windows along rows and along columns. A join would do as well, but Spark takes cells that come from a few
+    rings for a small table and would send them all to the driver.
+    """
+    out = cells.select("grid", "row", "col").withColumns(_free("row", "col", "W", "E"))
+    out = out.withColumns(_free("col", "row", "N", "S"))
+    sides = F.array_compact(F.array(*[F.when(F.col(s), F.lit(s)) for s in ("N", "S", "W", "E")]))
+    return out.where("N or S or W or E").select("grid", "row", "col", F.explode(sides).alias("side"))
+
+
+def _free(line: str, at: str, before: str, after: str) -> dict[str, Column]:
+    """Whether a cell's places before and after it on a line are outside."""
+    w = W.partitionBy("grid", line).orderBy(at)
+    return {before: F.coalesce(F.lag(at).over(w) < F.col(at) - 1, F.lit(True)), after: F.coalesce(F.lead(at).over(w) > F.col(at) + 1, F.lit(True))}
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:

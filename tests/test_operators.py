@@ -301,3 +301,23 @@ def test_greedy_chain_in_one_pass(spark):
             used.add(free[0][1])
             want.add((i, free[0][1]))
     assert {(r.gt, r.pred) for r in objects.match_greedy(pairs(spark, rows)).collect()} == want
+
+
+def test_rings_that_share_cells_and_boundary_of_gaps(spark):
+    rows = [(1, [(0, 0), (5, 0), (5, 2), (0, 2)]), (1, [(3, 0), (9, 0), (9, 1), (3, 1)]), (1, [(1, 0), (2, 0), (2, 1), (1, 1)]), (1, [(0, 0), (5, 0), (5, 2), (0, 2)]), (2, [(4, 4), (6, 4), (6, 6), (4, 6)])]
+    rings = spark.createDataFrame([(g, [(float(x), float(y)) for x, y in r]) for g, r in rows], "grid long, ring array<struct<x:double,y:double>>")
+    cells = [tuple(r) for r in geometry.rasterise(rings, 8, 8).collect()]
+    assert len(cells) == len(set(cells)) and set(cells) == {(1, 0, c) for c in range(8)} | {(1, 1, c) for c in range(5)} | {(2, r, c) for r in (4, 5) for c in (4, 5)}
+    mask = {(g, r, c) for g, r, c in [(1, 0, 0), (1, 0, 1), (1, 0, 3), (1, 1, 1), (1, 3, 1), (1, 3, 2), (2, 0, 2), (2, 1, 2), (2, -1, 2)]}
+    got = [tuple(r) for r in geometry.boundary(spark.createDataFrame(sorted(mask), "grid long, row int, col int")).collect()]
+    near = {"N": (-1, 0), "S": (1, 0), "W": (0, -1), "E": (0, 1)}
+    assert sorted(got) == sorted((g, r, c, s) for g, r, c in mask for s, (i, j) in near.items() if (g, r + i, c + j) not in mask)
+
+
+def test_cells_of_rings_are_not_broadcast(spark):
+    """Estimated by the file that rings come from, all their cells went to the driver as a broadcast table."""
+    from chipmeter.plans import records
+
+    for make in (records.Q["R11_object_boundary"],):
+        plan = make(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
