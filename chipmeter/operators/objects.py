@@ -55,13 +55,16 @@ def size_bin(root_length: Column) -> Column:
 
 
 def overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Shared cells and IoU of every touching pair of objects (grid, gt, pred); found by shared cells, so no pair is tried in vain."""
+    """Shared cells and IoU of every touching pair of objects (grid, gt, pred); found by shared cells, so no pair is tried in vain.
+
+    Joins are merged: Spark takes cells that come from a few rings for a small table and would send them all to the driver.
+    """
     g = gt.select("grid", "row", "col", F.col("label").alias("gt"))
     p = pred.select("grid", "row", "col", F.col("label").alias("pred"))
-    both = g.join(p, ["grid", "row", "col"]).groupBy("grid", "gt", "pred").agg(F.count(F.lit(1)).alias("shared"))
+    both = g.join(p.hint("merge"), ["grid", "row", "col"]).groupBy("grid", "gt", "pred").agg(F.count(F.lit(1)).alias("shared"))
     ga = g.groupBy("grid", "gt").agg(F.count(F.lit(1)).alias("gt_px"))
     pa = p.groupBy("grid", "pred").agg(F.count(F.lit(1)).alias("pred_px"))
-    out = both.join(ga, ["grid", "gt"]).join(pa, ["grid", "pred"])
+    out = both.join(ga.hint("merge"), ["grid", "gt"]).join(pa.hint("merge"), ["grid", "pred"])
     return out.withColumn("iou", F.col("shared") / (F.col("gt_px") + F.col("pred_px") - F.col("shared")))
 
 

@@ -316,8 +316,8 @@ def test_rings_that_share_cells_and_boundary_of_gaps(spark):
 
 def test_cells_of_rings_are_not_broadcast(spark):
     """Estimated by the file that rings come from, all their cells went to the driver as a broadcast table."""
-    from chipmeter.plans import records
+    from chipmeter.plans import extra, records
 
-    for make in (records.Q["R11_object_boundary"],):
+    for make in (records.Q["R11_object_boundary"], extra.Q["J6_ring_overlap"]):
         plan = make(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan
