@@ -35,10 +35,15 @@ def to_pixel(x: Column, y: Column, x0: Column, y0: Column, cell: float) -> tuple
 
 
 def rasterise(rings: DataFrame, height: int, width: int) -> DataFrame:
-    """rings (grid, ring) to the cells (grid, row, col) whose centres lie inside one of them, by the even-odd rule.
+    """rings (grid, ring) to the cells (grid, row, col) whose centres lie inside one of them, by the even-odd rule; each cell once."""
+    return spans(rings, height, width).select("grid", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def spans(rings: DataFrame, height: int, width: int) -> DataFrame:
+    """The cells of :func:`rasterise` as pieces of rows that share no cell: grid, row, c0, c1 (both inside).
 
     Edges meet the row centres that they span; crossings of a row are ordered by a window and filled in pairs. What rings share is cut from
-    the later spans of a row before spans become cells, so each cell comes once and only spans move.
+    the later spans of a row.
     """
     one = rings.where(F.col("ring").isNotNull()).withColumn("id", F.xxhash64("grid", "ring")).dropDuplicates(["grid", "id"])
     turned = F.concat(F.slice("ring", 2, 1 << 20), F.slice("ring", 1, 1))
@@ -52,8 +57,7 @@ def rasterise(rings: DataFrame, height: int, width: int) -> DataFrame:
     c0, c1 = F.greatest(F.ceil(F.col("x") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("x1") - 0.5) - 1, F.lit(width - 1)).cast("int")
     c = c.withColumns({"c0": c0, "c1": c1}).where("c0 <= c1").select("grid", "row", "c0", "c1")
     earlier = W.partitionBy("grid", "row").orderBy("c0", "c1").rowsBetween(W.unboundedPreceding, -1)
-    c = c.withColumn("c0", F.greatest("c0", F.max("c1").over(earlier) + 1)).where("c0 <= c1")
-    return c.select("grid", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return c.withColumn("c0", F.greatest("c0", F.max("c1").over(earlier) + 1)).where("c0 <= c1")
 
 
 def boundary(cells: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise, sized
-from .geometry import rasterise, ring_box
+from .geometry import ring_box, spans
 
 
 def _means(v: Column, parts: int) -> Column:
@@ -53,26 +53,41 @@ def ring_pairs(left: DataFrame, right: DataFrame, tile: float = 64.0) -> DataFra
         span = lambda c: F.explode(F.sequence(F.floor(F.col(f"{name}_{c}0") / tile), F.floor(F.col(f"{name}_{c}1") / tile)))
         return e.withColumn("tx", span("x")).withColumn("ty", span("y"))
 
-    both = tiled(left, "a").join(tiled(right, "b"), ["tx", "ty"])
+    both = tiled(left, "a").join(tiled(right, "b").hint("merge"), ["tx", "ty"])
     both = both.where("a_x0 < b_x1 and b_x0 < a_x1 and a_y0 < b_y1 and b_y0 < a_y1")
     own = lambda c: F.floor(F.greatest(f"a_{c}0", f"b_{c}0") / tile) == F.col(f"t{c}")
     return both.where(own("x") & own("y")).select("a", "b")
 
 
 def ring_ious(left: DataFrame, right: DataFrame, height: int, width: int, tile: float = 64.0) -> DataFrame:
-    """Pairs of :func:`ring_pairs` with the cells of each side, shared cells and IoU (by cell centres; null if neither has a cell)."""
-    pairs = materialise(ring_pairs(left, right, tile))
+    """Pairs of :func:`ring_pairs` with the cells of each side, shared cells and IoU (by cell centres; null if neither has a cell).
 
-    def cells(df: DataFrame, name: str) -> DataFrame:
-        used = df.join(pairs.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
-        return materialise(rasterise(used.select(F.col("id").alias("grid"), "ring"), height, width).withColumnRenamed("grid", name))
-
-    ca, cb = cells(left, "a"), cells(right, "b")
-    n = lambda c, name: c.groupBy(name).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    shared = pairs.join(ca, "a").join(cb, ["b", "row", "col"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = pairs.join(shared, ["a", "b"], "left").join(n(ca, "a"), "a", "left").join(n(cb, "b"), "b", "left")
+    Equal rings of a layer are compared once, and what rings share is counted by spans of rows; pairs of rings are all there in the
+    result, but before it only pairs of different rings, and those once with each ring of the left layer. Joins are merged, as
+    Spark takes what comes from a few rings for a small table.
+    """
+    layers = []
+    for df, name in ((left, "a"), (right, "b")):
+        kinds = df.where(F.col("ring").isNotNull()).select("ring").distinct()
+        kinds = materialise(kinds.select(F.monotonically_increasing_id().alias("id"), "ring"))
+        own = df.join(kinds.withColumnRenamed("id", "kind").hint("merge"), "ring").select(F.col("kind").alias(f"kind_{name}"), F.col("id").alias(name))
+        layers.append((name, kinds, materialise(own)))
+    kinds = [k for _, k, _ in layers]
+    pairs = materialise(ring_pairs(*kinds, tile))
+    rows = []
+    for name, k, _ in layers:
+        used = k.join(pairs.select(F.col(name).alias("id")).distinct().hint("merge"), "id", "left_semi").withColumnRenamed("id", "grid")
+        rows.append(materialise(spans(used, height, width).toDF(name, "row", f"{name}0", f"{name}1")))
+    meet = pairs.join(rows[0].hint("merge"), "a").join(rows[1].hint("merge"), ["b", "row"]).where("a0 <= b1 and b0 <= a1")
+    out = pairs.join(meet.groupBy("a", "b").agg(F.sum(F.least("a1", "b1") - F.greatest("a0", "b0") + 1).alias("shared")).hint("merge"), ["a", "b"], "left")
+    for (name, *_), r in zip(layers, rows):
+        out = out.join(r.groupBy(name).agg(F.sum(F.col(f"{name}1") - F.col(f"{name}0") + 1).alias(f"n_{name}")).hint("merge"), name, "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("shared", "n_a", "n_b")})
-    return out.withColumn("iou", F.try_divide("shared", F.col("n_a") + F.col("n_b") - F.col("shared")))
+    out = out.withColumn("iou", F.try_divide("shared", F.col("n_a") + F.col("n_b") - F.col("shared")))
+    out = materialise(out.withColumnsRenamed({"a": "kind_a", "b": "kind_b"}))
+    for name, _, own in layers:
+        out = out.join(own.hint("merge"), f"kind_{name}")
+    return out.select("a", "b", "shared", "n_a", "n_b", "iou")
 
 
 def first_by_prefix(stems: DataFrame, names: DataFrame, default: str) -> DataFrame:

@@ -44,6 +44,25 @@ def test_ring_pairs_match_all_envelopes(spark):
     assert iou == {(1, 2): pytest.approx(4 / 28), (1, 3): 0.0}
 
 
+def test_equal_rings_are_compared_once(spark, monkeypatch):
+    """Cells used to be joined for every pair of rings, also of equal ones."""
+    rng = random.Random(5)
+    kinds = [[(x, y), (x + s, y), (x + s, y + s), (x, y + s)] for x, y, s in ((rng.randrange(30) * 1.0, rng.randrange(30) * 1.0, rng.choice([0.3, 3.0, 20.0])) for _ in range(8))]
+    left, right = [(k, kinds[k % 8]) for k in range(40)], [(100 + k, kinds[k % 5]) for k in range(30)]
+    make = lambda r: spark.createDataFrame(r, "id long, ring array<struct<x:double,y:double>>")
+    cells = lambda p: {(r, c) for r in range(64) for c in range(64) if p[0][0] <= c + 0.5 < p[2][0] and p[0][1] <= r + 0.5 < p[2][1]}
+    seen, before = [], search.ring_pairs
+    monkeypatch.setattr(search, "ring_pairs", lambda *a: seen.append((a[0].count(), a[1].count())) or before(*a))
+    got = sorted((r.a, r.b, r.shared, r.n_a, r.n_b, r.iou) for r in search.ring_ious(make([*left, (99, None)]), make(right), 64, 64, 8.0).collect())
+    want = []
+    for a, p in left:
+        for b, q in right:
+            if all(p[0][k] < q[2][k] and q[0][k] < p[2][k] for k in (0, 1)):
+                x, y = cells(p), cells(q)
+                want.append((a, b, len(x & y), len(x), len(y), pytest.approx(len(x & y) / len(x | y)) if x | y else None))
+    assert got == sorted(want, key=lambda w: w[:2]) and seen == [(len({str(k) for k in kinds}), len({str(k) for k in kinds[:5]}))]
+
+
 def test_first_by_prefix(spark):
     names = spark.createDataFrame([(3, "abcd", "x"), (1, "abce", "y"), (2, "ab", "z"), (9, "b", None)], "place long, name string, value string")
     stems = spark.createDataFrame([("abc", 1), ("ab", 2), ("abcd", 3), ("abcde", 4), ("q", 5), ("", 6), (None, 7), ("ab", 8), ("b", 9)], "stem string, id int")
