@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,10 +12,37 @@ from ..sources.scratch import materialise, sized
 from .geometry import ring_box, spans
 
 
-def _means(v: Column, parts: int) -> Column:
-    """Means of ``parts`` equal consecutive parts of an array (its length is a multiple of ``parts``)."""
-    size = (F.size(v) / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.aggregate(F.slice(v, i * size + 1, size), F.lit(0.0), lambda a, x: a + x) / size)
+#: Distinct arrays of sums of either side that meet in one task, and blocks of the table that there are at least if it has as many rows.
+CHUNK, LEAST_BLOCKS = 8192, 24
+
+
+def _sums(v: Column, parts: int) -> Column:
+    """Sums of equal consecutive parts of an array: of four times ``parts``, twice or once as many, as its length (a multiple of ``parts``) allows."""
+    n = F.when(F.size(v) % (4 * parts) == 0, 4 * parts).when(F.size(v) % (2 * parts) == 0, 2 * parts).otherwise(parts)
+    size = (F.size(v) / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.slice(v, i * size + 1, size), F.lit(0.0), lambda a, x: a + x))
+
+
+def _near_sums(a: np.ndarray, b: np.ndarray, most: float, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b whose absolute differences add up to less than ``most`` (a hair more, for rounding), after the same test on ``parts`` coarser sums."""
+    coarse = [x.reshape(len(x), parts, -1).sum(2).T for x in (a, b)]
+    scale = max(np.abs(x).max() for x in coarse) or 1.0
+    ca, cb = ((x / scale).astype(np.float32) for x in coarse)
+    slack = most / scale * (1 + 1e-6) + 2e-6 * parts
+    most *= 1 + 1e-9
+    found = []
+    for k in range(0, len(a), 64):
+        total, one = np.zeros((2, len(a[k : k + 64]), len(b)), np.float32)
+        for x, y in zip(ca, cb):
+            np.subtract(x[k : k + 64, None], y, out=one)
+            np.abs(one, out=one)
+            total += one
+        i, j = np.nonzero(total <= slack)
+        for m in range(0, len(i), 1 << 16):
+            x, y = i[m : m + (1 << 16)] + k, j[m : m + (1 << 16)]
+            near = np.abs(a[x] - b[y]).sum(1) <= most
+            found.append((x[near], y[near]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
 def nearest_arrays(probes: DataFrame, table: DataFrame, within: float, parts: int = 8) -> DataFrame:
@@ -22,24 +51,38 @@ def nearest_arrays(probes: DataFrame, table: DataFrame, within: float, parts: in
     probes (probe, v), table (key, v), all arrays of one length. Returns probe, key, mae and status: matched, collision (a probe that comes earlier by
     number has the same key), or none (no array is near enough; key and mae are null). Ties go to the lowest key.
 
-    The means of equal parts bound the difference from below: the mean of |a - b| over a part is at least |mean a - mean b|, so two arrays nearer than
-    ``within`` have means of halves that differ by less than 2 x ``within``. Halves make cells of that size; a probe looks into the 3 x 3 cells
-    around its own, then pairs are cut by the same bound over ``parts`` parts, and the rest is compared in full. Equal arrays are compared once.
+    The sums of equal parts bound the difference from below: that of |a - b| over a part is at least |sum a - sum b|. Different arrays of sums
+    meet in blocks, by numpy, first by ``parts`` sums and then by up to four times as many; what is left is compared in full. Equal arrays are
+    compared once, and so are equal sums. Sums of unrelated arrays lie too close for keys: cells as wide as the bound needs hold nearly all of them. So
+    work grows with the different sums of the probes times those of the table, at some nanoseconds a pair.
     """
-    cell = 2 * within
-    half = lambda i: F.floor(_means(F.col("v"), 2)[i] / cell)
-    one = table.groupBy("v").agg(F.min("key").alias("key"))
-    one = one.select("key", F.col("v").alias("w"), _means(F.col("v"), parts).alias("wm"), half(0).alias("i"), half(1).alias("j"))
-    kinds = probes.select("v").distinct()
-    near = lambda i: F.explode(F.sequence(half(i) - 1, half(i) + 1))
-    look = kinds.select("v", _means(F.col("v"), parts).alias("vm"), near(0).alias("i")).select("*", near(1).alias("j"))
+    whole = F.forall("v", lambda x: F.abs(x) < F.lit(float("inf")))  # a null or NaN is near nothing
+    kinds = lambda df, *also: df.where(whole).groupBy("v").agg(F.lit(1).alias("one"), *also).withColumn("f", _sums(F.col("v"), parts)).withColumn("g", F.xxhash64("f")).drop("one")
+    one = materialise(kinds(table, F.min("key").alias("key")).withColumnRenamed("v", "w"))
+    asked = materialise(kinds(probes))
+    sums = [asked.select("g", "f", F.size("v").alias("n")).distinct(), one.select("g", "f", F.size("w").alias("n")).distinct()]
+    sums = [materialise(s) for s in sums]
+    blocks = [max(1, -(-s.count() // CHUNK)) for s in sums]
+    blocks[1] = max(blocks[1], -(-LEAST_BLOCKS // blocks[0]))
+    dealt = lambda k: F.pmod(F.col("g"), F.lit(blocks[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(blocks[k] - 1)))
+    left = sums[0].select("*", dealt(0).alias("i"), every(1).alias("j")).groupBy("i", "j")
+    right = sums[1].select("*", every(0).alias("i"), dealt(1).alias("j")).groupBy("i", "j")
+
+    def meet(p: pa.Table, t: pa.Table) -> pa.Table:
+        rows = lambda c: c["f"].combine_chunks().flatten().to_numpy().reshape(c.num_rows, -1)
+        at = ([], []) if not p.num_rows or not t.num_rows else _near_sums(rows(p), rows(t), within * p["n"][0].as_py(), parts)
+        return pa.table({k: c["g"].to_numpy()[np.asarray(x, np.int64)] for k, c, x in zip(("g", "h"), (p, t), at)})
+
+    near = materialise(left.cogroup(right).applyInArrow(meet, "g long, h long").distinct())
     apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    pairs = look.join(one, ["i", "j"]).where(apart("vm", "wm") < within).withColumn("mae", apart("v", "w")).where(F.col("mae") < within)
+    pairs = near.hint("merge").join(asked.select("g", "v").hint("merge"), "g").join(one.select(F.col("g").alias("h"), "w", "key").hint("merge"), "h")
+    pairs = pairs.withColumn("mae", apart("v", "w")).where(F.col("mae") < within)
     best = pairs.groupBy("v").agg(F.min(F.struct("mae", "key")).alias("b"))
-    found = materialise(probes.join(best, "v", "left").select("probe", F.col("b.key").alias("key"), F.col("b.mae").alias("mae")))
+    found = materialise(probes.join(best.hint("merge"), "v", "left").select("probe", F.col("b.key").alias("key"), F.col("b.mae").alias("mae")))
     first = found.where("key is not null").groupBy("key").agg(F.min("probe").alias("first"))
     status = F.when(F.col("key").isNull(), "none").when(F.col("probe") == F.col("first"), "matched").otherwise("collision")
-    return found.join(first, "key", "left").select("probe", "key", "mae", status.alias("status"))
+    return found.join(first.hint("merge"), "key", "left").select("probe", "key", "mae", status.alias("status"))
 
 
 def ring_pairs(left: DataFrame, right: DataFrame, tile: float = 64.0) -> DataFrame:

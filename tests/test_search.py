@@ -30,6 +30,35 @@ def test_nearest_arrays_match_an_exhaustive_search(spark):
     assert Counter(s for *_, s in got.values()).keys() == {"none", "matched", "collision"} and got[900][0] == 500 and got[901][2] == "collision"
 
 
+def test_arrays_around_one_mean_meet_by_finer_sums(spark, monkeypatch):
+    """Cells of two means held nearly all arrays of such a table, so all pairs were compared in full."""
+    rng = np.random.default_rng(8)
+    base = np.floor(rng.normal(0, 125_000, (400, 64)))
+    ripple = np.where(np.arange(64) % 2, -1.0, 1.0)
+    table = [(k * 3 + j, (base[k] + ripple * 9000 * j).tolist()) for k in range(400) for j in range(3)]
+    probes = [(k * 2 + j, (base[k * 5 % 400] + ripple * (12_000 - 2000 * j) + (k % 3 == 0) * 15_000 + (k % 7 == 0) * 50_000).tolist()) for k in range(100) for j in range(2)]
+    monkeypatch.setattr(search, "CHUNK", 60)
+    got = search.nearest_arrays(spark.createDataFrame(probes, "probe long, v array<double>"), spark.createDataFrame(table, "key long, v array<double>"), 20_000.0)
+    got = {r.probe: (r.key, r.mae) for r in got.collect()}
+    want = {}
+    for p, v in probes:
+        mae, key = min((float(np.abs(np.array(v) - np.array(w)).mean()), k) for k, w in table)
+        want[p] = (key, pytest.approx(mae)) if mae < 20_000 else (None, None)
+    assert got == want and {k is None for k, _ in got.values()} == {True, False}
+    a, b = (np.array([v for _, v in rows]).reshape(-1, 32, 2).sum(2) for rows in (probes, table))
+    x, y = search._near_sums(a, b, 20_000.0 * 64, 8)
+    exact = np.abs(a[:, None] - b[None]).sum(2) < 20_000 * 64
+    assert set(zip(x.tolist(), y.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(exact)))) and len(x) < 0.01 * len(a) * len(b)
+
+
+def test_odd_arrays_have_no_neighbour(spark):
+    odd = [(1, None), (2, [1.0, None] * 8), (3, [float("nan")] * 16), (4, [1.0] * 16), (4, [1.0] * 16), (None, [1.0] * 16)]
+    probes, table = spark.createDataFrame(odd, "probe long, v array<double>"), spark.createDataFrame([(k, v) for k, v in odd if k != 4] + [(9, [1.5] * 16)], "key long, v array<double>")
+    got = sorted(((r.probe, r.key, r.status) for r in search.nearest_arrays(probes, table.where("key is not null"), 1.0).collect()), key=str)
+    assert got == sorted([(1, None, "none"), (2, None, "none"), (3, None, "none"), (4, 9, "matched"), (4, 9, "matched"), (None, 9, "collision")], key=str)
+    assert {r.status for r in search.nearest_arrays(probes, table.limit(0), 1.0).collect()} == {"none"} and search.nearest_arrays(probes.limit(0), table, 1.0).count() == 0
+
+
 def test_ring_pairs_match_all_envelopes(spark):
     rng = random.Random(2)
     box = lambda: (x := rng.uniform(-50, 300), y := rng.uniform(-50, 300), x + rng.choice([1, 9, 150]), y + rng.choice([2, 8, 90]))
